@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = (
-    "curation audio scans sequences"
+    "curation audio scans sequences joins motion"
 ).split()
 
 

@@ -183,17 +183,17 @@ def segment_globalize(v):
 D["global_segments"] = """
     SELECT base, slice_idx, motion, start_frame + 15 * slice_idx AS start_frame, end_frame + 15 * slice_idx AS end_frame FROM {slices}"""
 D["timeline"] = """
-    WITH RECURSIVE nodes AS (SELECT DISTINCT base, 0 AS at FROM {global_segments} UNION SELECT DISTINCT base, end_frame FROM {global_segments}),
-    ex AS (SELECT base, start_frame AS at, arg_min({{'e': end_frame, 's': slice_idx, 'm': motion}}, {{'s': slice_idx, 'm': motion}}) AS b FROM {global_segments} GROUP BY ALL),
-    cov AS (SELECT n.base, at, arg_max({{'e': end_frame, 's': slice_idx, 'm': motion}}, {{'a': start_frame, 'e': end_frame, 's': slice_idx, 'm': motion}}) AS b
-            FROM nodes n JOIN {global_segments} g ON g.base = n.base AND start_frame <= at AND at < end_frame GROUP BY ALL),
-    nxt AS (SELECT n.base, at, arg_min({{'e': end_frame, 's': slice_idx, 'm': motion}}, {{'a': start_frame, 'e': end_frame, 's': slice_idx, 'm': motion}}) AS b
-            FROM nodes n JOIN {global_segments} g ON g.base = n.base AND start_frame > at GROUP BY ALL),
-    jump AS (SELECT base, at, coalesce(ex.b, cov.b, nxt.b) AS b FROM nodes LEFT JOIN ex USING (base, at) LEFT JOIN cov USING (base, at) LEFT JOIN nxt USING (base, at)),
-    walk AS (SELECT base, at, b.e AS e, b.s AS s, b.m AS m FROM jump WHERE at = 0 AND b IS NOT NULL
-             UNION ALL SELECT j.base, j.at, j.b.e, j.b.s, j.b.m FROM walk w JOIN jump j ON j.base = w.base AND j.at = w.e WHERE j.b IS NOT NULL)
-    SELECT base, at AS start_frame, coalesce(lead(at) OVER (PARTITION BY base ORDER BY at), stop) AS end_frame, s AS slice_idx, m AS motion
-    FROM (SELECT base, at, s, m, e, max(e) OVER (PARTITION BY base) AS stop FROM walk) WHERE at = 0 OR e - at >= 10""".replace("{{", "{").replace("}}", "}")
+    WITH RECURSIVE nodes AS (SELECT DISTINCT base, CAST(0 AS BIGINT) AS pt FROM {global_segments} UNION SELECT DISTINCT base, end_frame FROM {global_segments}),
+    ex AS (SELECT base, start_frame AS pt, arg_min({{'e': end_frame, 's': slice_idx, 'm': motion}}, {{'s': slice_idx, 'm': motion}}) AS b FROM {global_segments} GROUP BY ALL),
+    cov AS (SELECT n.base, pt, arg_max({{'e': end_frame, 's': slice_idx, 'm': motion}}, {{'a': start_frame, 'e': end_frame, 's': slice_idx, 'm': motion}}) AS b
+            FROM nodes n JOIN {global_segments} g ON g.base = n.base AND start_frame <= pt AND pt < end_frame GROUP BY ALL),
+    nxt AS (SELECT n.base, pt, arg_min({{'e': end_frame, 's': slice_idx, 'm': motion}}, {{'a': start_frame, 'e': end_frame, 's': slice_idx, 'm': motion}}) AS b
+            FROM nodes n JOIN {global_segments} g ON g.base = n.base AND start_frame > pt GROUP BY ALL),
+    jump AS (SELECT base, pt, coalesce(ex.b, cov.b, nxt.b) AS b FROM nodes LEFT JOIN ex USING (base, pt) LEFT JOIN cov USING (base, pt) LEFT JOIN nxt USING (base, pt)),
+    walk AS (SELECT base, pt, b.e AS e, b.s AS s, b.m AS m FROM jump WHERE pt = 0 AND b IS NOT NULL
+             UNION ALL SELECT j.base, j.pt, j.b.e, j.b.s, j.b.m FROM walk w JOIN jump j ON j.base = w.base AND j.pt = w.e WHERE j.b IS NOT NULL)
+    SELECT base, pt AS start_frame, coalesce(lead(pt) OVER (PARTITION BY base ORDER BY pt), stop) AS end_frame, s AS slice_idx, m AS motion
+    FROM (SELECT base, pt, s, m, e, max(e) OVER (PARTITION BY base) AS stop FROM walk) WHERE pt = 0 OR e - pt >= 10""".replace("{{", "{").replace("}}", "}")
 
 
 def global_segments(v):

@@ -230,7 +230,7 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
     visited = jump.select(key).distinct().withColumn("at", F.lit(0).cast("bigint"))
     for hop in reversed(hops):
         reached = visited.join(hop, [key, "at"]).select(key, F.col("to").alias("at"))
-        visited = checkpointed(visited.unionByName(reached).distinct())
+        visited = visited.unionByName(reached).distinct()
     path = visited.join(jump, [key, "at"]).select(
         key, F.col("at").alias("start_frame"), F.col("to").alias("end_frame"), "slice_idx", "motion"
     )
