@@ -31,7 +31,7 @@ def speed_envelope(v):
 
 @query("local_minima", """
     SELECT clip, frame, k_order FROM (SELECT clip, frame, 1 AS k_order FROM {frames}
-        QUALIFY x < lag(x) OVER w AND x < lead(x) OVER w WINDOW w AS (PARTITION BY clip ORDER BY frame))
+        QUALIFY x < lag(x) OVER (PARTITION BY clip ORDER BY frame) AND x < lead(x) OVER (PARTITION BY clip ORDER BY frame))
     UNION ALL SELECT clip, frame, 5 FROM (SELECT clip, frame, x,
         min(x) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a,
         min(x) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS b FROM {frames}) WHERE x < a AND x < b""".replace("SELECT clip, frame, k_order FROM", "SELECT clip, frame, CAST(k_order AS BIGINT) AS k_order FROM"))
@@ -148,9 +148,9 @@ D["kinetic"] = """
     SELECT clip, joint, avg(vx * vx + vz * vz) AS horizontal, avg(vy * vy) AS vertical, avg(sqrt(ax * ax + ay * ay + az * az)) AS expenditure FROM s WHERE frame >= 1 GROUP BY ALL"""
 
 
-@query("kinetic_features", f"SELECT clip, joint, {hu('horizontal', 4)} AS horizontal, {hu('vertical', 4)} AS vertical, {hu('expenditure', 4)} AS expenditure FROM {{kinetic}}")
+@query("kinetic_features", f"SELECT clip, joint, {hu('horizontal')} AS horizontal, {hu('vertical')} AS vertical, {hu('expenditure')} AS expenditure FROM {{kinetic}}")
 def kinetic_features(v):
-    return rounded(mo.kinetic_features(v.joints, "clip"), "horizontal", "vertical", "expenditure", digits=4)
+    return rounded(mo.kinetic_features(v.joints, "clip"), "horizontal", "vertical", "expenditure")
 
 
 def _geometric_sql() -> str:
@@ -213,7 +213,7 @@ D["dance_beats"] = """
         FROM (SELECT clip, frame, n, o, exp(-0.5 * o * o / 25.0) / (SELECT sum(exp(-0.5 * p * p / 25.0)) FROM range(-20, 21) r(p)) AS w,
                      ((frame + o) % (2 * n) + 2 * n) % (2 * n) AS m FROM {mean_speed}, (SELECT unnest(range(-20, 21)) AS o)) t
         JOIN {mean_speed} s ON s.clip = t.clip AND s.frame = CASE WHEN m < t.n THEN m ELSE 2 * t.n - 1 - m END GROUP BY ALL)
-    SELECT clip, frame FROM s QUALIFY v < lag(v) OVER w AND v < lead(v) OVER w WINDOW w AS (PARTITION BY clip ORDER BY frame)"""
+    SELECT clip, frame FROM s QUALIFY v < lag(v) OVER (PARTITION BY clip ORDER BY frame) AND v < lead(v) OVER (PARTITION BY clip ORDER BY frame)"""
 
 
 @query("beat_align_score", f"""

@@ -146,16 +146,16 @@ DUCK: dict[str, str] = {
         FROM {events}""",
     "joints": """
         SELECT clip, frame, joint,
-               x / 500.0 + 0.05 * ((7 * joint) % 24) + 0.013 * ((k * (joint + 1)) % 17) AS x,
-               k / 100.0 + 0.04 * ((5 * joint) % 24) + 0.011 * ((k * (joint + 3)) % 13) AS y,
-               z / 50.0 + 0.03 * ((11 * joint) % 24) + 0.007 * ((k * (joint + 5)) % 11) AS z
+               x / 473.0 + ((7 * joint) % 24) / 21.0 + ((k * (joint + 1)) % 17) / 79.0 AS x,
+               k / 97.0 + ((5 * joint) % 24) / 27.0 + ((k * (joint + 3)) % 13) / 89.0 AS y,
+               z / 47.0 + ((11 * joint) % 24) / 33.0 + ((k * (joint + 5)) % 11) / 139.0 AS z
         FROM {frames}, (SELECT unnest(range(24)) AS joint)""",
     "segments": """
         SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS motion, frame AS start_frame,
                lead(frame, 1, n_frames) OVER (PARTITION BY clip ORDER BY frame) AS end_frame
         FROM {frames} JOIN {lengths} USING (clip) WHERE frame = 0 OR k < 12""",
     "vectors": """
-        SELECT vec_id, label AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding
+        SELECT vec_id, CAST(label AS BIGINT) AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding
         FROM {embeddings}""",
     "spectrum": """
         SELECT clip, frame, 100 * j AS freq, abs(x / 100.0 - j / 10.0) + 0.01 * ((k * j) % 29) AS mag
@@ -270,9 +270,9 @@ class Views:
         f = self.frames.withColumn("joint", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(JOINTS - 1).cast("bigint"))))
         return f.selectExpr(
             "clip", "frame", "joint",
-            "x / 500.0D + 0.05D * ((7 * joint) % 24) + 0.013D * ((k * (joint + 1)) % 17) AS x",
-            "k / 100.0D + 0.04D * ((5 * joint) % 24) + 0.011D * ((k * (joint + 3)) % 13) AS y",
-            "z / 50.0D + 0.03D * ((11 * joint) % 24) + 0.007D * ((k * (joint + 5)) % 11) AS z",
+            "x / 473.0D + ((7 * joint) % 24) / 21.0D + ((k * (joint + 1)) % 17) / 79.0D AS x",
+            "k / 97.0D + ((5 * joint) % 24) / 27.0D + ((k * (joint + 3)) % 13) / 89.0D AS y",
+            "z / 47.0D + ((11 * joint) % 24) / 33.0D + ((k * (joint + 5)) % 11) / 139.0D AS z",
         )
 
     def _segments(self) -> DataFrame:

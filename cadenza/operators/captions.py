@@ -15,6 +15,7 @@ BODY_PARTS = {
 }
 ANSWER_MARK = "**Your Answer**"
 MAX_MOVEMENTS = 7
+WARNING = ("[警告] 经过", "次尝试仍缺少域: ")
 STOCK_SENTENCE = "The choreography continues with matching dynamics."
 # --- end of fixed values ------------------------------------------------------------------
 
@@ -60,9 +61,10 @@ def pick_attempt(attempts: DataFrame, keys: Sequence[str], attempt: str, respons
         F.min_by(response, valid).alias("_good"),
         F.max_by(F.struct(response, "_missing", attempt), attempt).alias("_last"),
     )
+    listed = F.concat(F.lit("['"), F.array_join("_last._missing", "', '"), F.lit("']"))
     warning = F.concat(
-        F.lit("[warning] still missing after "), F.col(f"_last.{attempt}").cast("string"), F.lit(" attempts: "),
-        F.array_join("_last._missing", ", "), F.lit("\n\n"), F.col(f"_last.{response}"),
+        F.lit(WARNING[0]), F.col(f"_last.{attempt}").cast("string"), F.lit(WARNING[1]), listed,
+        F.lit("\n\n"), F.col(f"_last.{response}"),
     )
     return picked.select(*keys, F.coalesce("_good", warning).alias(response), F.col("_good").isNotNull().alias("valid"))
 
@@ -73,8 +75,8 @@ def parse_domains(response: Column, domains: Sequence[str] = DOMAINS) -> Column:
     heads = "|".join(domains)
 
     def one(d: str) -> Column:
-        body = F.regexp_extract(clean, rf"(?is){d}\s*\n(.+?)(?=\n(?:{heads})|\Z)", 1)
-        found = F.regexp_like(clean, F.lit(rf"(?is){d}\s*\n.+?(?:\n(?:{heads})|\Z)"))
+        body = F.regexp_extract(clean, rf"(?is){d}\s*\n(.+?)(?=\n(?:{heads})|\z)", 1)
+        found = F.regexp_like(clean, F.lit(rf"(?is){d}\s*\n.+?(?:\n(?:{heads})|\z)"))
         text = F.trim(F.regexp_replace(body, r"\s+", " "))
         return F.when(found, text).alias(d.replace(" ", "_"))
 
@@ -141,8 +143,8 @@ def ordered_text(rows: DataFrame, keys: Sequence[str], order: str, text: Column,
 
 
 def seconds(value: Column) -> Column:
-    """Two decimals, ties and all, as C-style formatting prints them."""
-    return F.format_string("%.2f", value)
+    """Two decimals, ties to even."""
+    return F.format_string("%.2f", F.bround(value, 2))
 
 
 def segmentation_line(n: Column, start: Column, end: Column) -> Column:
@@ -300,3 +302,99 @@ def generation_sufficient(parsed: DataFrame, expected: DataFrame, song: str) ->
     got = parsed.groupBy(song).agg(F.count(F.lit(1)).alias("_got"), F.count_if(blank).alias("_blank"))
     ok = (F.col("_got") == F.col("_want")) & (F.col("_blank") == 0)
     return want.join(got, song, "left").select(song, F.coalesce(ok, F.lit(False)).alias("sufficient"))
+
+
+# ---- song documents and training records -----------------------------------------------
+def nest_segments(segments: DataFrame, song: str, bar: str, order: str, fields: Sequence[str]) -> DataFrame:
+    """Segments as an ordered array per bar, bars as an ordered array per song.
+
+    The nested document is the output format; a bar holds a few segments and a song its bars.
+    """
+    item = F.struct(order, *[f for f in fields if f != order])
+    bars = segments.groupBy(song, bar).agg(F.array_sort(F.collect_list(item)).alias("sentence"))
+    return bars.groupBy(song).agg(F.array_sort(F.collect_list(F.struct(bar, "sentence"))).alias("segments"))
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """Replace ``{name}`` in a prompt template by columns."""
+    out = F.lit(template)
+    for name, col in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), col)
+    return out
+
+
+def onestage_response(movements: DataFrame, song: str, start: str, end: str, parts: dict[str, str], fps: float = 30.0) -> DataFrame:
+    """All movements of a song renumbered in time order as one answer; missing texts are ``N/A``."""
+    from cadenza.operators import sequence as seq
+
+    numbered = seq.dense_position(movements, [song], seq.chunk_index(start), [start, end], "_no", start=1)
+    lines = [F.concat(F.lit(f"\n  **{label}**: "), F.coalesce(F.col(c), F.lit("N/A"))) for label, c in parts.items()]
+    block = F.concat(
+        F.lit("* **Movement "), F.col("_no").cast("string"), F.lit(" ("), seconds(F.col(start) / fps), F.lit(" - "),
+        seconds(F.col(end) / fps), F.lit("):**\n"), *lines, F.lit("\n"),
+    )
+    texts = ordered_text(numbered, [song], "_no", block, "_text", "\n")
+    return texts.select(song, F.concat(F.lit("<answer>\n"), "_text", F.lit("\n</answer>")).alias("response"))
+
+
+def song_summary(overall: Column, structure: Column, intent: Column, sections: Column) -> Column:
+    """Song-level document text from its four parts."""
+    return F.concat(
+        F.lit("\n## Overall Musical Characteristics\n\n"), overall,
+        F.lit("\n\n\n## Musical Structure and Segment Relationships\n\n"), structure,
+        F.lit("\n\n\n## Choreographic Perspective and Design Intent\n\n"), intent,
+        F.lit("\n\n\n" + SONG_MARK + "\n\n"), sections, F.lit("\n"),
+    )
+
+
+def section_texts(sentences: DataFrame, song: str, order: str) -> DataFrame:
+    """Per song: ``Segment i: a - b.`` and the synthesis of each sentence that has both markers."""
+    summary = F.col("sentence_summary")
+    strict = r"(?s)High-level movement synthesis:\s*(.*?)(?=\s*Specific movement instructions for the model)"
+    has = F.regexp_like(summary, F.lit(strict))
+    body = F.trim(F.regexp_replace(F.regexp_extract(summary, strict, 1), r"^\s+|\s+\z", ""))
+    line = F.concat(segmentation_line(F.col(order), F.col("start_sec"), F.col("end_sec")), F.lit(".\n"), body, F.lit("\n"))
+    return ordered_text(sentences.withColumn("_line", F.when(has, line).otherwise("")), [song], order, F.col("_line"), "sections", "")
+
+
+# fixed values: names of the text domains in the different document layouts
+DOMAIN_ALIASES = {
+    "whole": "whole_body", "whole_body": "whole_body", "upper_half_body": "upper_body", "upper_body": "upper_body",
+    "lower_half_body": "lower_body", "lower_body": "lower_body", "torso": "torso", "simple_tag": "simple_tag",
+}
+
+
+def flatten_domains(documents: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Two document layouts to ``(key, idx, domain, text)`` rows and ``(key, idx, start, end)``.
+
+    ``segments`` holds sentences with segments, ``merged_segments`` segments directly; a document
+    has one of them.  A modifier is a map from domain name to text.
+    """
+    flat = F.coalesce(F.flatten(F.transform("segments", lambda s: s["sentence"])), F.col("merged_segments"))
+    rows = documents.select(key, F.posexplode(flat).alias("idx", "seg"))
+    meta = rows.select(key, "idx", "seg.start_frame", "seg.end_frame")
+    alias = F.create_map(*[F.lit(x) for pair in DOMAIN_ALIASES.items() for x in pair])
+    texts = rows.select(key, "idx", F.explode("seg.modifier").alias("_d", "text"))
+    named = texts.select(key, "idx", alias["_d"].alias("domain"), F.coalesce("text", F.lit("")).alias("text"))
+    return named.filter(F.col("domain").isNotNull()), meta
+
+
+def modality_status(samples: DataFrame, batch: str, domain: str, vector: str, disabled: Sequence[str] = ()) -> DataFrame:
+    """Per batch and domain ``off``, ``on`` or ``mixed`` (some samples without it: a data error)."""
+    held = F.when(~F.col(domain).isin(*disabled) if disabled else F.lit(True), F.col(vector))
+    counts = samples.groupBy(batch, domain).agg(F.count(F.lit(1)).alias("samples"), F.count(held).alias("present"))
+    status = F.when(F.col("present") == 0, "off").when(F.col("present") == F.col("samples"), "on").otherwise("mixed")
+    return counts.select(batch, domain, "samples", "present", status.alias("status"))
+
+
+def text_vectors(texts: DataFrame, vectors: DataFrame, keys: Sequence[str], text: str, vector: str, dims: int) -> DataFrame:
+    """Vectors per text; an empty text gets the zero vector."""
+    zero = F.array_repeat(F.lit(0.0), dims)
+    return texts.join(vectors.select(*keys, vector), list(keys), "left").withColumn(
+        vector, F.when(F.trim(text) == "", zero).otherwise(F.col(vector))
+    )
+
+
+def dataset_concat(songs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Song rows and segment rows as one training set; columns one side lacks are null."""
+    return songs.withColumn("kind", F.lit("song")).unionByName(segments.withColumn("kind", F.lit("segment")), allowMissingColumns=True)

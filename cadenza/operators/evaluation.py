@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # ---- beats -----------------------------------------------------------------------------
@@ -75,7 +76,7 @@ def _frechet(n1, s1, q1, n2, s2, q2) -> float:
     return float(diff @ diff + np.trace(c1) + np.trace(c2) - 2.0 * root)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _frechet_rows(n1: pd.Series, s1: pd.Series, q1: pd.Series, n2: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.Series:
     return pd.Series([_frechet(*row) for row in zip(n1, s1, q1, n2, s2, q2, strict=True)])
 

@@ -203,6 +203,8 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
     all videos at once, the number of rounds growing with the logarithm of the longest walk.
     Results shorter than ``min_step`` frames are added to their predecessor.
     """
+    # read six times below
+    segments = checkpointed(segments.select(key, "slice_idx", "motion", "start_frame", "end_frame"))
     order = F.struct("slice_idx", "motion")
     tag = F.struct("end_frame", "slice_idx", "motion")
     ends = segments.select(key, F.col("end_frame").alias("at")).distinct()
@@ -229,17 +231,23 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
         hops.append(checkpointed(last.join(nxt, [key, "to"]).select(key, "at", F.col("_far").alias("to"))))
     visited = jump.select(key).distinct().withColumn("at", F.lit(0).cast("bigint"))
     for hop in reversed(hops):
-        reached = visited.join(hop, [key, "at"]).select(key, F.col("to").alias("at"))
-        visited = visited.unionByName(reached).distinct()
-    path = visited.join(jump, [key, "at"]).select(
-        key, F.col("at").alias("start_frame"), F.col("to").alias("end_frame"), "slice_idx", "motion"
+        # each node stays and adds the node one hop ahead; distances differ, so no node repeats
+        visited = visited.join(hop, [key, "at"], "left").select(
+            key, F.explode(F.array_compact(F.array("at", "to"))).alias("at")
+        )
+    path = checkpointed(
+        visited.join(jump, [key, "at"]).select(
+            key, F.col("at").alias("start_frame"), F.col("to").alias("end_frame"), "slice_idx", "motion"
+        )
     )
     # every segment but the first opens a new result only if it is long enough
     opens = path.filter((F.col("start_frame") == 0) | (F.col("end_frame") - F.col("start_frame") >= min_step))
     stop = path.groupBy(key).agg(F.max("end_frame").alias("_stop"))
     closed = seq.with_next(opens, [key], "start_frame", {"_next": "start_frame"}, chunk)
-    return closed.join(stop, key).select(
-        key, "start_frame", F.coalesce("_next", "_stop").alias("end_frame"), "slice_idx", "motion"
+    return checkpointed(
+        closed.join(stop, key).select(
+            key, "start_frame", F.coalesce("_next", "_stop").alias("end_frame"), "slice_idx", "motion"
+        )
     )
 
 
