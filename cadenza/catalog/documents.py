@@ -251,7 +251,7 @@ def flatten_text_domains(v):
     seg = F.struct((F.col("turn") * 10).alias("start_frame"), (F.col("turn") * 10 + 10).alias("end_frame"),
                    F.create_map(whole, F.col("text"), upper, F.col("role"), F.lit("torso"), F.lit(None).cast("string"), F.lit("other"), F.lit("x")).alias("modifier"))
     # the nested document is the input format: one conversation is one document
-    docs = v.conversations.groupBy(F.col("conv_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", seg.alias("seg")))).alias("_rows"))
+    docs = v.conversations.groupBy(F.col("conv_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", seg.alias("seg"))), lambda a, b: (a["turn"] - b["turn"]).cast("int")).alias("_rows"))
     flat = F.transform("_rows", lambda r: r["seg"])
     even = F.col("doc") % 2 == 0
     nested = docs.select(

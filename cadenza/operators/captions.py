@@ -375,7 +375,7 @@ def flatten_domains(documents: DataFrame, key: str) -> tuple[DataFrame, DataFram
     meta = rows.select(key, "idx", "seg.start_frame", "seg.end_frame")
     alias = F.create_map(*[F.lit(x) for pair in DOMAIN_ALIASES.items() for x in pair])
     texts = rows.select(key, "idx", F.explode("seg.modifier").alias("_d", "text"))
-    named = texts.select(key, "idx", alias["_d"].alias("domain"), F.coalesce("text", F.lit("")).alias("text"))
+    named = texts.select(key, "idx", alias[F.col("_d")].alias("domain"), F.coalesce("text", F.lit("")).alias("text"))
     return named.filter(F.col("domain").isNotNull()), meta
 
 
