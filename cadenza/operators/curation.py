@@ -33,14 +33,19 @@ def normalize_items(raw: DataFrame, query: str | Column) -> DataFrame:
 
 
 # ---- metadata gates --------------------------------------------------------------------
-def _genre_hits(lowered: Column, cfg: CurationConfig) -> tuple[Column, Column]:
+def _all_hits(low: Column, cfg: CurationConfig, white: list[str], black: list[str]) -> Column:
     genres = sorted(cfg.genres)
-    hit = [F.when(F.size(tx.keyword_hits(lowered, cfg.genres[g])) > 0, F.lit(g)) for g in genres]
-    words = [tx.keyword_hits(lowered, cfg.genres[g]) for g in genres]
+    hit = [F.when(F.size(tx.keyword_hits(low, cfg.genres[g])) > 0, F.lit(g)) for g in genres]
+    words = sorted({w for g in genres for w in cfg.genres[g]})
     none = F.array().cast("array<string>")
-    matched = F.array_compact(F.array(*hit)) if genres else none
-    keywords = F.array_sort(F.array_distinct(F.concat(*words))) if genres else none
-    return matched, keywords
+    return F.struct(
+        tx.keyword_hits(low, white).alias("_white"),
+        tx.keyword_hits(low, black).alias("_black"),
+        tx.keyword_hits(low, cfg.audio_boost).alias("_boost"),
+        tx.keyword_hits(low, cfg.audio_penalty).alias("_penalty"),
+        (F.array_compact(F.array(*hit)) if genres else none).alias("_genres"),
+        (tx.keyword_hits(low, words) if genres else none).alias("_words"),
+    )
 
 
 def metadata_gate(items: DataFrame, cfg: CurationConfig = DEFAULT) -> DataFrame:
@@ -54,19 +59,10 @@ def metadata_gate(items: DataFrame, cfg: CurationConfig = DEFAULT) -> DataFrame:
     white = sorted(set(cfg.whitelist) | set(genre_words))
     black = sorted(set(cfg.blacklist))
     text = F.concat(F.col("title"), F.lit(" "), F.array_join("tags", " "))
-    base = items.withColumn("_low", F.lower(text))
-    low = F.col("_low")
-    genres, words = _genre_hits(low, cfg)
-    hits = base.withColumns(
-        {
-            "_white": tx.keyword_hits(low, white),
-            "_black": tx.keyword_hits(low, black),
-            "_boost": tx.keyword_hits(low, cfg.audio_boost),
-            "_penalty": tx.keyword_hits(low, cfg.audio_penalty),
-            "_genres": genres,
-            "_words": words,
-        }
-    )
+    # the generator evaluates the text search once per row; as plain columns the optimizer would
+    # copy it into every expression and pushed-down filter that uses a hit list
+    found = F.get(F.transform(F.array(F.lower(text)), lambda low: _all_hits(low, cfg, white, black)), F.lit(0))
+    hits = items.select("*", F.inline(F.array(found)))
     early = (
         F.when(
             F.col("duration_sec") < cfg.min_duration_sec,
@@ -118,7 +114,7 @@ def metadata_gate(items: DataFrame, cfg: CurationConfig = DEFAULT) -> DataFrame:
         "metadata_filter_reasons",
         F.when(F.col("_early").isNotNull(), F.array("_early")).otherwise(F.array_compact(reasons)),
     )
-    return judged.drop("_low", "_white", "_black", "_boost", "_penalty", "_genres", "_words", "_early", "_late")
+    return judged.drop("_white", "_black", "_boost", "_penalty", "_genres", "_words", "_early", "_late")
 
 
 # ---- duplicates ------------------------------------------------------------------------

@@ -275,68 +275,70 @@ def kinetic_features(joints: DataFrame, key: str, chunk: int = seq.CHUNK) -> Dat
 
 
 def _wide(joints: DataFrame, key: str, indices: Sequence[int]) -> DataFrame:
-    """One row per frame with ``x7, y7, z7, ...`` for the given joints and the lowest y of the frame."""
-    cell = lambda j, c: F.max(F.when(F.col("joint") == j, F.col(c))).alias(f"{c}{j}")
-    return joints.groupBy(key, "frame").agg(*[cell(j, c) for j in indices for c in AXES], F.min("y").alias("y_low"))
+    """One row per frame with points ``p7, ...`` of the given joints and the lowest y of the frame.
+
+    The joints of a frame (24 at most) are gathered into one map and read by number.
+    """
+    packed = F.map_from_entries(F.collect_list(F.struct("joint", F.struct(*AXES).alias("p"))))
+    frames = joints.groupBy(key, "frame").agg(packed.alias("_p"), F.min("y").alias("y_low"))
+    points = F.struct(*[F.element_at("_p", F.lit(j).cast("bigint")).alias(f"p{j}") for j in indices])
+    # one generator pass, so that each point is looked up once
+    return frames.select(key, "frame", "y_low", F.inline(F.array(points)))
 
 
 class _Vec(tuple):
-    """Three columns with the little vector arithmetic the predicates use."""
+    """Three SQL texts with the little vector arithmetic the predicates use."""
 
     def __sub__(self, other):
-        return _Vec(a - b for a, b in zip(self, other, strict=True))
+        return _Vec(f"({a} - {b})" for a, b in zip(self, other, strict=True))
 
-    def dot(self, other) -> Column:
-        return self[0] * other[0] + self[1] * other[1] + self[2] * other[2]
+    def dot(self, other) -> str:
+        return "(" + " + ".join(f"{a} * {b}" for a, b in zip(self, other, strict=True)) + ")"
 
-    def norm(self) -> Column:
-        return F.sqrt(self.dot(self))
+    def norm(self) -> str:
+        return f"sqrt({self.dot(self)})"
 
     def cross(self, o):
-        return _Vec(
-            (self[1] * o[2] - self[2] * o[1], self[2] * o[0] - self[0] * o[2], self[0] * o[1] - self[1] * o[0])
-        )
+        turn = lambda i, j: f"({self[i]} * {o[j]} - {self[j]} * {o[i]})"
+        return _Vec((turn(1, 2), turn(2, 0), turn(0, 1)))
 
 
 def _joint(j: int, prefix: str = "") -> _Vec:
-    return _Vec(F.col(f"{prefix}{c}{j}") for c in AXES)
+    return _Vec(f"{prefix}p{j}.{c}" for c in AXES)
 
 
 def _point(name: str, prefix: str = "") -> _Vec:
-    zero = F.lit(0.0)
     pseudo = {
-        "zero": (zero, zero, zero), "y_unit": (zero, F.lit(1.0), zero), "minus_y_unit": (zero, F.lit(-1.0), zero),
-        "y_min": (zero, F.col("y_low"), zero),
+        "zero": ("0.0D", "0.0D", "0.0D"), "y_unit": ("0.0D", "1.0D", "0.0D"), "minus_y_unit": ("0.0D", "-1.0D", "0.0D"),
+        "y_min": ("0.0D", "y_low", "0.0D"),
     }
     return _Vec(pseudo[name]) if name in pseudo else _joint(JOINT_NAMES.index(name), prefix)
 
 
-def _predicate(kind: str, points: str, limit) -> Column:
+def _predicate(kind: str, points: str, limit) -> str:
+    """One predicate as SQL text; undefined directions and angles give null or NaN, never a hit."""
     now = [_point(p) for p in points.split()]
-    before = [_point(p, "p_") for p in points.split()] if kind in ("move", "nmove", "fast") else []
-    dt = PREDICATE_FRAME_TIME
+    before = [_point(p, "_was.") for p in points.split()] if kind in ("move", "nmove", "fast") else []
+    dt = f"{PREDICATE_FRAME_TIME!r}D"
     if kind == "fast":
-        return (now[0] - before[0]).norm() / dt > limit
+        return f"{(now[0] - before[0]).norm()} / {dt} > {limit!r}D"
     if kind == "angle":
         a, b = now[1] - now[0], now[3] - now[2]
-        degrees = F.degrees(F.acos(F.try_divide(a.dot(b), a.norm() * b.norm())))
-        # an undefined angle (zero-length limb) is inside no range; NaN compares as largest, so test it
-        return ~F.isnan(degrees) & (degrees > limit[0]) & (degrees < limit[1])
+        degrees = f"degrees(acos(try_divide({a.dot(b)}, {a.norm()} * {b.norm()})))"
+        return f"nanvl({degrees}, -1.0D) > {limit[0]} AND nanvl({degrees}, 361.0D) < {limit[1]}"
+    if kind in ("plane", "nmove"):
+        direction = (now[2] - now[0]).cross(now[1] - now[0])
+    else:
+        direction = now[1] - now[0]
     if kind == "plane":
-        normal = (now[2] - now[0]).cross(now[1] - now[0])
-        amount = F.try_divide(normal.dot(now[3] - now[0]), normal.norm())
+        amount = direction.dot(now[3] - now[0])
     elif kind == "nplane":
-        normal = now[1] - now[0]
-        amount = F.try_divide(normal.dot(now[3] - now[2]), normal.norm())
-    elif kind == "move":
-        direction = now[1] - now[0]
-        velocity = (now[2] - now[0]) - (before[2] - before[0])
-        amount = F.try_divide(velocity.dot(direction), direction.norm()) / dt
+        amount = direction.dot(now[3] - now[2])
     else:
-        direction = (now[2] - now[0]).cross(now[1] - now[0])
-        velocity = (now[3] - now[0]) - (before[3] - before[0])
-        amount = F.try_divide(velocity.dot(direction), direction.norm()) / dt
-    return ~F.isnan(amount) & (amount > limit)
+        moving = 2 if kind == "move" else 3
+        amount = ((now[moving] - now[0]) - (before[moving] - before[0])).dot(direction)
+    scaled = f"try_divide({amount}, {direction.norm()})" + (f" / {dt}" if kind in ("move", "nmove") else "")
+    return f"{scaled} > {limit!r}D"
 
 
 def geometric_features(joints: DataFrame, key: str, chunk: int = seq.CHUNK) -> DataFrame:
@@ -346,10 +348,10 @@ def geometric_features(joints: DataFrame, key: str, chunk: int = seq.CHUNK) -> D
         {JOINT_NAMES.index(p) for k, ps, _ in PREDICATES if k in ("move", "nmove", "fast") for p in ps.split()}
     )
     wide = _wide(joints, key, named)
-    prev = {f"p_{c}{j}": (lambda w, n=f"{c}{j}": F.lag(n).over(w)) for j in moving for c in AXES}
+    prev = {"_was": lambda w: F.lag(F.struct(*[f"p{j}" for j in moving])).over(w)}
     both = seq.windowed(wide, [key], "frame", prev, before=1, chunk=chunk).filter("frame >= 1")
     flags = both.select(
-        key, *[F.coalesce(_predicate(*p), F.lit(False)).cast("int").alias(f"f{i}") for i, p in enumerate(PREDICATES)]
+        key, *[F.expr(f"CASE WHEN {_predicate(*p)} THEN 1 ELSE 0 END AS f{i}") for i, p in enumerate(PREDICATES)]
     )
     means = flags.groupBy(key).agg(*[F.avg(f"f{i}").alias(f"f{i}") for i in range(len(PREDICATES))])
     cells = F.array(*[F.struct(F.lit(i).cast("bigint").alias("feature"), F.col(f"f{i}").alias("value")) for i in range(len(PREDICATES))])
@@ -382,14 +384,12 @@ def orientation_reward(joints: DataFrame, key: str, size: int = 8, rate: float =
     The lower normal is oriented by the upper body's sign, as in the published reward.
     """
     wide = _wide(joints.filter(F.col("joint").isin(4, 5, 12, 13, 14, 15)), key, (4, 5, 12, 13, 14, 15))
-    up = _joint(14).cross(_joint(13))
-    down = _joint(4).cross(_joint(5))
-    un, dn = up.norm(), down.norm()
-    facing = _Vec(F.try_divide(c, un) for c in up).dot(_joint(15) - _joint(12))
+    up, down = _joint(14).cross(_joint(13)), _joint(4).cross(_joint(5))
+    facing = F.try_divide(F.expr(up.dot(_joint(15) - _joint(12))), F.expr(up.norm()))
     sign = facing / (F.abs(facing) + 1e-5)
-    flat = lambda v, n: [F.try_divide(v[0], n) * sign, F.try_divide(v[2], n) * sign]  # noqa: E731  height is dropped
-    u, d = flat(up, un), flat(down, dn)
-    per_frame = wide.select(key, "frame", (u[0] * d[0] + u[1] * d[1]).alias("_agree"))
+    # height is dropped; the sign enters both sides
+    level = F.expr(f"try_divide({up[0]} * {down[0]} + {up[2]} * {down[2]}, {up.norm()} * {down.norm()})")
+    per_frame = wide.select(key, "frame", (level * sign * sign).alias("_agree"))
     worst = per_frame.groupBy(key, F.floor(F.col("frame") / size).cast("bigint").alias("token")).agg(
         F.min("_agree").alias("_w"), F.count(F.lit(1)).alias("_n")
     )

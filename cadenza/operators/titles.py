@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.scratch import checkpointed
 
+# tokens in more sets than this get their bucket split
+HOT_TOKEN = 4096
+
 
 def title_tokens(title: Column) -> Column:
     """Words of letters and digits plus bigrams of adjacent Han characters (a single one stays)."""
@@ -43,11 +46,12 @@ def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float
        and the one just before it.  A hit settles it, so a large group of near copies costs a few
        comparisons per member.
     4. Only sets still open are joined with all earlier sets of their buckets.  Size limits cut
-       candidates before any set is compared, and buckets are split ``spread`` ways so that one
-       common token does not fill one task.
+       candidates before any set is compared, and the bucket of a common token is split ``spread``
+       ways, so that it does not fill one task.
     """
     base = records.select(F.col(pos).alias("_pos"), F.array_sort(F.col(tokens)).alias("_tok"))
-    keyed = base.withColumn("_h", F.sha2(F.array_join("_tok", "\u0001"), 256))
+    # tokens are cut once; the last step only reads the two short columns of this table
+    keyed = checkpointed(base.withColumn("_h", F.sha2(F.array_join("_tok", "\u0001"), 256)))
     sets = checkpointed(
         keyed.groupBy("_h").agg(F.min_by("_tok", "_pos").alias("_tok"), F.min("_pos").alias("_pos")).withColumn("_n", F.size("_tok"))
     )
@@ -61,7 +65,7 @@ def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float
         .select("_pos", "_n", F.explode(F.slice("_r", 1, (F.col("_n") - need + 1).cast("int"))).alias("_c"))
         .filter("_c._f > 1")
     )
-    prefix = checkpointed(ranked.select("_pos", "_n", F.col("_c._t").alias("_t")))
+    prefix = checkpointed(ranked.select("_pos", "_n", F.col("_c._t").alias("_t"), (F.col("_c._f") > HOT_TOKEN).alias("_hot")))
     fits = lambda a, b: (
         F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
     )
@@ -75,8 +79,10 @@ def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float
     settled = checkpointed(_similar(cheap.select("_pos", F.col("_o._pos").alias("_q")).distinct(), sets, threshold))
     # step 4
     open_cells = prefix.join(settled, "_pos", "left_anti")
-    salted = open_cells.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    earlier = prefix.select(F.col("_pos").alias("_q"), F.col("_n").alias("_m"), "_t", F.pmod(F.hash("_pos"), F.lit(spread)).alias("_s"))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    salted = open_cells.withColumn("_s", F.explode(every))
+    salt = F.when(F.col("_hot"), F.pmod(F.hash("_pos"), F.lit(spread))).otherwise(0)
+    earlier = prefix.select(F.col("_pos").alias("_q"), F.col("_n").alias("_m"), "_t", salt.alias("_s"))
     pairs = salted.join(earlier, ["_t", "_s"]).filter((F.col("_q") < F.col("_pos")) & fits(F.col("_n"), F.col("_m")))
     rest = _similar(pairs.select("_pos", "_q").distinct(), sets, threshold)
     hit = settled.unionByName(rest).distinct().withColumn("_hit", F.lit(True))
