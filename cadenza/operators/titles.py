@@ -71,7 +71,8 @@ def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float
     )
     # step 3
     firsts = prefix.groupBy("_t").agg(F.min(F.struct("_pos", "_n")).alias("_first"))
-    part = Window.partitionBy("_t", "_n").orderBy("_pos")
+    # only a cheap first guess, so a common token may be cut into blocks of positions
+    part = Window.partitionBy("_t", "_n", F.floor(F.col("_pos") / 4096)).orderBy("_pos")
     probes = prefix.withColumn("_prev", F.lag(F.struct("_pos", "_n")).over(part)).join(firsts, "_t").select(
         "_pos", "_n", F.explode(F.array("_first", "_prev")).alias("_o")
     )

@@ -71,17 +71,39 @@ def cluster_frames(context: DataFrame, features: str, k: int = 5, seed: int = 42
     return labelled, context.sparkSession.createDataFrame(rows, "label bigint, centroid array<double>")
 
 
+def _sq_distance(a: Column, b: Column) -> Column:
+    diff = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
+    return F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)
+
+
 def assign_nearest(vectors: DataFrame, centroids: DataFrame, key: str, vector: str) -> DataFrame:
-    """Label of the nearest centroid (lowest label on ties).  ``centroids`` has a handful of rows."""
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_cs"))
-    sq = lambda c: F.aggregate(
-        F.zip_with(vector, c["centroid"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x
-    )
-    nearest = F.array_min(F.transform("_cs", lambda c: F.struct(sq(c).alias("d"), c["label"].alias("label"))))
-    # one row holding k centroids
-    return vectors.join(F.broadcast(packed)).withColumn("_b", nearest).select(
-        key, F.col("_b.label").alias("label"), F.col("_b.d").alias("distance_sq")
-    )
+    """Label of the nearest centroid (lowest label on ties).
+
+    Centroids under the size limit travel as one broadcast row; more of them are cut into parts
+    that meet the vectors in turn, keeping the best per vector.
+    """
+    size = _bytes(centroids, "centroid")
+    if size <= BROADCAST_LIMIT:
+        packed = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_cs"))
+        nearest = F.array_min(
+            F.transform("_cs", lambda c: F.struct(_sq_distance(F.col(vector), c["centroid"]).alias("d"), c["label"].alias("label")))
+        )
+        return vectors.join(F.broadcast(packed)).withColumn("_b", nearest).select(
+            key, F.col("_b.label").alias("label"), F.col("_b.d").alias("distance_sq")
+        )
+    met = _meet(vectors.select(key, vector), centroids, "label", size)
+    best = F.min(F.struct(_sq_distance(F.col(vector), F.col("centroid")).alias("d"), F.col("label").alias("label")))
+    return met.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.label").alias("label"), F.col("_b.d").alias("distance_sq"))
+
+
+def _meet(big: DataFrame, small: DataFrame, small_key: str, size: int) -> DataFrame:
+    """Every row of ``big`` with every row of ``small``, a too large ``small`` split in parts."""
+    if size <= BROADCAST_LIMIT:
+        return big.join(F.broadcast(small))
+    parts = int(size // BROADCAST_LIMIT) + 1
+    cut = small.withColumn("_part", F.pmod(F.xxhash64(small_key), F.lit(parts)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
+    return big.withColumn("_part", F.explode(every)).join(cut, "_part").drop("_part")
 
 
 def top_k(query: Sequence[float], vectors: DataFrame, key: str, vector: str, k: int, exclude: int | None = None) -> DataFrame:
@@ -94,26 +116,17 @@ def top_k(query: Sequence[float], vectors: DataFrame, key: str, vector: str, k:
 def top_k_per_query(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, skip_self: bool = True) -> DataFrame:
     """The ``k`` most similar vectors of every query (``query_id, query_vector``).
 
-    The library is scanned once: each task keeps its best ``k`` per query, and only those are
-    shuffled.  The query side is broadcast behind a size check; a larger one is cut into slices
-    that meet every part of the library through a shuffle.
+    The library is scanned once.  The query side is broadcast behind a size check; a larger one
+    is cut into parts that meet the library through a shuffle.
     """
-    size = _bytes(queries, "query_vector")
     lib = vectors.select(F.col(key).alias("_id"), F.col(vector).alias("_v"))
-    if size <= BROADCAST_LIMIT:
-        met = lib.join(F.broadcast(queries))
-    else:
-        parts = max(2, int(size // BROADCAST_LIMIT) + 1)
-        left = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        met = lib.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))).join(left, "_part")
+    met = _meet(lib, queries, "query_id", _bytes(queries, "query_vector"))
     if skip_self:
         met = met.filter(F.col("_id") != F.col("query_id"))
     scored = met.select("query_id", F.col("_id").alias(key), dot(F.col("_v"), F.col("query_vector")).alias("similarity"))
-    # first within salted parts, then over the survivors: no group is larger than its part
-    salted = scored.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(256)))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), key))
-    near = salted.withColumn("_r", best("query_id", "_salt")).filter(F.col("_r") <= k)
-    return near.withColumn("rank", best("query_id")).filter(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
+    # a rank filter is applied inside every task before the shuffle, so k rows per query and task travel
+    return scored.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
 
 
 def _bytes(df: DataFrame, vector: str) -> int:

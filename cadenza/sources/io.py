@@ -31,7 +31,7 @@ def read_keyed_arrays(spark: SparkSession, path: str, element: T.StructType) ->
     an array fails the job.
     """
     raw = (
-        spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select("value", F.col("_metadata.file_path").alias("_path"))
     )
     name = r"([^/=]+)_slice(\d+)"
