@@ -119,7 +119,8 @@ def judged(v):
 
 
 def unique(v):
-    return plan.unique_passed(items(v), CFG)
+    kept = ["search_query", "duration_sec", "metadata_filter_pass", "metadata_score", "matched_genres"]
+    return plan.unique_passed(items(v), CFG, columns=kept)
 
 
 def media_keys(v):
@@ -254,7 +255,7 @@ def pass_reject_partition(v):
 @query("exact_dedup_first", """
     SELECT bvid, min(pos) AS pos, count(*) - 1 AS removed FROM {candidates} GROUP BY bvid""")
 def exact_dedup_first(v):
-    kept = cur.first_per_key(v.candidates, "bvid", "pos").select("bvid", "pos")
+    kept = cur.first_per_key(v.candidates.select("bvid", "pos"), "bvid", "pos")
     return kept.join(cur.duplicate_map(v.candidates, "bvid"), "bvid", "left").select(
         "bvid", "pos", F.coalesce("removed", F.lit(0)).alias("removed")
     )
@@ -335,7 +336,8 @@ def status_counts(v):
         FROM (SELECT * FROM {candidates} QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY pos) = 1))
     WHERE running_total - duration_sec < 72000""")
 def running_total_cutoff(v):
-    out = cur.running_total_cutoff(v.candidates, "bvid", "pos", "duration_sec", 5.0 * 4.0 * 3600)
+    records = v.candidates.select("bvid", "pos", "duration_sec")
+    out = cur.running_total_cutoff(records, "bvid", "pos", "duration_sec", 5.0 * 4.0 * 3600)
     return out.select("bvid", "pos", "running_total")
 
 

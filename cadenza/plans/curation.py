@@ -9,9 +9,15 @@ from cadenza.config import DEFAULT, CurationConfig
 from cadenza.operators import curation as cur
 
 
-def unique_passed(items: DataFrame, cfg: CurationConfig = DEFAULT, key: str = "bvid", pos: str = "pos") -> DataFrame:
-    """Gate first, then keep the first passed record per key (later stages never see the rest)."""
-    return cur.first_per_key(cur.metadata_gate(items, cfg).filter("metadata_filter_pass"), key, pos)
+def unique_passed(
+    items: DataFrame, cfg: CurationConfig = DEFAULT, key: str = "bvid", pos: str = "pos", columns: list[str] | None = None
+) -> DataFrame:
+    """Gate first, then keep the first passed record per key (later stages never see the rest).
+
+    ``columns`` names what later stages need; the rest (titles above all) stays out of the shuffle.
+    """
+    passed = cur.metadata_gate(items, cfg).filter("metadata_filter_pass")
+    return cur.first_per_key(passed if columns is None else passed.select(key, pos, *columns), key, pos)
 
 
 def score_and_fuse(
