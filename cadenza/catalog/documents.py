@@ -204,11 +204,13 @@ def format_segments(v):
 
 
 @query("generation_sufficient", """
-    WITH w AS (SELECT song, count(*) AS want FROM {song_sections} GROUP BY song),
-         g AS (SELECT song, count(*) AS got, count(*) FILTER (trim(choreography) = '') AS blank FROM {song_parts} WHERE turn = 1 GROUP BY song)
-    SELECT song, CAST(coalesce(got = want AND blank = 0, FALSE) AS BIGINT) AS sufficient FROM w LEFT JOIN g USING (song)""")
+    WITH w AS (SELECT g.song, g.turn, count(*) AS want FROM {generated} g JOIN {song_sections} s ON s.song = g.song GROUP BY ALL),
+         g AS (SELECT song, turn, count(*) AS got, count(*) FILTER (trim(choreography) = '') AS blank FROM {song_parts} GROUP BY ALL)
+    SELECT song || '/' || turn AS song, CAST(coalesce(got = want AND blank = 0, FALSE) AS BIGINT) AS sufficient FROM w LEFT JOIN g USING (song, turn)""")
 def generation_sufficient(v):
-    out = cp.generation_sufficient(song_parts(v).filter("turn = 1"), v.song_sections, "song")
+    named = F.concat_ws("/", F.col("song").cast("string"), F.col("turn").cast("string")).alias("song")
+    expected = v.generated.select("song", "turn").join(v.song_sections.select("song", "n"), "song").select(named, "n")
+    out = cp.generation_sufficient(song_parts(v).select(named, "choreography"), expected, "song")
     return out.withColumn("sufficient", F.col("sufficient").cast("bigint"))
 
 

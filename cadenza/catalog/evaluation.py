@@ -15,11 +15,11 @@ S = vw.SHARED
 
 
 @query("zscore_by_reference", f"""
-    WITH r AS (SELECT dim, avg(value) AS m, stddev_pop(value) AS s FROM {{vec_cells}} WHERE seq < 5 GROUP BY dim)
+    WITH r AS (SELECT dim, avg(value) AS m, stddev_pop(value) AS s FROM {{vec_cells}} GROUP BY dim)
     SELECT vec_id, dim, {hu('(value - m) / (s + 1e-10)')} AS plain, {hu('(value - m) / CASE WHEN s < 1e-6 THEN 1.0 ELSE s END')} AS guarded FROM {{vec_cells}} JOIN r USING (dim)""")
 def zscore_by_reference(v):
     long = v.vectors.select("vec_id", "seq", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
-    ref = long.filter("seq < 5")
+    ref = long.select("dim", "value")
     plain = ev.zscore_by_reference(long.select("vec_id", "dim", "value"), ref, "dim", "value")
     both = ev.zscore_by_reference(
         long.select("vec_id", "dim", "value"), ref, "dim", "value", eps=None
