@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from cadenza.llm.common import Query
 from cadenza.llm.language import op10_language
+from cadenza.llm.warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Query] = {
+    "op7_warc": op7_warc,
     "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+}
