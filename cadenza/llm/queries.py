@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from cadenza.llm.common import Query
 from cadenza.llm.language import op10_language
+from cadenza.llm.simhash import op4_simhash
 from cadenza.llm.warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Query] = {
+    "op4_simhash": op4_simhash,
     "op7_warc": op7_warc,
     "op10_language": op10_language,
 }
