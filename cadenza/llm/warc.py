@@ -20,9 +20,9 @@ from cadenza.llm.common import table
 from cadenza.sources.scratch import scratch_path
 
 ROLL_BYTES = 16 << 20
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 #: Shards of one archive at most; larger inputs get larger shards, which roll into more files.
-SHARDS = 2000
+SHARDS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
