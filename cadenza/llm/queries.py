@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from cadenza.llm.common import Query
 from cadenza.llm.language import op10_language
+from cadenza.llm.quality import op1_quality
 from cadenza.llm.simhash import op4_simhash
 from cadenza.llm.toxicity import op3_toxicity
 from cadenza.llm.warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op7_warc": op7_warc,
