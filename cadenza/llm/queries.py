@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.common import Query
+from cadenza.llm.html import op2_html
 from cadenza.llm.language import op10_language
 from cadenza.llm.quality import op1_quality
 from cadenza.llm.simhash import op4_simhash
@@ -11,6 +12,7 @@ from cadenza.llm.warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op7_warc": op7_warc,
