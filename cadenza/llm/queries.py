@@ -6,6 +6,7 @@ from cadenza.llm.common import Query
 from cadenza.llm.html import op2_html
 from cadenza.llm.language import op10_language
 from cadenza.llm.quality import op1_quality
+from cadenza.llm.secrets import OP5_SQL, op5_secrets
 from cadenza.llm.simhash import op4_simhash
 from cadenza.llm.toxicity import op3_toxicity
 from cadenza.llm.warc import OP7_SQL, op7_warc
@@ -15,10 +16,12 @@ QUERIES: dict[str, Query] = {
     "op2_html": op2_html,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op7_warc": op7_warc,
     "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {
+    "op5_secrets": OP5_SQL,
     "op7_warc": OP7_SQL,
 }
