@@ -5,6 +5,7 @@ from __future__ import annotations
 from cadenza.llm.common import Query
 from cadenza.llm.html import op2_html
 from cadenza.llm.language import op10_language
+from cadenza.llm.neardup_vectors import OP6_SQL, op6_vectors
 from cadenza.llm.quality import op1_quality
 from cadenza.llm.secrets import OP5_SQL, op5_secrets
 from cadenza.llm.simhash import op4_simhash
@@ -17,11 +18,13 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
+    "op6_vectors": op6_vectors,
     "op7_warc": op7_warc,
     "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {
     "op5_secrets": OP5_SQL,
+    "op6_vectors": OP6_SQL,
     "op7_warc": OP7_SQL,
 }
