@@ -29,8 +29,8 @@ def hashed_share(*keys: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
 
 
-def per_text(schema: str, fn: Callable[[list], list], text: Column, *more: Column) -> Column:
-    """Apply ``fn`` to lists of at most ``TEXT_ROWS`` texts (``None`` where null) and pack its tuples into a struct.
+def per_text(schema: str, fn: Callable[[list], list], text: Column, *more: Column, rows: int = TEXT_ROWS) -> Column:
+    """Apply ``fn`` to lists of at most ``rows`` texts (``None`` where null) and pack its tuples into a struct.
 
     Further columns reach ``fn`` as further lists.  The texts alone go to Python, so columns of the
     table with any name stay untouched.
@@ -41,10 +41,10 @@ def per_text(schema: str, fn: Callable[[list], list], text: Column, *more: Colum
         for batch in batches:
             columns = batch if isinstance(batch, tuple) else (batch,)
             lists = [c.where(c.notna(), None).tolist() for c in columns]
-            rows: list = []
-            for at in range(0, len(lists[0]), TEXT_ROWS):
-                rows += fn(*[v[at : at + TEXT_ROWS] for v in lists])
-            yield pd.DataFrame(rows, columns=names)
+            found: list = []
+            for at in range(0, len(lists[0]), rows):
+                found += fn(*[v[at : at + rows] for v in lists])
+            yield pd.DataFrame(found, columns=names)
 
     if more:
         def many(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:

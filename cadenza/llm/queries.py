@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.common import Query
+from cadenza.llm.decontamination import op9_decontamination
 from cadenza.llm.html import op2_html
 from cadenza.llm.language import op10_language
 from cadenza.llm.neardup_vectors import OP6_SQL, op6_vectors
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op5_secrets": op5_secrets,
     "op6_vectors": op6_vectors,
     "op7_warc": op7_warc,
+    "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
 }
 
