@@ -7,6 +7,7 @@ from cadenza.llm.decontamination import op9_decontamination
 from cadenza.llm.html import op2_html
 from cadenza.llm.language import op10_language
 from cadenza.llm.neardup_vectors import OP6_SQL, op6_vectors
+from cadenza.llm.pieces import op8_pieces
 from cadenza.llm.quality import op1_quality
 from cadenza.llm.secrets import OP5_SQL, op5_secrets
 from cadenza.llm.simhash import op4_simhash
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op5_secrets": op5_secrets,
     "op6_vectors": op6_vectors,
     "op7_warc": op7_warc,
+    "op8_pieces": op8_pieces,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
 }
