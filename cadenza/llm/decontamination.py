@@ -129,7 +129,7 @@ class Index:
     def _calibrated(self, recall: float, rng: np.random.Generator) -> int:
         """Walks after which nearly all items with as many random edits as allowed share a bucket with the original."""
         whole, edited = [], []
-        for item in (self.items[i] for i in rng.permutation(len(self.items))[:400]):
+        for item in (self.items[i] for i in np.resize(rng.permutation(len(self.items)), 400)):
             copy, n = item.tolist(), len(item)
             for _ in range(self.edits[n]):
                 at, kind = int(rng.integers(0, max(1, len(copy)))), rng.integers(3)

@@ -46,6 +46,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A tag that the end of the page cuts off.
+_CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -138,7 +140,7 @@ def blocks_of(page: str) -> list[Block]:
                         content.pop()
                     if open_tag == tag:
                         break
-    text(page[at:])
+    text(_CUT.sub("", page[at:]))
     out.close(excluded > 0, content[-1] if content else 0)
     return out.blocks
 
@@ -149,7 +151,7 @@ def classify(blocks: list[Block], good_density: float = GOOD_DENSITY, short: int
     First pass: blocks of excluded elements, with a copyright sign or mostly of links are bad; blocks of at
     least ``short`` characters with enough stop words are good; the rest is undecided.  Second pass: an undecided
     block takes the label of the nearest decided block of its own article or main element (the earlier one
-    wins a tie; blocks of excluded elements do not count); without a decided one there it is good.  Outside such elements the neighbours on both
+    wins a tie; excluded blocks do not count, lists of links only for blocks with a link); without a decided one there it is good.  Outside such elements the neighbours on both
     sides must be good, and a page without any decided block has no main text.
     """
     for b in blocks:
@@ -167,9 +169,13 @@ def classify(blocks: list[Block], good_density: float = GOOD_DENSITY, short: int
             continue
         left, right = at - 1, at
         if b.content:
-            while left >= 0 and (blocks[decided[left]].content != b.content or blocks[decided[left]].excluded):
+            def apart(k: int, b: Block = b) -> bool:
+                other = blocks[decided[k]]
+                return other.content != b.content or other.excluded or (other.label == "bad" and not b.linked)
+
+            while left >= 0 and apart(left):
                 left -= 1
-            while right < len(decided) and (blocks[decided[right]].content != b.content or blocks[decided[right]].excluded):
+            while right < len(decided) and apart(right):
                 right += 1
             near = [(i - decided[left], 0, decided[left])] if left >= 0 else []
             near += [(decided[right] - i, 1, decided[right])] if right < len(decided) else []
