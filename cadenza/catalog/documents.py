@@ -220,7 +220,7 @@ PART = lambda h: f"CASE WHEN regexp_matches(body, '(?i)\\*\\*{h}\\*\\*:\\s*[^\\n
 D["movements"] = f"""
     WITH t AS (SELECT song, turn, CASE WHEN regexp_matches(answer, '{TRAIN}') THEN regexp_extract_all(answer, '{TRAIN}') ELSE regexp_extract_all(answer, '{COMPACT}') END AS heads,
                       CASE WHEN regexp_matches(answer, '{TRAIN}') THEN string_split_regex(answer, '{TRAIN}') ELSE string_split_regex(answer, '{COMPACT}') END AS bodies FROM {{movement_texts}}),
-         e AS (SELECT song, turn, i - 1 AS movement, regexp_extract_all(heads[i], '\\d+\\.?\\d*') AS nums, bodies[i + 1] AS body FROM (SELECT *, unnest(range(1, least(7, len(heads)) + 1)) AS i FROM t)),
+         e AS (SELECT song, turn, i - 1 AS movement, regexp_extract_all(heads[i], '\\d+\\.?\\d*') AS nums, bodies[i + 1] AS body FROM (SELECT *, unnest(range(1, len(heads) + 1)) AS i FROM t)),
          p AS (SELECT song, turn, movement, CAST(nums[2] AS DOUBLE) AS start_sec, CAST(nums[3] AS DOUBLE) AS end_sec, {PART('simple tag')} AS simple_tag, {PART('whole body')} AS whole_body,
                       {PART('upper body')} AS upper_body, {PART('lower body')} AS lower_body, {PART('torso')} AS torso FROM e)
     SELECT *, CAST(round_even(start_sec * 30, 0) AS BIGINT) AS start_frame, CAST(round_even(end_sec * 30, 0) AS BIGINT) AS end_frame FROM p

@@ -60,9 +60,9 @@ def annotation_lookup(v):
 
 @query("modality_inner", """
     SELECT n.item, n.name, CAST(l.quality AS BIGINT) AS quality, m.plays FROM {seq_names} n JOIN {labels} l ON l.doc_id = n.item
-    JOIN (SELECT string_split(name, '_')[5] AS music, count(*) AS plays FROM {seq_names} WHERE price > 905 GROUP BY 1) m ON m.music = string_split(n.name, '_')[-2]""")
+    JOIN (SELECT string_split(name, '_')[5] AS music, count(*) AS plays FROM {seq_names} GROUP BY 1) m ON m.music = string_split(n.name, '_')[-2]""")
 def modality_inner(v):
-    music = v.seq_names.filter("price > 905").groupBy(F.split_part("name", F.lit("_"), F.lit(5)).alias("music")).agg(F.count(F.lit(1)).alias("plays"))
+    music = v.seq_names.groupBy(F.split_part("name", F.lit("_"), F.lit(5)).alias("music")).agg(F.count(F.lit(1)).alias("plays"))
     motion = v.seq_names.withColumn("music", F.split_part("name", F.lit("_"), F.lit(-2)))
     meta = v.labels.select(F.col("doc_id").alias("item"), "quality")
     return motion.join(meta, "item").join(music, "music").select("item", "name", "quality", "plays")

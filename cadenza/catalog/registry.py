@@ -60,8 +60,8 @@ def half_up(expr: str, digits: int = 6) -> str:
 
 
 def half_even(expr: str, digits: int = 4) -> str:
-    # through the shortest decimal text: a binary tie is not decided by a multiplication
-    return f"(CAST(round_even(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE) + 0.0)"
+    # printing rounds the exact binary value
+    return f"(CAST(printf('%.{digits}f', CAST({expr} AS DOUBLE)) AS DOUBLE) + 0.0)"
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:

@@ -122,7 +122,7 @@ def partitioned_recommendation_sink(v):
 S["history"] = """
     SELECT CAST(doc_id AS STRING) AS bvid, CAST(quality + 10 AS DOUBLE) AS score, 'old' AS origin FROM {labels}"""
 S["current_run"] = """
-    SELECT CAST(doc_id AS STRING) AS bvid, CAST(n_chars AS DOUBLE) AS score, 'new' AS origin FROM {documents} WHERE lang = 'en'"""
+    SELECT CAST(doc_id AS STRING) AS bvid, CAST(n_chars AS DOUBLE) AS score, 'new' AS origin FROM {documents}"""
 
 
 @query("history_upsert", """

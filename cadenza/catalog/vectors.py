@@ -35,11 +35,12 @@ def mean_pool(v):
 
 
 D["context"] = """
-    WITH u AS (SELECT seq, pos, embedding, pos // 18 AS slice_idx, pos % 18 AS step FROM {vectors} WHERE TRUE QUALIFY count(*) OVER (PARTITION BY seq, pos // 18) = 18)
+    WITH u AS (SELECT seq, pos, embedding, pos // 18 AS slice_idx, pos % 18 AS step, count(*) OVER (PARTITION BY seq, pos // 18) AS n FROM {vectors})
     SELECT a.seq, a.slice_idx, a.step, b.step AS dim, CAST(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS DOUBLE)
            / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS value
     FROM u a JOIN u b ON a.seq = b.seq AND a.slice_idx = b.slice_idx
-    UNION ALL SELECT seq, slice_idx, step, 18, step / 17.0 FROM u"""
+    UNION ALL SELECT seq, slice_idx, step, d, 0.0 FROM u, range(0, 18) t(d) WHERE d >= n
+    UNION ALL SELECT seq, slice_idx, step, 18, step / greatest(n - 1, 1)::DOUBLE FROM u"""
 
 
 @query("cosine_context", f"SELECT seq, slice_idx, step, dim, {hu('value')} AS value FROM {{context}}")

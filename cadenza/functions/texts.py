@@ -54,4 +54,17 @@ def first_n(hits: Column, n: int) -> Column:
 
 
 def python_round(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)
+    """Round the exact binary value, ties to even, as Python does.
+
+    The product with ``10 ** digits`` is taken with its rounding error (the value is split in two halves
+    whose products are exact), so that a value is only a tie if it is one in binary.
+    """
+    x, scale = value.cast("double"), float(10**digits)
+    big = x * 134217729.0
+    high = big - (big - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    below = F.floor(product).cast("double")
+    side = (product - below - 0.5) + error
+    up = (side > 0) | ((side == 0) & (F.pmod(below, F.lit(2.0)) == 1))
+    return F.when(F.abs(product) < 4503599627370496.0, F.when(up, below + 1).otherwise(below) / scale).otherwise(x)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.texts import python_round
+
 # --- fixed values: text domains and headings ------------------------------------------------
 DOMAINS = ("whole body", "lower half body", "upper half body", "torso", "simple tag")
 BODY_PARTS = {
@@ -143,8 +145,8 @@ def ordered_text(rows: DataFrame, keys: Sequence[str], order: str, text: Column,
 
 
 def seconds(value: Column) -> Column:
-    """Two decimals, ties to even."""
-    return F.format_string("%.2f", F.bround(value, 2))
+    """Two decimals of the exact binary value, ties to even."""
+    return F.format_string("%.2f", python_round(value, 2))
 
 
 def segmentation_line(n: Column, start: Column, end: Column) -> Column:
@@ -239,24 +241,27 @@ TRAINING_HEAD = r"\*\s+\*{2,3}Movement\s+\d+\s*\(\d+\.?\d*\s*[-–—]\s*\d+\.?\
 COMPACT_HEAD = r"\*{2,3}Movement\s*\d+\*{2,3}:\s*\d+\.?\d*\s*[-–—]\s*\d+\.?\d*"
 
 
-def parse_movements(texts: DataFrame, keys: Sequence[str], text: str, limit: int = MAX_MOVEMENTS) -> DataFrame:
+def parse_movements(texts: DataFrame, keys: Sequence[str], text: str, limit: int | None = None) -> DataFrame:
     """Complete movements of generated texts, one row each: times, 30 fps frames, five body parts.
 
-    The training header form wins over the compact one.  At most ``limit`` headers count, and
-    movements missing a body part are skipped.
+    The training header form wins over the compact one.  With ``limit`` (``MAX_MOVEMENTS`` for the
+    usual prompt) only that many headers count, the last one's body runs to the end of the text, and
+    ``cut`` tells how many were left out.  Movements missing a body part are skipped.
     """
     chosen = F.when(F.regexp_like(text, F.lit(f"(?i){TRAINING_HEAD}")), F.lit(f"(?i)({TRAINING_HEAD})")).otherwise(
         F.lit(f"(?i)({COMPACT_HEAD})")
     )
     heads = F.regexp_extract_all(F.col(text), chosen, F.lit(1))
-    bodies = F.split(F.col(text), chosen)
-    # n headers cut the text into n + 1 parts; part i + 1 belongs to header i
+    # n headers cut the text into n + 1 parts; part i + 1 belongs to header i; the last kept part takes the rest
+    bodies = F.split(F.col(text), chosen) if limit is None else F.split(F.col(text), chosen, limit + 1)
     pieces = F.zip_with(heads, F.slice(bodies, 2, F.greatest(F.size(heads), F.lit(1))), lambda h, b: F.struct(h.alias("head"), b.alias("body")))
-    rows = texts.select(*keys, F.posexplode(F.slice(pieces, 1, limit)).alias("movement", "_p"))
+    kept = pieces if limit is None else F.slice(pieces, 1, limit)
+    cut = F.lit(0) if limit is None else F.greatest(F.size(heads) - limit, F.lit(0))
+    rows = texts.select(*keys, cut.cast("bigint").alias("cut"), F.posexplode(kept).alias("movement", "_p"))
     number = lambda i: F.get(F.regexp_extract_all("_p.head", F.lit(r"(\d+\.?\d*)"), F.lit(1)), F.lit(i)).cast("double")
     parts = {name: body_part(F.col("_p.body"), h) for name, h in BODY_PARTS.items()}
     out = rows.select(
-        *keys, F.col("movement").cast("bigint").alias("movement"),
+        *keys, F.col("movement").cast("bigint").alias("movement"), "cut",
         number(1).alias("start_sec"), number(2).alias("end_sec"), *[c.alias(n) for n, c in parts.items()],
     ).withColumns({"start_frame": F.bround(F.col("start_sec") * 30, 0).cast("bigint"), "end_frame": F.bround(F.col("end_sec") * 30, 0).cast("bigint")})
     return out.dropna(subset=list(BODY_PARTS))

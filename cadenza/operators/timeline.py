@@ -201,10 +201,12 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
     segment starting there (lowest slice, then motion), else ``cover_or_next``.  So the frames a
     walk can visit form a forest, and the visited ones are found by pointer doubling: joins over
     all videos at once, the number of rounds growing with the logarithm of the longest walk.
-    Results shorter than ``min_step`` frames are added to their predecessor.
+    Results shorter than ``min_step`` frames are added to their predecessor.  Segments without a frame are passed over.
     """
     # read six times below
-    segments = checkpointed(segments.select(key, "slice_idx", "motion", "start_frame", "end_frame"))
+    segments = checkpointed(
+        segments.select(key, "slice_idx", "motion", "start_frame", "end_frame").filter(F.col("end_frame") > F.col("start_frame"))
+    )
     order = F.struct("slice_idx", "motion")
     tag = F.struct("end_frame", "slice_idx", "motion")
     ends = segments.select(key, F.col("end_frame").alias("at")).distinct()

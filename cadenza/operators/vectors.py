@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import sequence as seq
 
-# a side is broadcast only while it stays under this many bytes
-BROADCAST_LIMIT = 64 * 1024 * 1024
+# what is broadcast is cut into parts of about so many bytes
+PART_BYTES = 64 * 1024 * 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,28 +44,35 @@ def mean_pool(vectors: DataFrame, group: str, vector: str, eps: float = 1e-8) ->
 def cosine_context(vectors: DataFrame, key: str, pos: str, vector: str, length: int = 18) -> DataFrame:
     """Per slice of ``length`` vectors: each row's cosine to all rows of its slice plus its relative position.
 
-    A slice has a fixed number of rows, so it is gathered as one small array; an incomplete last
-    slice is dropped.
+    A slice has at most ``length`` rows, so it is gathered as one small array.  A shorter last slice has
+    cosines of 0 for the rows it lacks; positions run from 0 to 1 in every slice (0 for a single row).
     """
     unit = l2_normalize(vectors.select(key, pos, vector), vector, 0.0)
     grouped = (
         unit.groupBy(key, F.floor(F.col(pos) / length).cast("bigint").alias("slice_idx"))
         .agg(F.array_sort(F.collect_list(F.struct(pos, vector))).alias("_rows"))
-        .filter(F.size("_rows") == length)
     )
+    lacking = F.array_repeat(F.lit(0.0), F.lit(length) - F.size("_rows"))
+    last = F.greatest(F.size("_rows") - 1, F.lit(1)).cast("double")
     context = F.transform(
         "_rows",
         lambda a, i: F.concat(
-            F.transform("_rows", lambda b: dot(a[vector], b[vector])), F.array(i / float(length - 1))
+            F.transform("_rows", lambda b: dot(a[vector], b[vector])), lacking, F.array(i / last)
         ),
     )
     return grouped.select(key, "slice_idx", F.posexplode(context).alias("step", "context"))
 
 
-def cluster_frames(context: DataFrame, features: str, k: int = 5, seed: int = 42, max_iter: int = 20):
-    """One distributed k-means over all rows; returns ``(labelled rows, centroids)``."""
-    data = context.withColumn("_features", array_to_vector(features))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="label").fit(data)
+def cluster_frames(context: DataFrame, features: str, k: int = 5, seed: int = 42, starts: int = 3, max_iter: int = 300):
+    """One distributed k-means over all rows; returns ``(labelled rows, centroids)``.
+
+    Of several starts the one with the lowest cost is kept; a start ends when its centroids rest.  One model covers
+    all slices, so a label means the same in each of them.
+    """
+    data = context.withColumn("_features", array_to_vector(features)).cache()
+    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features", predictionCol="label").fit(data) for i in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     labelled = model.transform(data).drop("_features").withColumn("label", F.col("label").cast("bigint"))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return labelled, context.sparkSession.createDataFrame(rows, "label bigint, centroid array<double>")
@@ -76,34 +83,25 @@ def _sq_distance(a: Column, b: Column) -> Column:
     return F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)
 
 
-def assign_nearest(vectors: DataFrame, centroids: DataFrame, key: str, vector: str) -> DataFrame:
-    """Label of the nearest centroid (lowest label on ties).
+def assign_nearest(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Label of the nearest centroid (lowest label on ties), one row for each row of ``vectors``.
 
-    Centroids under the size limit travel as one broadcast row; more of them are cut into parts
-    that meet the vectors in turn, keeping the best per vector.
+    The centroids are cut into parts of at most about ``part_bytes``; each part travels as one
+    broadcast row and every vector keeps the best over the parts it has met.
     """
-    size = _bytes(centroids, "centroid")
-    if size <= BROADCAST_LIMIT:
-        packed = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_cs"))
-        nearest = F.array_min(
-            F.transform("_cs", lambda c: F.struct(_sq_distance(F.col(vector), c["centroid"]).alias("d"), c["label"].alias("label")))
-        )
-        return vectors.join(F.broadcast(packed)).withColumn("_b", nearest).select(
-            key, F.col("_b.label").alias("label"), F.col("_b.d").alias("distance_sq")
-        )
-    met = _meet(vectors.select(key, vector), centroids, "label", size)
-    best = F.min(F.struct(_sq_distance(F.col(vector), F.col("centroid")).alias("d"), F.col("label").alias("label")))
-    return met.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.label").alias("label"), F.col("_b.d").alias("distance_sq"))
-
-
-def _meet(big: DataFrame, small: DataFrame, small_key: str, size: int) -> DataFrame:
-    """Every row of ``big`` with every row of ``small``, a too large ``small`` split in parts."""
-    if size <= BROADCAST_LIMIT:
-        return big.join(F.broadcast(small))
-    parts = int(size // BROADCAST_LIMIT) + 1
-    cut = small.withColumn("_part", F.pmod(F.xxhash64(small_key), F.lit(parts)))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
-    return big.withColumn("_part", F.explode(every)).join(cut, "_part").drop("_part")
+    out = vectors.select(key, vector, F.lit(None).cast("struct<d:double,label:bigint>").alias("_b"))
+    for part in _parts(centroids, "label", "centroid", part_bytes):
+        packed = part.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_cs"))
+        best = F.array_min(F.transform("_cs", lambda c: F.struct(
+            _sq_distance(F.col(vector), c["centroid"]).alias("d"), c["label"].cast("bigint").alias("label"))))
+        out = out.join(F.broadcast(packed)).withColumn("_b", F.array_min(F.array("_b", best))).drop("_cs")
+    return out.select(key, F.col("_b.label").alias("label"), F.col("_b.d").alias("distance_sq"))
+
+
+def _parts(rows: DataFrame, key: str, vector: str, part_bytes: int) -> list[DataFrame]:
+    """``rows`` cut by a hash of the key into parts of about ``part_bytes``."""
+    n = max(1, -(-_bytes(rows, vector) // part_bytes))
+    return [rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def top_k(query: Sequence[float], vectors: DataFrame, key: str, vector: str, k: int, exclude: int | None = None) -> DataFrame:
@@ -113,20 +111,27 @@ def top_k(query: Sequence[float], vectors: DataFrame, key: str, vector: str, k:
     return pool.select(key, dot(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def top_k_per_query(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, skip_self: bool = True) -> DataFrame:
-    """The ``k`` most similar vectors of every query (``query_id, query_vector``).
+def top_k_per_query(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, skip_self: bool = True,
+                    part_bytes: int = PART_BYTES) -> DataFrame:
+    """The ``k`` most similar vectors of every query (``query_id, query_vector``): an exact search.
 
-    The library is scanned once.  The query side is broadcast behind a size check; a larger one
-    is cut into parts that meet the library through a shuffle.
+    The queries are cut into parts of at most about ``part_bytes``; each part is broadcast and
+    scans the library once.  A query is in one part, so the parts' results are all there is.
     """
     lib = vectors.select(F.col(key).alias("_id"), F.col(vector).alias("_v"))
-    met = _meet(lib, queries, "query_id", _bytes(queries, "query_vector"))
-    if skip_self:
-        met = met.filter(F.col("_id") != F.col("query_id"))
-    scored = met.select("query_id", F.col("_id").alias(key), dot(F.col("_v"), F.col("query_vector")).alias("similarity"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
-    # a rank filter is applied inside every task before the shuffle, so k rows per query and task travel
-    return scored.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
+    found = []
+    for part in _parts(queries, "query_id", "query_vector", part_bytes):
+        met = lib.join(F.broadcast(part))
+        if skip_self:
+            met = met.filter(F.col("_id") != F.col("query_id"))
+        scored = met.select("query_id", F.col("_id").alias(key), dot(F.col("_v"), F.col("query_vector")).alias("similarity"))
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
+        # a rank filter is applied inside every task before the shuffle, so k rows per query and task travel
+        found.append(scored.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", key, "similarity"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _bytes(df: DataFrame, vector: str) -> int:

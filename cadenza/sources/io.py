@@ -28,24 +28,45 @@ def read_keyed_arrays(spark: SparkSession, path: str, element: T.StructType) ->
     """Folders of ``<base>_slice<K>.json`` files, one JSON array each: one row per element.
 
     Base and slice number come from the file (or partition folder) name.  A file that is not
-    an array fails the job.
+    an array, is cut off or holds a value of another type fails the job; see
+    ``read_keyed_arrays_tolerant``.
     """
+    judged = _judged_arrays(spark, path, element)
+    broken = F.raise_error(F.concat(F.lit("not a JSON array ("), "reason", F.lit("): "), "file"))
+    return _elements(judged.withColumn("items", F.when(F.col("reason").isNull(), F.col("items")).otherwise(broken)))
+
+
+def read_keyed_arrays_tolerant(spark: SparkSession, path: str, element: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows of the readable files, and ``(file, reason)`` of all others."""
+    judged = _judged_arrays(spark, path, element)
+    return _elements(judged.filter("reason IS NULL")), judged.filter("reason IS NOT NULL").select("file", "reason")
+
+
+def _elements(files: DataFrame) -> DataFrame:
+    return files.select("base", "slice_idx", F.posexplode("items").alias("pos", "item")).select("base", "slice_idx", "pos", "item.*")
+
+
+def _judged_arrays(spark: SparkSession, path: str, element: T.StructType) -> DataFrame:
     raw = (
         spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select("value", F.col("_metadata.file_path").alias("_path"))
     )
     name = r"([^/=]+)_slice(\d+)"
+    # elements are read as texts first: a null array is a broken file, a null field beside a present text a wrong type
+    texts = F.from_json("value", T.ArrayType(T.StructType([T.StructField(f.name, T.StringType()) for f in element])))
     parsed = raw.select(
         F.regexp_extract("_path", name, 1).alias("base"),
         F.regexp_extract("_path", name, 2).cast("bigint").alias("slice_idx"),
-        F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value"))
-        .otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), "_path")))
-        .alias("value"),
+        F.col("_path").alias("file"), F.from_json("value", T.ArrayType(element)).alias("items"),
+        F.when(F.startswith(F.ltrim("value"), F.lit("[")), texts).alias("texts"),
     )
-    array = F.from_json("value", T.ArrayType(element))
-    return parsed.select("base", "slice_idx", F.posexplode(array).alias("pos", "item")).select(
-        "base", "slice_idx", "pos", "item.*"
+    wrong = F.exists(
+        F.zip_with("items", "texts", lambda i, t: F.when(i.isNull() != t.isNull(), True).otherwise(
+            F.exists(F.array(*[i[f.name].isNull() & t[f.name].isNotNull() for f in element]), lambda x: x))),
+        lambda x: F.coalesce(x, F.lit(False)),
     )
+    reason = F.when(F.col("texts").isNull(), "not a complete array").when(F.col("items").isNull() | wrong, "a value of another type")
+    return parsed.withColumn("reason", reason)
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
