@@ -2,36 +2,64 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import sequence as seq
+from cadenza.sources.scratch import checkpointed
+
 
+def sample_blocks(signal: DataFrame, key: str, pos: str, value: str, sizes: Sequence[int], limit: float = 0.98) -> DataFrame:
+    """The one pass over the samples: energy, samples and clipped samples per block of the sizes' common divisor.
 
-def _block_rms(signal: DataFrame, key: str, pos: str, value: str, size: int) -> DataFrame:
+    ``_at`` is the first position of the block.  Everything below is derived from this table.
+    """
+    unit = math.gcd(*sizes)
+    v = F.col(value)
+    return signal.groupBy(key, (F.floor(F.col(pos) / unit) * unit).cast("bigint").alias("_at")).agg(
+        F.sum(v * v).alias("_e"), F.count(v).alias("_m"), F.count(F.lit(1)).alias("_rows"), F.count_if(F.abs(v) >= limit).alias("_clipped")
+    )
+
+
+def _block_rms(blocks: DataFrame, key: str, size: int) -> DataFrame:
     """RMS of consecutive blocks; a block counts only if it starts before ``n - size``."""
-    n = signal.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    block = F.floor(F.col(pos) / size).cast("bigint")
-    energy = signal.groupBy(key, block.alias("block")).agg(F.avg(F.col(value) * F.col(value)).alias("_e"))
+    n = blocks.groupBy(key).agg(F.sum("_rows").alias("_n"))
+    block = F.floor(F.col("_at") / size).cast("bigint")
+    energy = blocks.groupBy(key, block.alias("block")).agg((F.sum("_e") / F.sum("_m")).alias("_mean"))
     kept = energy.join(n, key).filter(F.col("block") * size < F.col("_n") - size)
-    return kept.select(key, "block", F.sqrt(F.col("_e") + 1e-12).alias("rms"))
+    return kept.select(key, "block", F.sqrt(F.col("_mean") + 1e-12).alias("rms"))
 
 
-def present_ratio(signal: DataFrame, key: str, pos: str, value: str, size: int, floor: float = 0.01) -> DataFrame:
-    """Share of blocks louder than ``floor``; 0 for a signal without a whole block."""
-    blocks = _block_rms(signal, key, pos, value, size)
-    share = blocks.groupBy(key).agg(F.avg(F.when(F.col("rms") > floor, 1.0).otherwise(0.0)).alias("present"))
-    return _every_key(signal, share, key, {"present": 0.0})
+def _present(blocks: DataFrame, key: str, size: int, floor: float) -> DataFrame:
+    rms = _block_rms(blocks, key, size)
+    return rms.groupBy(key).agg(F.avg(F.when(F.col("rms") > floor, 1.0).otherwise(0.0)).alias("present"))
 
 
-def loudness(signal: DataFrame, key: str, pos: str, value: str, size: int) -> DataFrame:
-    """Mean block level in dB and its stability; -60 / 0 without a whole block."""
+def _loudness(blocks: DataFrame, key: str, size: int) -> DataFrame:
     level = 20 * F.log10("rms")
-    stats = _block_rms(signal, key, pos, value, size).groupBy(key).agg(
+    return _block_rms(blocks, key, size).groupBy(key).agg(
         F.avg(level).alias("loudness"),
         F.greatest(F.lit(0.0), 1.0 - F.stddev_pop(level) / 20.0).alias("stability"),
     )
-    return _every_key(signal, stats, key, {"loudness": -60.0, "stability": 0.0})
+
+
+def _clipping(blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.groupBy(key).agg((F.sum("_clipped") / F.sum("_rows")).alias("clipping"))
+
+
+def present_ratio(signal: DataFrame, key: str, pos: str, value: str, size: int, floor: float = 0.01) -> DataFrame:
+    """Share of blocks louder than ``floor``; 0 for a signal without a whole block."""
+    blocks = sample_blocks(signal, key, pos, value, [size])
+    return _every_key(blocks, _present(blocks, key, size, floor), key, {"present": 0.0})
+
+
+def loudness(signal: DataFrame, key: str, pos: str, value: str, size: int) -> DataFrame:
+    """Mean block level in dB and its stability; -60 / 0 without a whole block."""
+    blocks = sample_blocks(signal, key, pos, value, [size])
+    return _every_key(blocks, _loudness(blocks, key, size), key, {"loudness": -60.0, "stability": 0.0})
 
 
 def clipping_ratio(signal: DataFrame, key: str, value: str, limit: float = 0.98) -> DataFrame:
@@ -39,13 +67,17 @@ def clipping_ratio(signal: DataFrame, key: str, value: str, limit: float = 0.98)
 
 
 def snr_proxy(signal: DataFrame, key: str, pos: str, value: str, size: int) -> DataFrame:
-    """dB between the mean of the loudest and of the quietest tenth of the blocks.
+    """dB between the mean of the loudest and of the quietest tenth of the blocks."""
+    blocks = sample_blocks(signal, key, pos, value, [size])
+    return _every_key(blocks, _snr(blocks, key, size), key, {"snr": 0.0})
+
 
-    Equal levels are counted first; the rest is a prefix count over distinct levels, taken in
+def _snr(blocks: DataFrame, key: str, size: int) -> DataFrame:
+    """Equal levels are counted first; the rest is a prefix count over distinct levels, taken in
     two steps (level bins per key, then levels inside a bin), so a long or constant signal does
     not end in one task.
     """
-    levels = _block_rms(signal, key, pos, value, size).groupBy(key, "rms").agg(F.count(F.lit(1)).alias("_c"))
+    levels = _block_rms(blocks, key, size).groupBy(key, "rms").agg(F.count(F.lit(1)).alias("_c"))
     binned = levels.withColumn("_bin", F.floor(F.col("rms") * 8192).cast("bigint"))
     across = Window.partitionBy(key).orderBy("_bin")
     whole = Window.partitionBy(key)
@@ -75,7 +107,7 @@ def snr_proxy(signal: DataFrame, key: str, pos: str, value: str, size: int) -> D
         .when(F.col("_noise") < 1e-10, 60.0)
         .otherwise(20 * F.log10(F.col("_peak") / F.col("_noise")))
     )
-    return _every_key(signal, sums.select(key, value_db.alias("snr")), key, {"snr": 0.0})
+    return sums.select(key, value_db.alias("snr"))
 
 
 def speech_band_ratio(spectrum: DataFrame, key: str, frame: str = "frame") -> DataFrame:
@@ -123,16 +155,29 @@ def _every_key(source: DataFrame, stats: DataFrame, key: str, defaults: dict[str
 
 def audio_stats(signal: DataFrame, spectrum: DataFrame, features: DataFrame, key: str, pos: str, value: str,
                 present_size: int, loud_size: int, snr_size: int) -> DataFrame:
-    """All statistics the audio gate reads, one row per key."""
+    """All statistics the audio gate reads, one row per key; samples and spectrum are read once each."""
+    blocks = checkpointed(sample_blocks(signal, key, pos, value, [present_size, loud_size, snr_size]))
     parts = [
-        present_ratio(signal, key, pos, value, present_size),
-        loudness(signal, key, pos, value, loud_size),
-        clipping_ratio(signal, key, value),
-        snr_proxy(signal, key, pos, value, snr_size),
-        speech_band_ratio(spectrum, key),
-        music_confidence(features, spectral_flux(spectrum, key), key),
+        _every_key(blocks, _present(blocks, key, present_size, 0.01), key, {"present": 0.0}),
+        _loudness(blocks, key, loud_size), _clipping(blocks, key), _snr(blocks, key, snr_size),
+        *_spectrum_stats(spectrum, features, key),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, key, "left")
-    return out.na.fill({"speech": 0.0, "music": 0.5})
+    return out.na.fill({"loudness": -60.0, "stability": 0.0, "snr": 0.0, "speech": 0.0, "music": 0.5})
+
+
+def _spectrum_stats(spectrum: DataFrame, features: DataFrame, key: str, frame: str = "frame") -> list[DataFrame]:
+    """Speech share and music confidence from one table of band energies and changes per frame."""
+    power = F.col("mag") * F.col("mag")
+    voice = (F.col("freq") >= 300) & (F.col("freq") <= 3400)
+    steps = seq.windowed(
+        spectrum.select(key, frame, "freq", "mag"), [key, "freq"], frame, {"_before": lambda w: F.lag("mag").over(w)}, before=1,
+    )
+    change = F.col("mag") - F.col("_before")
+    frames = checkpointed(steps.groupBy(key, frame).agg(
+        (F.sum(F.when(voice, power).otherwise(0.0)) / (F.sum(power) + 1e-10)).alias("_share"), F.sum(change * change).alias("flux")
+    ))
+    speech = frames.groupBy(key).agg(F.avg(F.when(F.col("_share") > 0.65, 1.0).otherwise(0.0)).alias("speech"))
+    return [speech, music_confidence(features, frames.filter("flux IS NOT NULL").select(key, frame, "flux"), key)]

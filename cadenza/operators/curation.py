@@ -340,10 +340,9 @@ def status_counts(records: DataFrame, status: Column, passed: Column) -> DataFra
 
 
 # ---- order and selection ---------------------------------------------------------------
-def rank_by_score(records: DataFrame, score: str, pos: str, chunk: int = seq.CHUNK) -> DataFrame:
+def rank_by_score(records: DataFrame, score: str, pos: str) -> DataFrame:
     """Rank by descending score, ties in input order."""
-    coarse = F.struct((-F.col(score)).alias("s"), seq.chunk_index(pos, chunk).alias("c"))
-    return seq.dense_position(records, [], coarse, [F.desc(score), F.col(pos)], "rank", start=1)
+    return seq.number_all(records, [F.desc(score), F.col(pos)], "rank", start=1)
 
 
 def running_total_cutoff(

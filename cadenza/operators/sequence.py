@@ -21,6 +21,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cadenza.sources.scratch import checkpointed
+
 CHUNK = 4096
 
 _CHUNK = "_chunk"
@@ -195,6 +197,25 @@ def dense_position(
     return joined.select(*df.columns, number.alias(out))
 
 
+def number_all(df: DataFrame, order: Sequence[str | Column], out: str, start: int = 0) -> DataFrame:
+    """Number all rows of a table in a total order without bringing them together.
+
+    Rows are dealt by ranges of the order and stored; the numbers of rows of the partitions, one row each,
+    give every partition its offset.
+    """
+    sorted_rows = (
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    )
+    placed = checkpointed(sorted_rows)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    number = (F.col("_offset") + F.col("_row") + start).cast("bigint")
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, number.alias(out))
+
+
 def run_starts(df: DataFrame, keys: Sequence[str], pos: str, label: str, chunk: int = CHUNK) -> DataFrame:
     """Rows that open a run of equal labels."""
     flagged = windowed(df, keys, pos, {"_before": lambda w: F.lag(label).over(w)}, before=1, chunk=chunk)
