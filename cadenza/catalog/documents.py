@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.catalog import views as vw
 from cadenza.catalog.registry import half_up as hu
 from cadenza.catalog.registry import query
+from cadenza.operators import selection
 from cadenza.operators import captions as cp
 
 D = vw.DUCK
@@ -190,7 +191,7 @@ def parse_song_segments(v):
     SELECT p.song, p.turn, p.part, {hu('s.start_sec')} AS start_sec, {hu('s.end_sec')} AS end_sec, p.choreography FROM {{song_parts}} p JOIN {{song_sections}} s ON s.song = p.song AND s.n = p.n""")
 def segment_number_join(v):
     times = v.song_sections.select("song", "n", "start_sec", "end_sec")
-    return song_parts(v).join(times, ["song", "n"]).select("song", "turn", "part", "start_sec", "end_sec", "choreography")
+    return selection.segment_times(song_parts(v), times, "song", "n").select("song", "turn", "part", "start_sec", "end_sec", "choreography")
 
 
 @query("format_segments", f"""
@@ -277,3 +278,12 @@ def modality_mask(v):
     return cp.modality_status(v.samples, "batch", "domain", "vec", disabled=["simple_tag"])
 
 
+@query("text_vectors", """
+    SELECT d.doc_id, CAST(trim(t) <> '' AS BIGINT) AS has_text, i AS dim, CASE WHEN trim(t) = '' THEN 0.0 ELSE CAST(e.embedding[i + 1] AS DOUBLE) END AS value
+    FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE text END AS t FROM {documents}) d JOIN {embeddings} e ON e.vec_id = d.doc_id, range(0, 64) r(i)""")
+def text_vectors(v):
+    texts = v.documents.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.col("text")).alias("t"))
+    known = v.embeddings.select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    held = texts.join(known.select("doc_id"), "doc_id", "left_semi")
+    out = cp.text_vectors(held, known, ["doc_id"], "t", "vec", 64)
+    return out.select("doc_id", (F.trim("t") != "").cast("bigint").alias("has_text"), F.posexplode("vec").alias("dim", "value"))

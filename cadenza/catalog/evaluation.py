@@ -75,11 +75,14 @@ D["computed"] = """
            CASE WHEN min(price) < 1010 THEN 'failed: price ' || CAST(CAST(floor(min(price)) AS BIGINT) AS VARCHAR) END AS error FROM {experiments} GROUP BY ALL"""
 
 
-@query("experiment_board", f"""
+D["board"] = f"""
     WITH old AS (SELECT experiment, epoch, min(price) AS fid_k FROM {{experiments}} WHERE status = 'P' AND price > 400000 GROUP BY ALL)
     SELECT experiment, epoch, {hu('fid_k', 4)} AS fid_k, {hu('fid_g', 4)} AS fid_g, {hu('div_k', 4)} AS div_k, {hu('div_g', 4)} AS div_g, error FROM (
         SELECT experiment, epoch, fid_k, 0.0 AS fid_g, 0.0 AS div_k, 0.0 AS div_g, NULL AS error FROM old
-        UNION ALL SELECT experiment, epoch, fid_k, fid_g, div_k, div_g, error FROM {{computed}} c WHERE NOT EXISTS (FROM old o WHERE o.experiment = c.experiment AND o.epoch = c.epoch))""")
+        UNION ALL SELECT experiment, epoch, fid_k, fid_g, div_k, div_g, error FROM {{computed}} c WHERE NOT EXISTS (FROM old o WHERE o.experiment = c.experiment AND o.epoch = c.epoch))"""
+
+
+@query("experiment_board", "SELECT * FROM {board}")
 def experiment_board(v):
     e = v.experiments
     keys = ["experiment", "epoch"]
@@ -92,3 +95,9 @@ def experiment_board(v):
     computed = wide.select(*keys, failed.alias("error"), F.explode(F.array(
         *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("_m")).select(*keys, "error", "_m.*")
     return rounded(ev.experiment_board(finished, computed, METRICS), *METRICS, digits=4)
+
+
+@query("chart_series", """
+    SELECT experiment, CAST(regexp_extract(epoch, '(\\d+)', 1) AS BIGINT) AS epoch, fid_k, fid_g, div_k, div_g FROM {board} WHERE error IS NULL""")
+def chart_series(v):
+    return ev.chart_series(experiment_board(v), METRICS)

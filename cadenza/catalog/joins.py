@@ -8,6 +8,7 @@ from cadenza.catalog import views as vw
 from cadenza.catalog.registry import half_up as hu
 from cadenza.catalog.registry import query, rounded
 from cadenza.catalog.sequences import bars, global_segments
+from cadenza.operators import selection as sel
 from cadenza.operators import motion as mo
 from cadenza.operators import names
 from cadenza.operators import sequence as seq
@@ -63,16 +64,15 @@ def annotation_lookup(v):
     JOIN (SELECT string_split(name, '_')[5] AS music, count(*) AS plays FROM {seq_names} GROUP BY 1) m ON m.music = string_split(n.name, '_')[-2]""")
 def modality_inner(v):
     music = v.seq_names.groupBy(F.split_part("name", F.lit("_"), F.lit(5)).alias("music")).agg(F.count(F.lit(1)).alias("plays"))
-    motion = v.seq_names.withColumn("music", F.split_part("name", F.lit("_"), F.lit(-2)))
     meta = v.labels.select(F.col("doc_id").alias("item"), "quality")
-    return motion.join(meta, "item").join(music, "music").select("item", "name", "quality", "plays")
+    return sel.modality_inner(v.seq_names, meta, music, "item", "name").select("item", "name", "quality", "plays")
 
 
 @query("length_align", f"""
     SELECT a.clip, count(*) AS frames, {hu('sum(a.x * b.y)', 4)} AS product FROM {{frames}} a JOIN {{signal}} b ON b.clip = a.clip + 1 AND b.i = a.frame GROUP BY 1""")
 def length_align(v):
     music = v.signal.select((F.col("clip") - 1).alias("clip"), F.col("i").alias("frame"), "y")
-    both = v.frames.select("clip", "frame", "x").join(music, ["clip", "frame"])
+    both = sel.align_lengths(v.frames.select("clip", "frame", "x"), music, "clip", "frame")
     return rounded(both.groupBy("clip").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.col("x") * F.col("y")).alias("product")), "product", digits=4)
 
 
@@ -90,8 +90,9 @@ def window_contains_segment(v):
            CAST(round_even(start_frame / 24.0 * 30.0, 0) AS BIGINT) AS start_30 FROM {segments}""")
 def fps_rescale(v):
     s = v.segments
-    return s.select("clip", "motion", (F.col("start_frame") * 2 - 16).alias("start_60"), (F.col("end_frame") * 2 - 16).alias("end_60"),
-                    F.bround(F.col("start_frame") / 24.0 * 30.0, 0).cast("bigint").alias("start_30"))
+    return s.select("clip", "motion", sel.rescale_frames(F.col("start_frame"), 2, 16).alias("start_60"),
+                    sel.rescale_frames(F.col("end_frame"), 2, 16).alias("end_60"),
+                    sel.seconds_to_frames(F.col("start_frame") / 24.0).alias("start_30"))
 
 
 # overlapping segments with texts: one long segment per label run opening, of length 1 + k % 9
@@ -297,8 +298,4 @@ def document_validity(v):
     SELECT 'kept' AS bucket, count(*) AS n, round(count(*) / (SELECT count(*) FROM {lengths}), 6) AS rate FROM {lengths} WHERE n_frames <= 70
     UNION ALL SELECT 'dropped', count(*), round(count(*) / (SELECT count(*) FROM {lengths}), 6) FROM {lengths} WHERE n_frames > 70""")
 def length_cap(v):
-    over = F.col("n_frames") > 70
-    agg = v.lengths.agg(F.count_if(~over).alias("kept"), F.count_if(over).alias("dropped"), F.count(F.lit(1)).alias("all"))
-    return agg.select(F.explode(F.array(
-        F.struct(F.lit("kept").alias("bucket"), F.col("kept").alias("n"), F.round(F.col("kept") / F.col("all"), 6).alias("rate")),
-        F.struct(F.lit("dropped").alias("bucket"), F.col("dropped").alias("n"), F.round(F.col("dropped") / F.col("all"), 6).alias("rate")))).alias("r")).select("r.*")
+    return sel.length_cap(v.lengths, "n_frames", 70)[1]

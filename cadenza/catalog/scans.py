@@ -220,8 +220,10 @@ def allow_list_semi(v):
 
 @query("ignore_list_anti", "SELECT item, name FROM {seq_names} WHERE name NOT IN (SELECT name FROM {seq_names} JOIN {part} ON item = p_partkey WHERE p_type = 'PROMO')")
 def ignore_list_anti(v):
+    from cadenza.operators import selection
+
     bad = v.seq_names.join(v.part.filter("p_type = 'PROMO'"), F.col("item") == F.col("p_partkey")).select("name")
-    return v.seq_names.select("item", "name").join(bad.distinct(), "name", "left_anti")
+    return selection.ignore_list(v.seq_names.select("item", "name"), bad, "name")
 
 
 @query("split_union", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.catalog import views as vw
 from cadenza.catalog.registry import half_up as hu
 from cadenza.catalog.registry import query, rounded
+from cadenza.operators import selection as sel
 from cadenza.operators import sequence as seq
 from cadenza.operators import timeline as tl
 
@@ -209,12 +210,12 @@ def greedy_timeline_merge(v):
     WITH n AS (SELECT count(*) AS total, greatest(1, CAST(floor(count(*) * 0.3) AS BIGINT)) AS size FROM {documents})
     SELECT doc_id FROM {documents} WHERE doc_id IN (SELECT CAST(floor(i * (total / size)) AS BIGINT) FROM (SELECT total, size, unnest(range(size)) AS i FROM n))""")
 def systematic_sample(v):
-    numbered = seq.dense_position(v.documents.select("doc_id"), [], seq.chunk_index("doc_id"), ["doc_id"], "pos")
+    numbered = seq.number_all(v.documents.select("doc_id"), ["doc_id"], "pos")
     total = v.documents.count()
     return tl.systematic_sample(numbered, "pos", total, max(1, int(total * 0.3))).select("doc_id")
 
 
 @query("cap_per_group", """
-    SELECT clip, frame, x FROM {frames} WHERE frame < 20""")
+    SELECT clip, frame, x FROM {frames} QUALIFY row_number() OVER (PARTITION BY clip ORDER BY frame) <= 20""")
 def cap_per_group(v):
-    return v.frames.filter("frame < 20").select("clip", "frame", "x")
+    return sel.cap_per_group(v.frames.select("clip", "frame", "x"), ["clip"], ["frame"], 20)
