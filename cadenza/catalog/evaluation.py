@@ -9,6 +9,7 @@ from cadenza.catalog.registry import half_up as hu
 from cadenza.catalog.registry import query, rounded
 from cadenza.catalog.vectors import cells
 from cadenza.operators import evaluation as ev
+from cadenza.plans import evaluation as job
 
 D = vw.DUCK
 S = vw.SHARED
@@ -101,3 +102,16 @@ def experiment_board(v):
     SELECT experiment, CAST(regexp_extract(epoch, '(\\d+)', 1) AS BIGINT) AS epoch, fid_k, fid_g, div_k, div_g FROM {board} WHERE error IS NULL""")
 def chart_series(v):
     return ev.chart_series(experiment_board(v), METRICS)
+
+
+@query("evaluation_job")
+def evaluation_job(v):
+    """Vectors stand for features: the first eight dimensions are kinetic, the next eight geometric; labels are epochs."""
+    part = lambda kind, start: v.embeddings.select(
+        F.concat(F.lit("run"), (F.col("vec_id") % 2).cast("string")).alias("experiment"), F.concat(F.lit("ep"), F.col("label").cast("string")).alias("epoch"),
+        F.col("vec_id").alias("seq"), F.lit(kind).alias("kind"), F.transform(F.slice("embedding", start, 8), lambda x: x.cast("double")).alias("vector"))
+    features = part("kinetic", 1).unionByName(part("geometric", 9))
+    finished = v.spark.createDataFrame([("run0", "ep0", 0.0, 0.0, 0.0, 0.0, None)],
+                                       "experiment string, epoch string, fid_k double, div_k double, fid_g double, div_g double, error string")
+    board = job.evaluate(features, features.drop("experiment", "epoch"), finished, {"kinetic": 8, "geometric": 8})
+    return rounded(board, "fid_k", "div_k", "fid_g", "div_g", digits=4)

@@ -25,7 +25,8 @@ def zscore_by_reference(features: DataFrame, reference: DataFrame, dim: str, val
 
     ``eps`` is added to the deviation; ``None`` replaces deviations under 1e-6 by one instead.
     """
-    stats = reference.groupBy(dim).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    # one row per dimension of a feature vector
+    stats = F.broadcast(reference.groupBy(dim).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")))
     scale = F.when(F.col("_std") < 1e-6, 1.0).otherwise(F.col("_std")) if eps is None else F.col("_std") + eps
     return features.join(stats, dim).select(
         *[((F.col(value) - F.col("_mean")) / scale).alias(value) if c == value else F.col(c) for c in features.columns]
@@ -33,31 +34,30 @@ def zscore_by_reference(features: DataFrame, reference: DataFrame, dim: str, val
 
 
 def _block_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per group of a batch: row count, vector sum and sum of outer products."""
+    """Per group of a batch: row count, vector sum and sum of outer products, one behind the other."""
     for batch in batches:
         rows = []
         for name, part in batch.groupby("_g", sort=False):
             m = np.asarray(part["_vec"].tolist(), dtype=np.float64)
-            rows.append((name, len(m), m.sum(axis=0).tolist(), (m.T @ m).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["_g", "n", "s", "ss"])
+            rows.append((name, np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()]).tolist()))
+        yield pd.DataFrame(rows, columns=["_g", "sums"])
 
 
 def moments(features: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
     """``(group, n, s, ss)``: count, sum and flattened sum of outer products, one row per group.
 
     Every Arrow batch is reduced to ``dims^2`` numbers before the shuffle, so the traffic does not
-    depend on the number of rows of a group; the partial sums are added per matrix cell.
+    depend on the number of rows of a group; the partial sums are added per cell, all in one pass.
     """
     named = features.select(F.col(group).cast("string").alias("_g"), F.col(vector).alias("_vec"))
-    partial = named.mapInPandas(_block_moments, "_g string, n bigint, s array<double>, ss array<double>")
-    counts = partial.groupBy("_g").agg(F.sum("n").alias("n"))
-
-    def summed(col: str) -> DataFrame:
-        cells = partial.select("_g", F.posexplode(col).alias("i", "v")).groupBy("_g", "i").agg(F.sum("v").alias("v"))
-        ordered = F.array_sort(F.collect_list(F.struct("i", "v")))  # dims^2 cells at most
-        return cells.groupBy("_g").agg(F.transform(ordered, lambda c: c["v"]).alias(col))
-
-    return counts.join(summed("s"), "_g").join(summed("ss"), "_g").withColumnRenamed("_g", group)
+    partial = named.mapInPandas(_block_moments, "_g string, sums array<double>")
+    cells = partial.select("_g", F.posexplode("sums").alias("i", "v")).groupBy("_g", "i").agg(F.sum("v").alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "v")))  # 1 + dims + dims^2 cells
+    summed = cells.groupBy("_g").agg(F.transform(ordered, lambda c: c["v"]).alias("_s"))
+    return summed.select(
+        F.col("_g").alias(group), F.get("_s", F.lit(0)).cast("bigint").alias("n"),
+        F.slice("_s", 2, dims).alias("s"), F.slice("_s", 2 + dims, dims * dims).alias("ss"),
+    )
 
 
 def _frechet(n1, s1, q1, n2, s2, q2) -> float:
@@ -109,15 +109,17 @@ def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "total": [total]})
 
 
-def mean_pairwise_distance(features: DataFrame, group: str, pos: str, vector: str, block: int = 512) -> DataFrame:
+def mean_pairwise_distance(features: DataFrame, group: str, pos: str, vector: str, block: int = 512, grid: int = 64) -> DataFrame:
     """Mean distance over all pairs of a group.
 
-    The sum needs every pair, but no pair becomes a row: vectors are cut into blocks by position,
-    each task gets two blocks and returns one number.
+    The sum needs every pair, but no pair becomes a row: vectors are dealt into blocks by a hash of their
+    position, each task gets two blocks and returns one number.  A group has blocks of about ``block``
+    vectors, ``grid`` blocks at most, so a vector is copied ``grid`` times at most however large the group.
     """
-    base = features.select(F.col(group).cast("string").alias("_g"), F.floor(F.col(pos) / block).cast("bigint").alias("_b"), F.col(vector).alias("_vec"))
-    count = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.max("_b").alias("_top"))
-    sized = base.join(count, "_g")
+    base = features.select(F.col(group).cast("string").alias("_g"), F.col(pos).alias("_pos"), F.col(vector).alias("_vec"))
+    count = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.least(F.lit(grid), F.ceil(F.col("n") / block)).cast("bigint")
+    sized = base.join(count, "_g").select("_g", "_vec", (blocks - 1).alias("_top"), F.pmod(F.xxhash64("_pos"), blocks).alias("_b"))
     i = F.lit(0).cast("bigint")
     left = sized.select("_g", F.col("_b").alias("_bi"), F.explode(F.sequence("_b", "_top")).alias("_bj"), F.lit(0).alias("_side"), "_vec")
     right = sized.filter("_b > 0").select(
