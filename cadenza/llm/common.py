@@ -29,6 +29,19 @@ def hashed_share(*keys: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, most: dict[int, int], seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows of ``docs`` with a 0/1 label, at most about ``most[label]`` of each label, and the numbers of all labels.
+
+    Keys are drawn from the labels by a hash before the texts are looked at, so the side that is broadcast
+    holds no more than the wanted rows whatever the size of the tables, and no text is shuffled.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias(label)).distinct()
+    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    share = F.when(F.col(label) == 1, most[1] / max(1, sizes.get(1, 0))).otherwise(most[0] / max(1, sizes.get(0, 0)))
+    drawn = known.filter(hashed_share(F.col(key), seed=seed) < share)
+    return docs.drop(label).join(F.broadcast(drawn), key), sizes
+
+
 def per_text(schema: str, fn: Callable[[list], list], text: Column, *more: Column, rows: int = TEXT_ROWS) -> Column:
     """Apply ``fn`` to lists of at most ``rows`` texts (``None`` where null) and pack its tuples into a struct.
 

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hashed_share, id_remainder, per_text, table
+from cadenza.llm.common import hashed_share, id_remainder, labelled_sample, per_text, table
 
 #: Labelled rows the dictionaries and thresholds are fitted on, at most about.
 TOXIC_ROWS = 1500
@@ -114,7 +114,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.5
 
 
 def fit(
-    rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
     toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, seed: int = 3,
 ) -> dict:
     """Dictionaries and calibration from a bounded sample of labelled rows, drawn by a hash of the key.
@@ -126,11 +126,9 @@ def fit(
     into a probability.  Equal texts count once.  Without toxic or ordinary rows every score is the share of
     toxic rows (0 without any).
     """
-    known = rows.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    share = F.when(F.col(label) == 1, toxic_rows / max(1, sizes.get(1, 0))).otherwise(ordinary_rows / max(1, sizes.get(0, 0)))
-    drawn = known.filter(hashed_share(F.col(key), F.col(text), seed=seed) < share).select(
-        F.col(text).alias("t"), F.col(label).cast("int").alias("y"), (hashed_share(F.col(text), seed=seed + 1) < 0.6).alias("a")
+    sample, sizes = labelled_sample(docs, labels, key, label, {1: toxic_rows, 0: ordinary_rows}, seed)
+    drawn = sample.filter(F.col(text).isNotNull()).select(
+        F.col(text).alias("t"), F.col(label).alias("y"), (hashed_share(F.col(text), seed=seed + 1) < 0.6).alias("a")
     ).distinct().collect()
     drawn.sort(key=lambda r: (r.y, r.a, r.t))
     part = lambda y, a: [r.t for r in drawn if r.y == y and r.a == a]
@@ -183,7 +181,7 @@ def score(text: Column, model: dict) -> Column:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
-    model = fit(documents.filter(~held_out).join(labels.select("doc_id", "toxic"), "doc_id"))
+    model = fit(documents, labels.filter(~held_out))
     return documents.select("doc_id", held_out.alias("held_out"), score(F.col("text"), model).alias("_s")).select(
         "doc_id", "held_out", "_s.score", (F.col("_s.score") >= 0.5).cast("int").alias("predicted"), "_s.gain"
     )
