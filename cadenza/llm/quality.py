@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hashed_share, id_remainder, per_text, table
+from cadenza.llm.common import id_remainder, labelled_sample, per_text, table
 
 #: Labelled rows a model is fitted on, at most about.
 TRAIN_ROWS = 6000
@@ -126,16 +126,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, feature
     return model
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", metadata: tuple[str, ...] = ("n_chars",),
-        train_rows: int = TRAIN_ROWS, seed: int = 5) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id",
+        metadata: tuple[str, ...] = ("n_chars",), train_rows: int = TRAIN_ROWS, seed: int = 5) -> dict:
     """A model from a bounded sample of the labelled rows, drawn by a hash of the key; whole texts are used.
 
     Rows are turned into sparse features where they lie; only those of the sample reach the driver.
     Labels other than 0 and 1 are passed over.  Without a label every score is 0.5.
     """
-    known = rows.filter(F.col(label).isin(0, 1))
-    total = known.count()
-
     def sparse(texts: list, *extra: list) -> list:
         out = []
         for t, *more in zip(texts, *extra):
@@ -143,9 +140,12 @@ def fit(rows: DataFrame, text: str = "text", label: str = "quality", key: str =
             out.append((ids.astype(np.int32).tobytes(), values.astype(np.float32).tobytes()))
         return out
 
-    drawn = known.filter(hashed_share(F.col(key), F.col(text), seed=seed) < min(1.0, train_rows / max(1, total)))
+    total = max(1, labels.filter(F.col(label).isin(0, 1)).count())
+    ones = labels.filter(F.col(label) == 1).count()
+    # both labels in the proportion they have
+    drawn, _ = labelled_sample(docs, labels, key, label, {1: train_rows * ones // total, 0: train_rows - train_rows * ones // total}, seed)
     got = drawn.select(
-        F.col(label).cast("int").alias("y"),
+        F.col(label).alias("y"),
         per_text("i binary, v binary", sparse, F.col(text), *[F.col(m).cast("double") for m in metadata]).alias("_f"),
     ).select("y", "_f.*").toPandas().sort_values(["y", "i", "v"])
     if not len(got):
@@ -174,7 +174,7 @@ def score(text: Column, fitted: dict, metadata: tuple[Column, ...] = ()) -> Colu
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
-    model = fit(documents.filter(~held_out).join(labels.select("doc_id", "quality"), "doc_id"))
+    model = fit(documents, labels.filter(~held_out))
     scored = score(F.col("text"), model, (F.col("n_chars"),)).score
     return documents.select("doc_id", held_out.alias("held_out"), scored.alias("score")).select(
         "*", (F.col("score") >= 0.3).cast("int").alias("predicted")
