@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import table
+from cadenza.sources.scratch import checkpointed
 
 #: Parts of one credential lie at most so many code points apart.
 SCOPE = 300
@@ -25,7 +26,6 @@ ENDPOINT = "[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.:@_-]+"
 BASE = ("assign", "access", "hex")
 WEAK = ("key", "login", "endpoint")
 _RANK = {kind: i for i, kind in enumerate(BASE + WEAK)}
-_ANY = "|".join((f"{_WORD}[\"']?\\x20*[:=]", ACCESS, HEX, KEY, f"{_LOGIN}[\"']?\\x20*[:=]", "://"))
 _NONE = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -54,13 +54,29 @@ def _found(text: Column, pattern: str, kind: str, value: int | None = None, leas
     return laid["out"]
 
 
+def _has(kind: str) -> Column:
+    """A cheap necessary condition for a span of the kind; long runs are tried only where a run begins."""
+    t = F.col("_t")
+    if kind == "access":
+        return t.contains("AKIA")
+    if kind in ("hex", "key"):
+        run, least = ("[0-9a-f]", 32) if kind == "hex" else ("[A-Za-z0-9+/]", 40)
+        return t.rlike(f"(?<!{run}){run}{{{least}}}")
+    if kind == "endpoint":
+        return t.contains("://")
+    word = _WORD if kind == "assign" else _LOGIN
+    return (t.contains("=") | t.contains(":")) & t.rlike(f"{word}[\"']?\\x20*[:=]")
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def find_spans(docs: DataFrame, text: str = "text", out: str = "spans", scope: int = SCOPE) -> DataFrame:
+def find_spans(docs: DataFrame, text: str = "text", out: str = "spans", scope: int = SCOPE, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with one more column: all spans of a text, sorted by start, then kind; any column ``out`` is replaced.
 
+    ``keep`` names the columns to return beside the spans, all by default; a text that is not kept is not shuffled.
+
     Base kinds (assignments, access identifiers, long hexadecimal runs) are always reported.  Weak candidates
     are linked: a ``key`` (40 or more base64 characters of mixed classes) needs an access identifier or login
     within ``scope`` code points, a ``login`` needs a key or an assigned secret, an ``endpoint`` needs an
@@ -70,15 +86,12 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "spans", scope: i
     """
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     nothing = F.array().cast(_NONE)
-    only = lambda found: F.when(F.col("_any"), found).otherwise(nothing)
-    kinds = [
-        ("_assign", _found(F.col("_t"), ASSIGN, "assign", 2, 8)), ("_access", _found(F.col("_t"), ACCESS, "access")),
-        ("_hex", _found(F.col("_t"), HEX, "hex")), ("_key", _found(F.col("_t"), KEY, "key")),
-        ("_login", _found(F.col("_t"), LOGIN, "login")), ("_endpoint", _found(F.col("_t"), ENDPOINT, "endpoint")),
-    ]
-    rest = [c for c in docs.columns if c != out]
+    found = {"assign": (ASSIGN, "assign", 2, 8), "access": (ACCESS, "access"), "hex": (HEX, "hex"),
+             "key": (KEY, "key"), "login": (LOGIN, "login"), "endpoint": (ENDPOINT, "endpoint")}
+    kinds = [F.when(_has(kind), _found(F.col("_t"), *how)).otherwise(nothing).alias(f"_{kind}") for kind, how in found.items()]
+    rest = [c for c in (docs.columns if keep is None else keep) if c != out]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), value.alias("_t"))
-    row = row.withColumn("_any", F.col("_t").rlike(_ANY)).select("_row", "_t", *[only(found).alias(name) for name, found in kinds])
+    row = row.select("_row", "_t", *kinds)
     mixed = lambda s: F.substr(F.col("_t"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).rlike(
         "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")
     row = row.withColumn("_key", F.filter("_key", mixed)).withColumn("_base", F.concat("_assign", "_access", "_hex"))
@@ -87,8 +100,9 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "spans", scope: i
     linkable = (F.size(F.concat("_key", "_login", "_endpoint")) > 0) & (F.size(identifiers) > 0) & (F.size(secrets) > 0)
     row = row.select("_row", "_base", F.when(linkable, F.sha2("_t", 256)).alias("_text"),
                      F.when(linkable, F.concat("_key", "_login", "_endpoint", "_access", "_assign")).alias("_parts"))
-    parts = row.filter("_text IS NOT NULL").groupBy("_text").agg(F.first("_parts").alias("_parts")).select("_text", F.explode("_parts").alias("p"))
-    parts = parts.select("_text", "p", F.floor(F.col("p.start") / scope).alias("_at"))
+    # one row for each distinct text with such parts, and one for all others; stored, as the joins read it often
+    distinct = checkpointed(row.groupBy("_text").agg(F.first("_parts").alias("_parts"))).filter("_text IS NOT NULL")
+    parts = distinct.select("_text", F.explode("_parts").alias("p")).select("_text", "p", F.floor(F.col("p.start") / scope).alias("_at"))
 
     def beside(weak: DataFrame, *partners: str) -> DataFrame:
         other = parts.filter(F.col("p.kind").isin(*partners)).select(
@@ -117,8 +131,11 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
 
-def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every span of the text replaced by ``mask``; overlapping spans share one.  Other rows stay as they are."""
+def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", scope: int = SCOPE, length: str | None = None) -> DataFrame:
+    """``docs`` with every span of the text replaced by ``mask``; overlapping spans share one.
+
+    A column ``length``, if there is one, becomes the length of a changed text.  Other rows stay as they are.
+    """
     name = "_spans"
     while name in docs.columns:
         name += "_"
@@ -136,11 +153,15 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", scope:
         ),
     )
     whole = F.concat(kept["out"], F.substr(F.col(f"`{text}`"), (kept["at"] + 1).cast("int")))
-    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(f"`{text}`"))).select(*[f"`{c}`" for c in docs.columns])
+    hit = F.size(spans) > 0
+    changed = found.withColumn(text, F.when(hit, whole).otherwise(F.col(f"`{text}`")))
+    if length in docs.columns:
+        changed = changed.withColumn(length, F.when(hit, F.length(F.col(f"`{text}`")).cast(dict(docs.dtypes)[length])).otherwise(F.col(f"`{length}`")))
+    return changed.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(_listed(base_spans(F.col("spans"))), 256).alias("base_sha256"),
                         _listed(F.col("spans")).alias("spans"))
