@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.pairs import pairs_in_buckets
 from cadenza.sources.scratch import checkpointed
 
-# tokens in more sets than this get their bucket split
-HOT_TOKEN = 4096
-
 
 def title_tokens(title: Column) -> Column:
     """Words of letters and digits plus bigrams of adjacent Han characters (a single one stays)."""
@@ -34,20 +36,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
-def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float = 0.85, spread: int = 64) -> DataFrame:
+def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float = 0.85) -> DataFrame:
     """``(pos, duplicate)``: true when an earlier record has Jaccard overlap of at least ``threshold``.
 
     Exact, in four steps:
 
     1. Equal token sets collapse by hash and compare (first one kept), however many copies there are.
     2. Two sets can only reach the threshold if they share one of their
-       ``n - ceil(threshold * n) + 1`` rarest tokens, so only those are joined on.
+       ``n - ceil(threshold * n) + 1`` rarest tokens, so only those are joined on: all others are too few
+       to make up the overlap the threshold asks for.
     3. Every set is first compared with one other per shared token: the earliest of the bucket,
        and the one just before it.  A hit settles it, so a large group of near copies costs a few
        comparisons per member.
-    4. Only sets still open are joined with all earlier sets of their buckets.  Size limits cut
-       candidates before any set is compared, and the bucket of a common token is split ``spread``
-       ways, so that it does not fill one task.
+    4. Only sets still open are compared with all earlier sets of their buckets whose size fits.  Buckets are
+       worked through in blocks of bounded size, and only pairs with an open set leave a task.
     """
     base = records.select(F.col(pos).alias("_pos"), F.array_sort(F.col(tokens)).alias("_tok"))
     # tokens are cut once; the last step only reads the two short columns of this table
@@ -65,7 +67,7 @@ def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float
         .select("_pos", "_n", F.explode(F.slice("_r", 1, (F.col("_n") - need + 1).cast("int"))).alias("_c"))
         .filter("_c._f > 1")
     )
-    prefix = checkpointed(ranked.select("_pos", "_n", F.col("_c._t").alias("_t"), (F.col("_c._f") > HOT_TOKEN).alias("_hot")))
+    prefix = checkpointed(ranked.select("_pos", "_n", F.col("_c._t").alias("_t")))
     fits = lambda a, b: (
         F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
     )
@@ -79,13 +81,22 @@ def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float
     cheap = probes.filter(F.col("_o").isNotNull() & (F.col("_o._pos") < F.col("_pos")) & fits(F.col("_o._n"), F.col("_n")))
     settled = checkpointed(_similar(cheap.select("_pos", F.col("_o._pos").alias("_q")).distinct(), sets, threshold))
     # step 4
-    open_cells = prefix.join(settled, "_pos", "left_anti")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    salted = open_cells.withColumn("_s", F.explode(every))
-    salt = F.when(F.col("_hot"), F.pmod(F.hash("_pos"), F.lit(spread))).otherwise(0)
-    earlier = prefix.select(F.col("_pos").alias("_q"), F.col("_n").alias("_m"), "_t", salt.alias("_s"))
-    pairs = salted.join(earlier, ["_t", "_s"]).filter((F.col("_q") < F.col("_pos")) & fits(F.col("_n"), F.col("_m")))
-    rest = _similar(pairs.select("_pos", "_q").distinct(), sets, threshold)
+    cells = prefix.join(settled.withColumn("_settled", F.lit(True)), "_pos", "left").select(
+        "_pos", F.xxhash64("_t").alias("_cell"), F.log("_n").alias("_size"), F.col("_settled").isNull().alias("_open")
+    )
+
+    def open_pairs(rows: pd.DataFrame, pairs) -> pd.DataFrame:
+        pos, is_open = rows["_pos"].to_numpy(), rows["_open"].to_numpy()
+        kept = [np.zeros((0, 2), np.int64)]
+        for a, b in pairs:
+            later, earlier = np.where(pos[a] > pos[b], a, b), np.where(pos[a] > pos[b], b, a)
+            wanted = is_open[later] & (pos[later] != pos[earlier])
+            kept.append(np.column_stack([pos[later[wanted]], pos[earlier[wanted]]]))
+        return pd.DataFrame(np.unique(np.concatenate(kept), axis=0), columns=["_pos", "_q"])
+
+    # sizes that fit differ by a fixed step of their logarithm
+    pairs = pairs_in_buckets(cells, "_cell", "_pos", open_pairs, "_pos long, _q long", "_size", -math.log(threshold) + 1e-9)
+    rest = _similar(pairs.distinct(), sets, threshold)
     hit = settled.unionByName(rest).distinct().withColumn("_hit", F.lit(True))
     verdict = sets.join(hit, "_pos", "left").select("_h", F.col("_pos").alias("_first_pos"), F.coalesce("_hit", F.lit(False)).alias("_hit"))
     return keyed.join(verdict, "_h").select(

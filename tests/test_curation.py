@@ -110,3 +110,23 @@ def test_cutoff_keeps_crossing_row(spark):
     df = spark.createDataFrame([(i, f"k{i // 2}", 10.0) for i in range(20)], "pos bigint, bvid string, sec double")
     kept = cur.running_total_cutoff(df, "bvid", "pos", "sec", 35.0, chunk=3).collect()
     assert sorted(r.bvid for r in kept) == ["k0", "k1", "k2", "k3"]
+
+
+def test_title_near_dup_with_a_crowded_token_and_a_chain(spark):
+    from cadenza.operators import titles
+
+    rng = __import__("random").Random(2)
+    rows = [(i, f"boiler plate passage number {rng.randrange(40)} and {i % 13}") for i in range(2500)]
+    # a chain: 1 is like 0, 2 like 1, but 2 is not like 0
+    words = [f"w{i}" for i in range(24)]
+    rows += [(5000, " ".join(words[:20])), (5001, " ".join(words[1:21])), (5002, " ".join(words[3:23])), (5003, "")]
+    frame = spark.createDataFrame(rows, "pos long, title string").withColumn("tokens", titles.title_tokens(F.col("title")))
+    got = {r.pos: r.duplicate for r in titles.near_duplicates(frame, "pos", "tokens", 0.8).collect()}
+    sets = {i: set(t.lower().split()) for i, t in rows}
+    kinds: dict = {}
+    for i, s in sorted(sets.items()):
+        key = frozenset(s)
+        near = key in kinds or any(len(s & set(k)) >= 0.8 * len(s | set(k)) for k in kinds)
+        kinds.setdefault(key, i)
+        assert got[i] == near, i
+    assert got[5001] and got[5002] and not got[5000] and not got[5003]
