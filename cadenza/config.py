@@ -24,7 +24,6 @@ GENERAL_QUERIES = (
     "舞蹈", "编舞", "独舞", "solo", "个人", "个人cut", "纯享", "全身", "练习室", "cover",
     "one take", "一镜到底",
 )
-STAGES = ("search", "filter", "dedup", "download", "vision", "audio", "rank", "output", "cleanup")
 GENRE_WORDS: dict[str, tuple[str, ...]] = {
     "urban": ("urban", "urban dance", "urban编舞", "urban舞蹈", "都市编舞"),
     "hoping": ("hoping", "popping", "poppin", "机械舞", "震感舞", "电流舞"),
@@ -64,6 +63,7 @@ GENRE_WORDS: dict[str, tuple[str, ...]] = {
 class CurationConfig:
     """Keyword lists and thresholds; every list is a parameter."""
 
+    # --- fixed values: the published defaults -------------------------------------------------
     min_duration_sec: float = 30.0
     max_duration_sec: float = 300.0
     min_view_count: int = 0
@@ -75,8 +75,6 @@ class CurationConfig:
     weight_whitelist: float = 0.40
     weight_genre: float = 0.35
     weight_audio_words: float = 0.25
-    target_total_hours: float = 0.0
-    search_oversample_rate: float = 4.0
     solo_threshold: float = 0.75
     uncertain_threshold: float = 0.45
     min_valid_person_ratio: float = 0.9
@@ -88,7 +86,6 @@ class CurationConfig:
     speech_ratio_max: float = 0.35
     min_music_conf: float | None = None
     audio_threshold: float = 0.60
-    title_sim_threshold: float = 0.85
     weight_solo: float = 0.55
     weight_audio: float = 0.30
     weight_metadata: float = 0.15
@@ -98,6 +95,7 @@ class CurationConfig:
     download_keep: bool = True
     download_review: bool = False
     download_min_fusion_score: float = 0.0
+    # --- end of fixed values ----------------------------------------------------------------
 
     @classmethod
     def from_json(cls, text: str) -> CurationConfig:
@@ -111,10 +109,5 @@ class CurationConfig:
             clean["genres"] = {g: tuple(w) for g, w in clean["genres"].items()}
         return cls(**clean)
 
-    def with_extra(self, whitelist: tuple[str, ...] = (), blacklist: tuple[str, ...] = ()) -> CurationConfig:
-        return dataclasses.replace(
-            self, whitelist=self.whitelist + tuple(whitelist), blacklist=self.blacklist + tuple(blacklist)
-        )
-
 
 DEFAULT = CurationConfig()

@@ -33,19 +33,22 @@ def normalize_items(raw: DataFrame, query: str | Column) -> DataFrame:
 
 
 # ---- metadata gates --------------------------------------------------------------------
-def _all_hits(low: Column, cfg: CurationConfig, white: list[str], black: list[str]) -> Column:
+def _all_hits(text: Column, cfg: CurationConfig, white: list[str], black: list[str]) -> Column:
+    """One search for each distinct word; genres and their words follow from the white list's hits."""
     genres = sorted(cfg.genres)
-    hit = [F.when(F.size(tx.keyword_hits(low, cfg.genres[g])) > 0, F.lit(g)) for g in genres]
-    words = sorted({w for g in genres for w in cfg.genres[g]})
     none = F.array().cast("array<string>")
-    return F.struct(
-        tx.keyword_hits(low, white).alias("_white"),
-        tx.keyword_hits(low, black).alias("_black"),
-        tx.keyword_hits(low, cfg.audio_boost).alias("_boost"),
-        tx.keyword_hits(low, cfg.audio_penalty).alias("_penalty"),
-        (F.array_compact(F.array(*hit)) if genres else none).alias("_genres"),
-        (tx.keyword_hits(low, words) if genres else none).alias("_words"),
-    )
+    listed = lambda words: F.array(*[F.lit(w) for w in words])
+    searched = F.transform(F.array(F.lower(text)), lambda low: F.struct(
+        tx.keyword_hits(low, white).alias("white"), tx.keyword_hits(low, black).alias("black"),
+        tx.keyword_hits(low, cfg.audio_boost).alias("boost"), tx.keyword_hits(low, cfg.audio_penalty).alias("penalty"),
+    ))
+    words = sorted({w for g in genres for w in cfg.genres[g]})
+    hit = lambda h: [F.when(F.arrays_overlap(h["white"], listed(cfg.genres[g])), F.lit(g)) for g in genres if cfg.genres[g]]
+    return F.get(F.transform(searched, lambda h: F.struct(
+        h["white"].alias("_white"), h["black"].alias("_black"), h["boost"].alias("_boost"), h["penalty"].alias("_penalty"),
+        (F.array_compact(F.array(*hit(h))) if hit(h) else none).alias("_genres"),
+        (F.array_intersect(listed(words), h["white"]) if words else none).alias("_words"),
+    )), F.lit(0))
 
 
 def metadata_gate(items: DataFrame, cfg: CurationConfig = DEFAULT) -> DataFrame:
@@ -53,7 +56,8 @@ def metadata_gate(items: DataFrame, cfg: CurationConfig = DEFAULT) -> DataFrame:
 
     Adds pass flag, score, matched genres/keywords and the list of reasons.  A record stops at
     the first rule that rejects it: duration, views, black list, then penalty words; genres are
-    already filled when a penalty word rejects.
+    already filled when a penalty word rejects.  Reasons name a few words of each list, the columns
+    ``whitelist_hits``, ``blacklist_hits``, ``boost_hits`` and ``penalty_hits`` hold all of them.
     """
     genre_words = [w for g in cfg.genres.values() for w in g]
     white = sorted(set(cfg.whitelist) | set(genre_words))
@@ -61,8 +65,7 @@ def metadata_gate(items: DataFrame, cfg: CurationConfig = DEFAULT) -> DataFrame:
     text = F.concat(F.col("title"), F.lit(" "), F.array_join("tags", " "))
     # the generator evaluates the text search once per row; as plain columns the optimizer would
     # copy it into every expression and pushed-down filter that uses a hit list
-    found = F.get(F.transform(F.array(F.lower(text)), lambda low: _all_hits(low, cfg, white, black)), F.lit(0))
-    hits = items.select("*", F.inline(F.array(found)))
+    hits = items.select("*", F.inline(F.array(_all_hits(text, cfg, white, black))))
     early = (
         F.when(
             F.col("duration_sec") < cfg.min_duration_sec,
@@ -114,7 +117,8 @@ def metadata_gate(items: DataFrame, cfg: CurationConfig = DEFAULT) -> DataFrame:
         "metadata_filter_reasons",
         F.when(F.col("_early").isNotNull(), F.array("_early")).otherwise(F.array_compact(reasons)),
     )
-    return judged.drop("_white", "_black", "_boost", "_penalty", "_genres", "_words", "_early", "_late")
+    all_hits = {"_white": "whitelist_hits", "_black": "blacklist_hits", "_boost": "boost_hits", "_penalty": "penalty_hits"}
+    return judged.withColumnsRenamed(all_hits).drop("_genres", "_words", "_early", "_late")
 
 
 # ---- duplicates ------------------------------------------------------------------------

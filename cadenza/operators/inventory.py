@@ -100,10 +100,13 @@ def priority_path(files: DataFrame, key: str) -> DataFrame:
 def run_stages(spark, stages, base: str, run_from: str) -> dict[str, DataFrame]:
     """Run ordered ``(name, fn(previous) -> DataFrame)`` stages, each kept as a table under ``base``.
 
-    Stages before ``run_from`` are read back; from there on they are computed again and saved.
+    Stages before ``run_from`` are read back; from there on they are computed again and saved.  An unknown
+    name is an error.
     """
     names = [n for n, _ in stages]
-    first = names.index(run_from) if run_from in names else 0
+    if run_from not in names:
+        raise ValueError(f"no stage {run_from!r} among {names}")
+    first = names.index(run_from)
     out: dict[str, DataFrame] = {}
     for i, (name, fn) in enumerate(stages):
         path = f"{base}/{name}"
