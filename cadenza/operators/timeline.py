@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cadenza.operators import sequence as seq
 from cadenza.operators.intervals import bucketed_interval_join
@@ -99,7 +97,7 @@ def tail_pad(frames: DataFrame, lengths: DataFrame, key: str, pos: str, length:
 def frame_stack(frames: DataFrame, key: str, pos: str, values: str, rate: int, skip: int = 1) -> DataFrame:
     """``rate`` consecutive rows side by side; the first ``skip`` stacked rows are left out.
 
-    A group holds exactly ``rate`` rows; an incomplete last group is dropped.
+    A group holds exactly ``rate`` rows; ``unstacked`` tells which rows are in no whole group.
     """
     group = F.floor(F.col(pos) / rate).cast("bigint")
     return (
@@ -110,47 +108,66 @@ def frame_stack(frames: DataFrame, key: str, pos: str, values: str, rate: int, s
     )
 
 
+def unstacked(frames: DataFrame, key: str, pos: str, rate: int) -> DataFrame:
+    """``(key, step, rows, reason)`` of the groups ``frame_stack`` has no place for, before its first steps are left out."""
+    group = F.floor(F.col(pos) / rate).cast("bigint")
+    counted = frames.groupBy(key, group.alias("step")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.filter(F.col("rows") != rate).withColumn("reason", F.lit("incomplete group"))
+
+
 # ---- runs and segments -----------------------------------------------------------------
-def _merge_units(labels: list) -> list[int]:
-    """Starts of the label runs after every run of length one has joined a neighbour."""
-    n = len(labels)
-    starts = [i for i in range(n) if i == 0 or labels[i] != labels[i - 1]]
-    bounds = [*starts, n]
-    at = 0
-    while len(bounds) > 2 and at < len(bounds) - 1:
-        if bounds[at + 1] - bounds[at] != 1:
-            at += 1
-            continue
-        before = bounds[at] - bounds[at - 1] if at > 0 else math.inf
-        after = bounds[at + 2] - bounds[at + 1] if at + 2 < len(bounds) else math.inf
-        del bounds[at if before <= after else at + 1]
-    return bounds[:-1]
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def merge_unit_blocks(labels: pd.Series) -> pd.Series:
-    """Order-dependent fold over one slice's labels (18 per slice, so a small bounded array)."""
-    return labels.map(lambda a: _merge_units(list(a)))
+def merge_unit_blocks(labels: Column) -> Column:
+    """Starts of the label runs after every run of length one has joined its shorter neighbour.
+
+    The fold goes from left to right over one slice's small array: each step either moves on or
+    removes one border, so twice as many steps as labels are enough.
+    """
+    n = F.size(labels)
+    place = F.sequence(F.lit(0), n - 1)
+    starts = F.filter(place, lambda i: (i == 0) | ~F.get(labels, i).eqNullSafe(F.get(labels, i - 1)))
+    far = F.lit(2**31 - 1)
+
+    def step(s: Column, _: Column) -> Column:
+        b, at = s["b"], s["at"]
+        gap = lambda i: F.get(b, i + 1) - F.get(b, i)
+        before = F.when(at > 0, gap(at - 1)).otherwise(far)
+        after = F.when(at + 2 < F.size(b), gap(at + 1)).otherwise(far)
+        gone = F.when(before <= after, at).otherwise(at + 1)
+        state = lambda borders, i: F.struct(borders.alias("b"), i.alias("at"))
+        return (
+            F.when((F.size(b) <= 2) | (at >= F.size(b) - 1), state(b, at))
+            .when(gap(at) != 1, state(b, at + 1))
+            .otherwise(state(F.filter(b, lambda x, i: i != gone), at))
+        )
+
+    first = F.struct(F.concat(starts, F.array(n)).alias("b"), F.lit(0).alias("at"))
+    borders = F.aggregate(F.sequence(F.lit(1), 2 * n), first, step)["b"]
+    return F.slice(borders, 1, F.size(borders) - 1).cast("array<bigint>")
 
 
 def slice_blocks(frames: DataFrame, key: str, pos: str, label: str, units: int = 18, length: int = 150) -> DataFrame:
-    """Label runs of every slice of ``units`` labels, unit runs merged, rescaled to ``length`` frames."""
+    """Label runs of every slice of ``units`` labels, unit runs merged, rescaled to ``length`` frames.
+
+    A shorter last slice keeps the scale and ends where its labels end.
+    """
     grouped = (
         frames.groupBy(key, F.floor(F.col(pos) / units).cast("bigint").alias("slice_idx"))
         .agg(F.array_sort(F.collect_list(F.struct(pos, label))).alias("_rows"))
-        .filter(F.size("_rows") == units)
         .select(key, "slice_idx", F.transform("_rows", lambda r: r[label]).alias("_labels"))
     )
-    starts = grouped.select(key, "slice_idx", merge_unit_blocks("_labels").alias("_starts"))
-    return starts.select(key, "slice_idx", F.posexplode(rescale_blocks(F.col("_starts"), units, length)).alias("motion", "_s")).select(
+    starts = grouped.select(key, "slice_idx", merge_unit_blocks(F.col("_labels")).alias("_starts"), F.size("_labels").alias("_n"))
+    blocks = rescale_blocks(F.col("_starts"), units, length, F.col("_n"))
+    return starts.select(key, "slice_idx", F.posexplode(blocks).alias("motion", "_s")).select(
         key, "slice_idx", F.col("motion").cast("bigint").alias("motion"), "_s.*"
     )
 
 
-def rescale_blocks(starts: Column, units: int = 18, length: int = 150) -> Column:
-    """Starts in units to ``array<struct<start_frame,end_frame>>``; the last block ends at ``length``."""
-    scaled = F.transform(starts, lambda s: F.bround(s * float(length) / float(units), 0).cast("bigint"))
-    ends = F.concat(F.slice(scaled, 2, F.greatest(F.size(scaled) - 1, F.lit(0))), F.array(F.lit(length).cast("bigint")))
+def rescale_blocks(starts: Column, units: int = 18, length: int = 150, last: Column | None = None) -> Column:
+    """Starts in units to ``array<struct<start_frame,end_frame>>``; the last block ends after ``last`` units, all by default."""
+    frame = lambda s: F.bround(s * float(length) / float(units), 0).cast("bigint")
+    scaled = F.transform(starts, frame)
+    end = F.lit(length).cast("bigint") if last is None else frame(last)
+    ends = F.concat(F.slice(scaled, 2, F.greatest(F.size(scaled) - 1, F.lit(0))), F.array(end))
     return F.zip_with(scaled, ends, lambda s, e: F.struct(s.alias("start_frame"), e.alias("end_frame")))
 
 

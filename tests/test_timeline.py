@@ -27,14 +27,20 @@ def unit_merge_loop(a):
 
 def test_unit_runs_join_a_neighbour(spark):
     rng = random.Random(3)
-    for _ in range(300):
-        a = [rng.randint(0, 3) for _ in range(rng.choice([1, 2, 5, 18]))]
-        assert tl._merge_units(a) == unit_merge_loop(a), a
+    cases = [[rng.randint(0, 3) for _ in range(rng.choice([1, 2, 5, 18]))] for _ in range(300)]
+    for r in spark.createDataFrame([(a,) for a in cases], "a array<int>").select("a", tl.merge_unit_blocks(F.col("a")).alias("s")).collect():
+        assert r.s == unit_merge_loop(r.a), r.a
     rows = [(0, i, v) for i, v in enumerate([1, 1, 2, 3, 3, 3, 4, 4, 5, 5, 5, 5, 6, 6, 7, 7, 8, 8])]
     df = spark.createDataFrame(rows, "clip bigint, frame bigint, label int")
     out = sorted(map(tuple, tl.slice_blocks(df, "clip", "frame", "label").select("start_frame", "end_frame").collect()))
     assert out[0] == (0, 25) and out[-1][1] == 150
     assert all(a[1] == b[0] for a, b in zip(out, out[1:], strict=False))
+    # a short last slice keeps the scale: 6 of 18 labels are 50 of 150 frames
+    longer = spark.createDataFrame(rows + [(0, 18 + i, v) for i, v in enumerate([1, 1, 1, 2, 2, 2])], df.schema)
+    tail = tl.slice_blocks(longer, "clip", "frame", "label").filter("slice_idx = 1").orderBy("motion").collect()
+    assert [(r.start_frame, r.end_frame) for r in tail] == [(0, 25), (25, 50)]
+    left = tl.unstacked(longer, "clip", "frame", 5).collect()
+    assert [(r.step, r.rows) for r in left] == [(4, 4)]
 
 
 def greedy_loop(segs, short=10):
