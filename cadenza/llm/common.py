@@ -11,8 +11,11 @@ from pyspark.sql.functions import pandas_udf
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Rows of text a Python task turns into arrays at once.
+#: Rows of an Arrow batch at most: texts are long, and the JVM and Python hold whole batches.
+BATCH_ROWS = 1000
+#: Rows and characters of text a Python task turns into arrays at once; a longer text stands alone.
 TEXT_ROWS = 256
+TEXT_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,21 +45,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, mo
     return docs.drop(label).join(F.broadcast(drawn), key), sizes
 
 
-def per_text(schema: str, fn: Callable[[list], list], text: Column, *more: Column, rows: int = TEXT_ROWS) -> Column:
+def per_text(schema: str, fn: Callable[[list], list], text: Column, *more: Column, rows: int = TEXT_ROWS, chars: int = TEXT_CHARS) -> Column:
     """Apply ``fn`` to lists of at most ``rows`` texts (``None`` where null) and pack its tuples into a struct.
 
+    The session's limit of rows in an Arrow batch is lowered to ``BATCH_ROWS`` if it is higher.  A list also ends
+    once its texts have ``chars`` characters, so memory is bounded by that and the longest text.
+
     Further columns reach ``fn`` as further lists.  The texts alone go to Python, so columns of the
     table with any name stay untouched.
     """
 
+    session, limit = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(session.conf.get(limit)) <= BATCH_ROWS:
+        session.conf.set(limit, str(BATCH_ROWS))
+
     def run(batches: Iterator) -> Iterator[pd.DataFrame]:
         names = [part.split()[0].strip("`:") for part in _fields(schema)]
         for batch in batches:
             columns = batch if isinstance(batch, tuple) else (batch,)
             lists = [c.where(c.notna(), None).tolist() for c in columns]
             found: list = []
-            for at in range(0, len(lists[0]), rows):
-                found += fn(*[v[at : at + rows] for v in lists])
+            at = 0
+            while at < len(lists[0]):
+                end, held = at, 0
+                while end < len(lists[0]) and end - at < rows and (held < chars):
+                    held += 0 if lists[0][end] is None else len(lists[0][end])
+                    end += 1
+                found += fn(*[v[at:end] for v in lists])
+                at = end
             yield pd.DataFrame(found, columns=names)
 
     if more:

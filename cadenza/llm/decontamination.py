@@ -19,7 +19,7 @@ SAMPLED = 4
 SAMPLES_PER_WALK = 6
 MOST_WALKS = 64
 #: Texts a task searches at once.
-TEXT_ROWS = 1024
+TEXT_ROWS = 1000
 
 _WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -276,7 +276,7 @@ def _search(text: Column, index: Index) -> Column:
         return [([{"item": index.names[i], "edits": e, "words": len(index.items[i]), "start": s, "end": t}
                   for i, (e, s, t) in sorted(found.items())],) for found in best]
 
-    return per_text("found array<struct<item:bigint,edits:int,words:int,start:int,end:int>>", run, text, rows=TEXT_ROWS).found
+    return per_text("found array<struct<item:bigint,edits:int,words:int,start:int,end:int>>", run, text, rows=TEXT_ROWS, chars=1 << 22).found
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

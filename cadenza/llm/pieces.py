@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from itertools import count as counter
 
 import numpy as np
 import sentencepiece
@@ -15,8 +17,8 @@ from cadenza.llm.common import per_text, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Exponent of the piece probabilities: 0 samples all segmentations alike, large values the likeliest one.
 SHARPNESS = 1.0
-#: Texts a task segments at once.
-TEXT_ROWS = 512
+#: Characters a task segments at once; a longer text stands alone.
+TEXT_CHARS = 600_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -80,8 +82,11 @@ class Pieces:
         self.ids = np.fromiter(texts.values(), np.int64, len(texts))[order]
         self.weights = np.fromiter((weights[t] for t in texts), float, len(texts))[order] * self.sharpness
         self.least *= self.sharpness
-        self.rough = np.zeros(1 << 20, bool)
-        self.rough[self.hashes >> np.uint64(44)] = True
+        # where the hashes with the same 20 leading bits begin; pieces that share them follow one another
+        lead = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.first = np.full(1 << 20, -1, np.int32)
+        self.first[lead[::-1]] = np.arange(len(lead), dtype=np.int32)[::-1]
+        self.crowd = int(np.bincount(lead).max())
         # no piece runs over such a place, so the lattice falls apart there and its parts are sampled on their own
         crossing = [t for t in texts if re.search(r"[^ ] |\n.|.\n", t, re.S)]
         self.parts = re.compile(r" *[^ \n]+|\n| +" if not crossing else r"(?s).+")
@@ -100,6 +105,7 @@ class Pieces:
         if ids is None:
             return None
         self.load()
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         raw = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return raw[1:] if self.prefix and raw else raw
 
@@ -111,20 +117,21 @@ class Pieces:
         (seed, part, step) alone.  Null gives null, an empty text no piece.
         """
         self.load()
-        found: dict[str, int] = {}
-        owner, word, lengths = [], [], []
+        found: defaultdict[str, int] = defaultdict(counter().__next__)
+        word, lengths = [], []
         for text in texts:
             parts = self.parts.findall(f" {text}" if self.prefix else text) if text else []
-            word += [found.setdefault(p, len(found)) for p in parts]
+            word.append(np.fromiter(map(found.__getitem__, parts), np.int64, len(parts)))
             lengths.append(len(parts))
         if not found:
             return [None if t is None else np.zeros(0, np.int32) for t in texts]
         owner = np.repeat(np.arange(len(texts)), lengths)
+        word = np.concatenate(word)
         ordinal = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        begins, ends, from_, to, code, chance, codes = self._lattice(list(found))
+        lattice = self._lattice(list(found))
         seed = np.array([(s or 0) % (1 << 64) for s in seeds], np.uint64)[owner]
         stream = _mix(seed * _A + ordinal.astype(np.uint64) + np.uint64(1))
-        return self._backward(texts, owner, np.array(word), stream, begins, ends, from_, to, code, chance, codes)
+        return self._backward(texts, owner, word, stream, *lattice)
 
     def _lattice(self, parts: list[str]):
         """Edges of the lattices of all parts, sorted by where they end, with the chance that a path came through them."""
@@ -136,68 +143,91 @@ class Pieces:
         part = np.repeat(np.arange(len(parts)), sizes)
         at = np.arange(len(chars))
         stop = np.cumsum(sizes)[part]
-        h = np.zeros(len(chars), np.uint64)
+        h, letters = np.zeros(len(chars), np.uint64), (chars + 1).astype(np.uint64)
         live = at
         edge_from, edge_len, edge_code, edge_weight = [], [], [], []
         for n in range(1, self.longest + 1):
-            live = live[live + n <= stop[live]]
+            fits = live + n <= stop
+            live, stop, h = live[fits], stop[fits], h[fits]
             if not len(live):
                 break
-            h[live] = h[live] * _A + (chars[live + n - 1] + 1).astype(np.uint64)
-            mixed = _mix(h[live])
-            maybe = self.rough[mixed >> np.uint64(44)]
-            place = np.minimum(np.searchsorted(self.hashes, mixed[maybe]), len(self.hashes) - 1)
-            right = self.hashes[place] == mixed[maybe]
-            hit, place = live[maybe][right], place[right]
+            h = h * _A + letters[live + (n - 1)]
+            hit, place = self._known(live, _mix(h))
             edge_from.append(hit)
             edge_len.append(np.full(len(hit), n))
             edge_code.append(self.ids[place])
             edge_weight.append(self.weights[place])
             if n == 1:
                 # characters that are no piece are spelled in bytes
-                rest = np.setdiff1d(live, hit, assume_unique=True)
+                known = np.zeros(len(chars), bool)
+                known[hit] = True
+                rest = live[~known[live]]
                 points = chars[rest]
                 spelled = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
                 edge_from.append(rest)
                 edge_len.append(np.ones(len(rest), np.int64))
                 edge_code.append(-1 - points)
                 edge_weight.append(self.least * spelled)
-        first = np.concatenate(edge_from)
-        from_ = first + part[first]
-        to = from_ + np.concatenate(edge_len)
-        code, weight = np.concatenate(edge_code), np.concatenate(edge_weight)
-        local = to - begins[part[first]]
-        order = np.lexsort((to, local))
-        from_, to, code, weight, local = (x[order] for x in (from_, to, code, weight, local))
+        # longest pieces first: they are the likeliest, and a draw mostly ends at the first edge it looks at
+        start = np.concatenate(edge_from[::-1])
+        from_ = (start + part[start]).astype(np.int32)
+        to = from_ + np.concatenate(edge_len[::-1]).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        from_, to, start = from_[order], to[order], start[order]
+        code, weight = np.concatenate(edge_code[::-1])[order], np.concatenate(edge_weight[::-1])[order]
+        local = to - begins[part[start]]
+        # place after place, all parts at once
+        order = np.argsort(local.astype(np.uint16) if local.max() < 1 << 16 else local, kind="stable")
+        from_2, to_2, weight_2, local = from_[order], to[order], weight[order], local[order]
         total = np.zeros(len(chars) + len(parts))
         cuts = np.searchsorted(local, np.arange(1, local[-1] + 2))
         for low, high in zip(cuts[:-1], cuts[1:]):
-            value = total[from_[low:high]] + weight[low:high]
-            heads = np.flatnonzero(np.concatenate(([True], to[low + 1 : high] != to[low : high - 1])))
+            value = total[from_2[low:high]] + weight_2[low:high]
+            heads = np.flatnonzero(np.concatenate(([True], to_2[low + 1 : high] != to_2[low : high - 1])))
             top = np.maximum.reduceat(value, heads)
             each = np.diff(np.append(heads, high - low))
-            total[to[low:high][heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, each)), heads))
-        order = np.argsort(to, kind="stable")
-        from_, to, code, weight = (x[order] for x in (from_, to, code, weight))
+            total[to_2[low:high][heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, each)), heads))
+        del from_2, to_2, weight_2, local, order, start
         chance = np.exp(total[from_] + weight - total[to])
-        codes = np.unique(code)
-        return begins, ends, from_, to, np.searchsorted(codes, code), chance, codes
+        # spelled characters follow the pieces
+        spelled, back = np.unique(code[code < 0], return_inverse=True)
+        code[code < 0] = len(self.bytes_of) + back
+        return begins, ends, from_, to, code, chance, -1 - spelled
 
-    def _backward(self, texts, owner, word, stream, begins, ends, from_, to, code, chance, codes) -> list[np.ndarray | None]:
+    def _known(self, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places whose hash is that of a piece, and the piece."""
+        slot = self.first[hashes >> np.uint64(44)]
+        maybe = slot >= 0
+        places, hashes, slot = places[maybe], hashes[maybe], slot[maybe]
+        right = self.hashes[slot] == hashes
+        found = [(places[right], slot[right])]
+        for _ in range(self.crowd - 1):
+            places, hashes, slot = places[~right], hashes[~right], slot[~right] + 1
+            slot = np.minimum(slot, len(self.hashes) - 1)
+            right = self.hashes[slot] == hashes
+            found.append((places[right], slot[right]))
+        hit, place = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(hit, kind="stable")
+        return hit[order], place[order]
+
+    def _backward(self, texts, owner, word, stream, begins, ends, from_, to, code, chance, points) -> list[np.ndarray | None]:
         heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         many = np.diff(np.append(heads, len(to)))
         summed = np.cumsum(chance)
         within = summed - np.repeat(summed[heads] - chance[heads], many)
         within[heads + many - 1] = 1.0
-        rank = np.zeros(ends[-1] + 1, np.int64)
-        rank[to[heads]] = np.arange(len(heads))
-        keys = np.repeat(np.arange(len(heads)), many) + np.minimum(within, 1.0)
+        first = np.zeros(ends[-1] + 1, np.int64)
+        first[to[heads]] = heads
         cursor, live, step = ends[word], np.arange(len(word)), 0
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(len(word), np.int64)
         while len(live):
             u = (_mix(stream[live] + np.uint64(step * int(_B) % (1 << 64))) >> np.uint64(12)).astype(float) * 2.0**-52
-            edge = np.searchsorted(keys, rank[cursor[live]] + u, side="right")
+            edge = first[cursor[live]]
+            late = np.flatnonzero(u >= within[edge])
+            while len(late):
+                edge[late] += 1
+                late = late[u[late] >= within[edge[late]]]
             drawn.append((live, edge))
             count[live] += 1
             cursor[live] = from_[edge]
@@ -208,11 +238,13 @@ class Pieces:
         for s, (who, edge) in enumerate(drawn):
             path[offset[who] + count[who] - 1 - s] = code[edge]
         # spelled characters give as many ids as they have bytes
-        spelled = [self.byte_ids[list(chr(-1 - c).encode("utf-8", "surrogatepass"))] if c < 0 else np.array([c]) for c in codes.tolist()]
-        size = np.array([len(s) for s in spelled])
-        wide = np.zeros((len(spelled), 4), np.int32)
-        for i, s in enumerate(spelled):
-            wide[i, : len(s)] = s
+        plain = len(self.bytes_of)
+        size, wide = np.ones(plain + len(points), np.int64), np.zeros((plain + len(points), 4), np.int32)
+        wide[:plain, 0] = np.arange(plain)
+        for i, point in enumerate(points.tolist(), plain):
+            spelled = self.byte_ids[list(chr(point).encode("utf-8", "surrogatepass"))]
+            size[i] = len(spelled)
+            wide[i, : len(spelled)] = spelled
         lengths = size[path]
         ids = wide[np.repeat(path, lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)]
         per_row = np.bincount(np.repeat(owner, count), lengths, len(texts)).astype(np.int64)
@@ -231,7 +263,16 @@ def encode(text: Column, key: Column, pieces: Pieces) -> Column:
     def run(texts: list, seeds: list) -> list:
         return [(ids,) for ids in pieces.sample(texts, seeds)]
 
-    return per_text("ids array<int>", run, text, F.xxhash64(key), rows=TEXT_ROWS).ids
+    return per_text("ids array<int>", run, text, F.xxhash64(key), rows=1 << 16, chars=TEXT_CHARS).ids
+
+
+def encode_checked(text: Column, key: Column, pieces: Pieces) -> Column:
+    """``struct(ids, lossless)``: as ``encode``, each segmentation decoded again and compared with its text."""
+
+    def run(texts: list, seeds: list) -> list:
+        return [(ids, pieces.decode(ids) == t) for t, ids in zip(texts, pieces.sample(texts, seeds))]
+
+    return per_text("ids array<int>, lossless boolean", run, text, F.xxhash64(key), rows=1 << 16, chars=TEXT_CHARS)
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
@@ -242,6 +283,6 @@ def decode(ids: Column, pieces: Pieces) -> Column:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = load()
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", encode(F.col("text"), F.col("doc_id"), pieces).alias("ids"))
-    return documents.select("doc_id", "ids", F.size("ids").alias("n_pieces"), decode(F.col("ids"), pieces).eqNullSafe(F.col("text")).alias("lossless"))
+    coded = encode_checked(F.col("text"), F.col("doc_id"), load())
+    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("_c")).select(
+        "doc_id", "_c.ids", F.size("_c.ids").alias("n_pieces"), "_c.lossless")
