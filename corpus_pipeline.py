@@ -40,9 +40,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the sampled piece ids, and whether decoding them gives back the text."""
-    model = pieces.load()
-    coded = docs.withColumn("ids", pieces.encode(F.col("text"), F.col("doc_id"), model))
-    return coded.withColumn("lossless", pieces.decode(F.col("ids"), model).eqNullSafe(F.col("text")))
+    coded = docs.select(*[F.col(c) for c in docs.columns if c not in ("ids", "lossless")],
+                        pieces.encode_checked(F.col("text"), F.col("doc_id"), pieces.load()).alias("_coded"))
+    return coded.select(*coded.columns[:-1], "_coded.*")
 
 
 STAGES = [
