@@ -67,14 +67,14 @@ def structure(text: str, words: list[str], cells: np.ndarray) -> list[float]:
 
 
 def featurize(text: str | None, extra: list) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: word cells, then structure statistics, then metadata (nulls count as 0)."""
+    """Indices and values: word cells, then structure statistics, then metadata (not a number where null)."""
     text = text or ""
     words = text.split()
     cells = np.fromiter(map(_CELLS.__getitem__, words), np.int64, len(words))
     ids, counts = np.unique(cells, return_counts=True)
     weights = 1 + np.log(counts)
     weights = weights / max(1e-9, np.sqrt((weights * weights).sum()))
-    dense = structure(text, words, cells) + [0.0 if v is None else float(np.log1p(max(0.0, float(v))) / 12) for v in extra]
+    dense = structure(text, words, cells) + [np.nan if v is None else float(np.log1p(max(0.0, float(v))) / 12) for v in extra]
     return np.concatenate([ids, WORD_CELLS + np.arange(len(dense))]), np.concatenate([weights, dense])
 
 
@@ -97,6 +97,13 @@ def _laid_out(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float32), starts
 
 
+def _filled(row: tuple[np.ndarray, np.ndarray], fill: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row with its unknown metadata taken as usual ones."""
+    ids, values = row
+    known = len(values) - len(fill)
+    return ids, np.concatenate([values[:known], np.where(np.isnan(values[known:]), fill, values[known:])])
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, rank: int = RANK,
           epochs: int = 12, rate: float = 0.08, batch: int = 64, seed: int = 5) -> dict:
     """Logistic factorisation machine by AdaGrad on mini-batches in a fixed order."""
@@ -152,20 +159,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
         return {"model": None, "metadata": metadata}
     features = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"])]
     width = WORD_CELLS + 16 + len(metadata)
-    return {"model": train(features, got["y"].to_numpy(np.float32), width), "metadata": metadata}
+    known = np.array([v[len(v) - len(metadata) :] for _, v in features])
+    fill = np.where(np.isnan(known), 0, known).sum(axis=0) / np.maximum(1, (~np.isnan(known)).sum(axis=0))
+    model = train([_filled(f, fill) for f in features], got["y"].to_numpy(np.float32), width)
+    return {"model": model | {"fill": fill}, "metadata": metadata}
 
 
 def score(text: Column, fitted: dict, metadata: tuple[Column, ...] = ()) -> Column:
     """``struct(score)``: how likely a whole text is of label 1, in 0..1.
 
-    Null and empty texts have no words and are scored by their empty statistics; null metadata count as 0.
+    Null and empty texts have no words and are scored by their empty statistics; null metadata count as the mean of the
+    training rows.
     """
     model = fitted["model"]
+    if model is not None and len(metadata) != len(model["fill"]):
+        raise ValueError(f"the model was fitted with metadata {fitted['metadata']}")
 
     def rate(texts: list, *extra: list) -> list:
         if model is None:
             return [(0.5,)] * len(texts)
-        raw = raw_scores(*_laid_out([featurize(t, more) for t, *more in zip(texts, *extra)]), model).astype(np.float64)
+        raw = raw_scores(*_laid_out([_filled(featurize(t, more), model["fill"]) for t, *more in zip(texts, *extra)]), model).astype(np.float64)
         return [(float(p),) for p in 1 / (1 + np.exp(-np.clip(raw, -30, 30)))]
 
     return per_text("score double", rate, text, *[m.cast("double") for m in metadata])

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import language, quality, toxicity
@@ -40,6 +41,10 @@ def test_quality_on_held_out_rows(spark):
     model = quality.fit(docs, labels.filter(~held))
     rows = docs.join(labels.filter(held), "doc_id").select("quality", quality.score(F.col("text"), model, (F.col("n_chars"),)).score.alias("s")).collect()
     assert rows and np.mean([(r.s >= 0.3) == r.quality for r in rows]) >= 0.9
+    lost = docs.join(labels.filter(held), "doc_id").select("quality", quality.score(F.col("text"), model, (F.lit(None),)).score.alias("s")).collect()
+    assert np.mean([(r.s >= 0.3) == r.quality for r in lost]) >= 0.9
+    with pytest.raises(ValueError):
+        quality.score(F.col("text"), model)
     scores = odd(spark).select(quality.score(F.col("text"), model, (F.col("n_chars"),)).score.alias("s")).collect()
     assert len(scores) == len(ODD) and all(0 <= r.s <= 1 for r in scores) and scores[0] == scores[1] and scores[3] == scores[4]
 
