@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.pairs import pairs_in_buckets
+from cadenza.operators.pairs import BLOCK_ROWS, pairs_in_buckets
 from cadenza.sources.scratch import checkpointed
 
 
@@ -36,7 +36,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
-def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float = 0.85) -> DataFrame:
+def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float = 0.85, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(pos, duplicate)``: true when an earlier record has Jaccard overlap of at least ``threshold``.
 
     Exact, in four steps:
@@ -95,7 +95,7 @@ def near_duplicates(records: DataFrame, pos: str, tokens: str, threshold: float
         return pd.DataFrame(np.unique(np.concatenate(kept), axis=0), columns=["_pos", "_q"])
 
     # sizes that fit differ by a fixed step of their logarithm
-    pairs = pairs_in_buckets(cells, "_cell", "_pos", open_pairs, "_pos long, _q long", "_size", -math.log(threshold) + 1e-9)
+    pairs = pairs_in_buckets(cells, "_cell", "_pos", open_pairs, "_pos long, _q long", "_size", -math.log(threshold) + 1e-9, block_rows)
     rest = _similar(pairs.distinct(), sets, threshold)
     hit = settled.unionByName(rest).distinct().withColumn("_hit", F.lit(True))
     verdict = sets.join(hit, "_pos", "left").select("_h", F.col("_pos").alias("_first_pos"), F.coalesce("_hit", F.lit(False)).alias("_hit"))

@@ -7,9 +7,8 @@ from cadenza.operators import captions as cp
 from cadenza.operators import titles
 
 
-@pytest.mark.parametrize("hot", [2, 4096])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(titles, "HOT_TOKEN", hot)
+@pytest.mark.parametrize("block_rows", [2, 1024])
+def test_near_duplicates_match_brute_force(spark, block_rows):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
     base = [rng.sample(words, rng.randint(0, 25)) for _ in range(40)]
@@ -21,7 +20,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, hot):
         base.insert(rng.randrange(len(base)), copy)
     rows = list(enumerate(base))
     df = spark.createDataFrame(rows, "pos bigint, tokens array<string>")
-    got = {r.pos: r.duplicate for r in titles.near_duplicates(df, "pos", "tokens", 0.85, spread=3).collect()}
+    got = {r.pos: r.duplicate for r in titles.near_duplicates(df, "pos", "tokens", 0.85, block_rows).collect()}
     sets = [set(t) for t in base]
     for i, a in enumerate(sets):
         want = any((len(a & b) / len(a | b) if a | b else 1.0) >= 0.85 for b in sets[:i])
