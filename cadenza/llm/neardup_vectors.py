@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import table
-from cadenza.llm.pairs import components, pairs_in_buckets
+from cadenza.llm.pairs import components
+from cadenza.operators.pairs import pairs_in_buckets
 from cadenza.sources.scratch import checkpointed
 
 #: Projections whose collisions are counted for a pair.

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import per_text, table
-from cadenza.llm.pairs import components, local_roots, pairs_in_buckets
+from cadenza.llm.pairs import components, local_roots
+from cadenza.operators.pairs import pairs_in_buckets
 from cadenza.sources.scratch import checkpointed
 
 SEED = 42

@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cadenza.llm import neardup_vectors, simhash
-from cadenza.llm.pairs import components, pairs_in_buckets
+from cadenza.llm.pairs import components
+from cadenza.operators.pairs import pairs_in_buckets
 SF = "/root/testdata/sf0.001"
 
 
