@@ -213,11 +213,9 @@ def read_archives(spark: SparkSession, out_dir: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["file"], batch["content"]):
-                found, rest = [], content
-                while rest:
-                    inflate = zlib.decompressobj(31)
-                    data = inflate.decompress(rest) + inflate.flush()
-                    rest = inflate.unused_data
+                found, at = [], 0
+                while at < len(content):
+                    data, at = _inflated(content, at)
                     found.append((name, *_parsed(data)))
                     if len(found) == 256:
                         yield pd.DataFrame(found, columns=_names(_READ), dtype=object)
@@ -228,6 +226,18 @@ def read_archives(spark: SparkSession, out_dir: str) -> DataFrame:
     return named.mapInPandas(parse, _READ)
 
 
+def _inflated(content: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
+    """The gzip member that begins at a place, and where the next one begins; reads on in small steps, as the rest is copied."""
+    inflate, parts = zlib.decompressobj(31), []
+    while not inflate.eof:
+        chunk = content[at : at + step]
+        if not chunk:
+            raise ValueError("an archive ends within a record")
+        parts.append(inflate.decompress(chunk))
+        at += len(chunk) - len(inflate.unused_data)
+    return b"".join(parts), at
+
+
 def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
