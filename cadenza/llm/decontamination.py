@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -197,26 +198,33 @@ class Index:
             seen.append(np.column_stack([self.owner[np.repeat(low, many) + offset], np.repeat(starts[window], many)]))
         return [(int(i), int(s)) for i, s in np.unique(np.concatenate(seen), axis=0)]
 
-    def matches(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of verified passages, overlapping ones of an item as the best of them."""
-        regions: dict[int, list[list[int]]] = {}
+    def matches(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, edits, start, end) of verified passages; overlapping ones of an item in one text as the best of them.
+
+        Texts lie in ``ids`` from ``begins`` to ``ends``; a candidate region is cut at the ends of the texts it touches.
+        """
+        regions: dict[tuple[int, int], list[list[int]]] = {}
         for item, start in self.candidates(ids):
             n = len(self.items[item])
             k = self.edits[n]
-            low, high = max(0, start - k), min(len(ids), start + n + k)
-            kept = regions.setdefault(item, [])
-            if kept and low <= kept[-1][1] and high - kept[-1][0] <= 4 * n + 4:
-                kept[-1][1] = high
-            else:
-                kept.append([low, high])
+            text = bisect_right(ends, start - k)
+            while text < len(begins) and begins[text] < start + n + k:
+                low, high = max(begins[text], start - k), min(ends[text], start + n + k)
+                if high - low >= n - k:
+                    kept = regions.setdefault((text, item), [])
+                    if kept and low <= kept[-1][1] and high - kept[-1][0] <= 4 * n + 4:
+                        kept[-1][1] = high
+                    else:
+                        kept.append([low, high])
+                text += 1
         out = []
-        for item, spans in regions.items():
+        for (text, item), spans in regions.items():
             words = self.items[item]
             for low, high in spans:
                 edits, end = _least_edits(words, ids[low:high])
                 if edits <= self.edits[len(words)]:
                     back, length = _least_edits(words[::-1], ids[low : low + end][::-1], anchored=True)
-                    out.append((item, edits, low + end - length, low + end))
+                    out.append((text, item, edits, low + end - length, low + end))
         return out
 
 
@@ -264,14 +272,14 @@ def _search(text: Column, index: Index) -> Column:
         get = index.vocabulary.__getitem__
         each = [np.fromiter(map(get, w), np.int64, len(w)) for w in map(words_of, texts)]
         # texts are laid out with more unknown words between them than edits are allowed
-        begins = np.cumsum([0] + [len(w) + index.gap for w in each])
-        laid = np.zeros(begins[-1] + 1, np.int64)
-        for b, w in zip(begins, each):
-            laid[b : b + len(w)] = w
+        begins = np.cumsum([0] + [len(w) + index.gap for w in each]).tolist()
+        ends = [b + len(w) for b, w in zip(begins, each)]
+        laid = np.zeros(begins.pop() + 1, np.int64)
+        for b, e, w in zip(begins, ends, each):
+            laid[b:e] = w
         best: list[dict] = [{} for _ in texts]
-        for item, edits, start, end in index.matches(laid):
-            row = int(np.searchsorted(begins, start, side="right")) - 1
-            here = (edits, start - int(begins[row]), end - int(begins[row]))
+        for row, item, edits, start, end in index.matches(laid, begins, ends):
+            here = (edits, start - begins[row], end - begins[row])
             best[row][item] = min(best[row].get(item, here), here)
         return [([{"item": index.names[i], "edits": e, "words": len(index.items[i]), "start": s, "end": t}
                   for i, (e, s, t) in sorted(found.items())],) for found in best]

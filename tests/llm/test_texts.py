@@ -134,6 +134,24 @@ def test_leaks_against_brute_force(spark):
     assert abs(sum(r.n for r in parts) - sum(len(r.m) for r in rows)) <= 0.05 * want
 
 
+@pytest.mark.parametrize("n", [20, 30, 45, 59])
+def test_adjacent_copies_of_an_item(spark, n):
+    rng = random.Random(n)
+    item = [f"v{rng.randrange(500)}" for _ in range(n)]
+    docs = []
+    for d in range(12):
+        copy = list(item)
+        if d % 3 == 2:  # a near copy beside exact ones
+            copy[rng.randrange(n)] = "other"
+        docs.append((d, " ".join(copy)))
+    docs.insert(5, (50, ""))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"u{i}" for i in range(59)))], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = frame.select("doc_id", F.explode(decontamination.leaks(F.col("text"), bench)).alias("m")).select("doc_id", "m.*").collect()
+    assert sorted((r.doc_id, r.item, r.edits, r.start, r.end) for r in got) == [(d, 1, int(d % 3 == 2), 0, n) for d in range(12)]
+
+
+
 @pytest.fixture(scope="module")
 def model():
     if not os.path.exists(pieces.MODEL):
