@@ -1,9 +1,13 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification."""
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
+
+Items too long for the LSH to reach its recall are compared wherever enough of their grams are found.
+"""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +16,19 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import per_text, table
 
 SIMILARITY = 0.8
-#: Chance that the LSH finds a passage with as many edits as are allowed.
+#: Chance, at each length of items, that the LSH finds a passage with as many edits as are allowed.
 RECALL = 0.97
 #: Items a task holds at once; larger benchmarks are searched in parts.
 PART_ITEMS = 20_000
 SAMPLED = 4
 SAMPLES_PER_WALK = 6
 MOST_WALKS = 64
+#: Longer items are not tried with walks, of which they need too many.
+WALKED_WORDS = 1000
+#: Copies with random edits for each number of edits, to count the walks by.
+TRIALS = 400
+#: Numbers a task keeps at once of embedded windows or of pairs of grams and items.
+CELLS = 1 << 22
 #: Texts a task searches at once.
 TEXT_ROWS = 1000
 
@@ -91,6 +101,15 @@ def _walk_keys(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int
     return np.array(keys)
 
 
+def _pairs(keys: np.ndarray, owner: np.ndarray, wanted: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of the sorted ``keys`` equal to a wanted one, each with the place of that one."""
+    low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
+    some = np.flatnonzero(high > low)
+    low, many = low[some], (high - low)[some]
+    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return owner[np.repeat(low, many) + offset], np.repeat(place[some], many)
+
+
 class Index:
     """Items of one part, their grams and their LSH buckets."""
 
@@ -117,22 +136,67 @@ class Index:
             self.codes[q] = (codes, slots, rough)
         rng = np.random.default_rng(seed)
         self.share = rng.uniform(0, 1, (MOST_WALKS, SAMPLES_PER_WALK, SAMPLED))
+        #: walks for each size; no walk where items are compared without LSH
         self.walks = self._calibrated(recall, rng)
+        #: sorted gram codes of the items without walks, and their items, by size
+        self.grams_of = {n: self._grams_of(n) for n in self.sizes if not self.walks[n]}
         laid = np.concatenate(self.items)
         sizes = np.array([len(i) for i in self.items])
-        keys = np.array([self._keys(laid, np.cumsum(sizes) - sizes, sizes, w) for w in range(self.walks)]).ravel()
+        order = np.argsort(sizes, kind="stable")
+        keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for walk, some, mine in self._walked(laid, (np.cumsum(sizes) - sizes)[order], sizes[order]):
+            keys.append(mine.ravel())
+            owner.append(np.tile(order[some], SAMPLES_PER_WALK))
+        keys, owner = np.concatenate(keys), np.concatenate(owner)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], np.tile(np.arange(len(sizes)), self.walks * SAMPLES_PER_WALK)[order]
+        self.keys, self.owner = keys[order], owner[order]
+
+    def _grams_of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        q = self.grams[n][0]
+        owner = [i for i, item in enumerate(self.items) if len(item) == n]
+        codes = [np.unique(_gram_codes(self.items[i], q)) for i in owner]
+        owner, codes = np.repeat(owner, [len(c) for c in codes]), np.concatenate(codes)
+        order = np.argsort(codes, kind="stable")
+        return codes[order], owner[order]
+
+    def _walked(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(walk, places of windows, their keys) for all walks of the windows' sizes; sizes ascend."""
+        walks = np.array([self.walks[n] for n in sizes.tolist()], np.int64)
+        at = 0
+        while at < len(sizes):
+            end = min(len(sizes), at + max(1, CELLS // int(2 * sizes[at])))
+            end = min(end, at + max(1, CELLS // int(2 * sizes[end - 1])))
+            for walk in range(int(walks[at:end].max())):
+                some = at + np.flatnonzero(walks[at:end] > walk)
+                yield walk, some, self._keys(ids, starts[some], sizes[some], walk)
+            at = end
 
     def _keys(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
         return _walk_keys(ids, starts, sizes, walk, self.share[walk])
 
-    def _calibrated(self, recall: float, rng: np.random.Generator) -> int:
-        """Walks after which nearly all items with as many random edits as allowed share a bucket with the original."""
-        whole, edited = [], []
-        for item in (self.items[i] for i in np.resize(rng.permutation(len(self.items)), 400)):
-            copy, n = item.tolist(), len(item)
-            for _ in range(self.edits[n]):
+    def _calibrated(self, recall: float, rng: np.random.Generator) -> dict[int, int]:
+        """Walks of each size after which nearly all items with as many random edits as allowed share a bucket with the original.
+
+        Of the sizes that allow the same edits the smallest is tried, where these spoil most.  Need grows with length:
+        from the first size on that ``MOST_WALKS`` do not reach, items have no walks.
+        """
+        walks, of, tried = {}, {}, {}
+        for item in self.items:
+            of.setdefault(len(item), []).append(item)
+        for n in self.sizes:
+            k = self.edits[n]
+            if k not in tried:
+                reached = n <= WALKED_WORDS and 0 not in tried.values()
+                tried[k] = self._walks_needed(of[n], k, recall, rng) if reached else 0
+            walks[n] = tried[k]
+        return walks
+
+    def _walks_needed(self, items: list[np.ndarray], k: int, recall: float, rng: np.random.Generator) -> int:
+        n, edited = len(items[0]), []
+        whole = [items[i] for i in np.resize(rng.permutation(len(items)), TRIALS)]
+        for item in whole:
+            copy = item.tolist()
+            for _ in range(k):
                 at, kind = int(rng.integers(0, max(1, len(copy)))), rng.integers(3)
                 if kind == 0 and copy:
                     copy[at] = 0
@@ -140,38 +204,49 @@ class Index:
                     copy.insert(at, 0)
                 elif copy:
                     del copy[at]
-            whole.append(item)
             edited.append(np.array((copy + [0] * n)[:n], np.int64))
-        sizes = np.array([len(i) for i in whole])
-        starts = np.cumsum(sizes) - sizes
-        a, b = np.concatenate(whole), np.concatenate(edited)
-        missed, walk = np.ones(len(sizes), bool), 0
-        while walk < MOST_WALKS and missed.mean() > 1 - recall:
-            missed &= ~(self._keys(a, starts, sizes, walk) == self._keys(b, starts, sizes, walk)).any(axis=0)
-            walk += 1
-        return max(1, walk)
-
-    def _windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes of the windows to embed.
+        a, b, left = np.concatenate(whole), np.concatenate(edited), np.arange(TRIALS)
+        for walk in range(MOST_WALKS):
+            sizes = np.full(len(left), n)
+            left = left[~(self._keys(a, left * n, sizes, walk) == self._keys(b, left * n, sizes, walk)).any(axis=0)]
+            if len(left) <= (1 - recall) * TRIALS:
+                return walk + 1
+        return 0
 
-        A window is embedded only if so many grams of items of its size lie in its reach as any passage within the
-        allowed edits must have, and if it starts no farther before a run of such grams than edits
-        can spoil; this loses none.
-        """
+    def _hits(self, ids: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions of the benchmark's grams of each length, the sizes of the items that have them, and their codes."""
         found = {}
         for q, (codes, slots, rough) in self.codes.items():
             code = _gram_codes(ids, q)
             hit = np.flatnonzero(rough[code >> np.uint64(44)] & (code > 0))
             place = np.minimum(np.searchsorted(codes, code[hit]), len(codes) - 1)
             right = codes[place] == code[hit]
-            found[q] = (hit[right], slots[place[right]])
+            found[q] = (hit[right], slots[place[right]], code[hit[right]])
+        return found
+
+    def _close(self, n: int, hits: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hits of size ``n``, their codes, and at which hits so many begin within the reach of a passage as it must have."""
+        q, need = self.grams[n]
+        hit, slots, code = hits[q]
+        mine = (slots & self.slot[n]) > 0
+        hit = hit[mine]
+        near = np.flatnonzero(hit[need - 1 :] - hit[: max(0, len(hit) - need + 1)] <= n + self.edits[n] - q) if len(hit) >= need else np.zeros(0, np.int64)
+        return hit, code[mine], near
+
+    def _windows(self, ids: np.ndarray, hits: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the windows to embed.
+
+        A window is embedded only if so many grams of items of its size lie in its reach as any passage within the
+        allowed edits must have, and if it starts no farther before a run of such grams than edits
+        can spoil; this loses none.
+        """
         starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in self.sizes:
+            if not self.walks[n]:
+                continue
             k, (q, need) = self.edits[n], self.grams[n]
-            hit, slots = found[q]
-            hit = hit[(slots & self.slot[n]) > 0]
+            hit, _, close = self._close(n, hits)
             reach = n + k - q
-            close = np.flatnonzero(hit[need - 1 :] - hit[: max(0, len(hit) - need + 1)] <= reach) if len(hit) >= need else []
             if not len(close):
                 continue
             edge = np.zeros(len(ids) + 1, np.int32)
@@ -185,18 +260,43 @@ class Index:
             sizes.append(np.full(len(chosen), n))
         return np.concatenate(starts), np.concatenate(sizes)
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start) of windows of an item's size that share a bucket with it."""
-        starts, sizes = self._windows(ids)
-        seen: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        for walk in range(self.walks if len(starts) else 0):
-            mine = self._keys(ids, starts, sizes, walk)
-            low, high = np.searchsorted(self.keys, mine), np.searchsorted(self.keys, mine, side="right")
-            sample, window = np.nonzero(high > low)
-            low, many = low[sample, window], (high - low)[sample, window]
-            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            seen.append(np.column_stack([self.owner[np.repeat(low, many) + offset], np.repeat(starts[window], many)]))
-        return [(int(i), int(s)) for i, s in np.unique(np.concatenate(seen), axis=0)]
+    def _counted(self, n: int, hits: dict) -> Iterator[np.ndarray]:
+        """(item, low, high) of all places with as many grams of one item of size ``n`` as any passage must have; loses none."""
+        k, (q, need) = self.edits[n], self.grams[n]
+        hit, code, close = self._close(n, hits)
+        inside = np.zeros(len(hit) + 1, np.int32)
+        np.add.at(inside, close, 1)
+        np.add.at(inside, close + need, -1)
+        inside = np.cumsum(inside)[:-1] > 0
+        hit, code = hit[inside], code[inside]
+        codes, owner = self.grams_of[n]
+        pairs = (np.searchsorted(codes, code, side="right") - np.searchsorted(codes, code)).sum()
+        groups = -(-int(pairs) // CELLS)
+        for group in range(groups):
+            mine = owner % groups == group
+            item, at = _pairs(codes[mine], owner[mine], code, hit)
+            order = np.lexsort((at, item))
+            item, at = item[order], at[order]
+            many = max(0, len(at) - need + 1)
+            first = np.flatnonzero((item[need - 1 :] == item[:many]) & (at[need - 1 :] - at[:many] <= n + k - q)) if many else order[:0]
+            yield np.column_stack([item[first], at[first + need - 1] - (n + k - q), at[first] + n + k])
+
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, low, high) of places where a passage of an item may lie, by item and place.
+
+        For sizes with walks they are around windows that share a bucket with the item.
+        """
+        hits = self._hits(ids)
+        starts, sizes = self._windows(ids, hits)
+        seen: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+        for _, some, mine in self._walked(ids, starts, sizes):
+            item, window = _pairs(self.keys, self.owner, mine.ravel(), np.tile(some, len(mine)))
+            n = sizes[window]
+            k = np.array([self.edits[i] for i in n.tolist()], np.int64)
+            seen.append(np.column_stack([item, starts[window] - k, starts[window] + n + k]))
+        for n in self.grams_of:
+            seen += self._counted(n, hits)
+        return [tuple(c) for c in np.unique(np.concatenate(seen), axis=0).tolist()]
 
     def matches(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of verified passages; overlapping ones of an item in one text as the best of them.
@@ -204,16 +304,15 @@ class Index:
         Texts lie in ``ids`` from ``begins`` to ``ends``; a candidate region is cut at the ends of the texts it touches.
         """
         regions: dict[tuple[int, int], list[list[int]]] = {}
-        for item, start in self.candidates(ids):
+        for item, first, last in self.candidates(ids):
             n = len(self.items[item])
-            k = self.edits[n]
-            text = bisect_right(ends, start - k)
-            while text < len(begins) and begins[text] < start + n + k:
-                low, high = max(begins[text], start - k), min(ends[text], start + n + k)
-                if high - low >= n - k:
+            text = bisect_right(ends, first)
+            while text < len(begins) and begins[text] < last:
+                low, high = max(begins[text], first), min(ends[text], last)
+                if high - low >= n - self.edits[n]:
                     kept = regions.setdefault((text, item), [])
                     if kept and low <= kept[-1][1] and high - kept[-1][0] <= 4 * n + 4:
-                        kept[-1][1] = high
+                        kept[-1][1] = max(high, kept[-1][1])
                     else:
                         kept.append([low, high])
                 text += 1

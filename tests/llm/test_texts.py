@@ -151,6 +151,38 @@ def test_adjacent_copies_of_an_item(spark, n):
     assert sorted((r.doc_id, r.item, r.edits, r.start, r.end) for r in got) == [(d, 1, int(d % 3 == 2), 0, n) for d in range(12)]
 
 
+def with_edits(rng, words, k):
+    out = list(words)
+    for _ in range(k):
+        at = rng.randrange(len(out))
+        rng.choice((lambda: out.pop(at), lambda: out.insert(at, "new"), lambda: out.__setitem__(at, "other")))()
+    return out
+
+
+def matched(index, texts):
+    """(text, item) pairs the index finds in lists of words."""
+    begins, laid = [], []
+    for words in texts:
+        begins.append(len(laid))
+        laid += [index.vocabulary[w] for w in words] + [0] * index.gap
+    return {(m[0], m[1]) for m in index.matches(np.array(laid, np.int64), begins, [b + len(w) for b, w in zip(begins, texts)])}
+
+
+def test_recall_at_each_length():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    sizes = [15] * 150 + [59, 120, 250, 400, 1100]
+    items = [(i, [rng.choice(vocabulary) for _ in range(n)]) for i, n in enumerate(sizes)]
+    index = decontamination.Index(items, 0.8, 0.97)
+    for i, words in items[150:]:
+        copies = [["before"] * 9 + with_edits(rng, words, decontamination.allowed_edits(len(words))) for _ in range(40 if len(words) < 1000 else 8)]
+        found = matched(index, copies)
+        assert len(found) >= 0.92 * len(copies) and {item for _, item in found} == {i}, len(words)
+    assert index.walks[15] < index.walks[59] and index.walks[400] == index.walks[1100] == 0
+    last, long = items[-1][1], items[-2][1]
+    assert matched(index, [last * 2 + long, last[:600], last[600:]]) == {(0, len(items) - 1), (0, len(items) - 2)}  # not across texts
+
+
 
 @pytest.fixture(scope="module")
 def model():
