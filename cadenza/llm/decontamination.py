@@ -237,8 +237,8 @@ class Index:
         """Starts and sizes of the windows to embed.
 
         A window is embedded only if so many grams of items of its size lie in its reach as any passage within the
-        allowed edits must have, and if it starts no farther before a run of such grams than edits
-        can spoil; this loses none.
+        allowed edits must have, and if it starts no farther before any of them than edits can spoil, be that amid
+        grams of other items or not; this loses none.
         """
         starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in self.sizes:
@@ -252,10 +252,8 @@ class Index:
             edge = np.zeros(len(ids) + 1, np.int32)
             np.add.at(edge, np.maximum(0, hit[close + need - 1] - reach), 1)
             np.add.at(edge, hit[close] + 1, -1)
-            run = hit[np.concatenate(([True], hit[1:] != hit[:-1] + 1))]
-            before = np.unique((run[:, None] - np.arange(q * k + 1)).ravel())
-            before = before[before >= 0]
-            chosen = before[np.cumsum(edge)[before] > 0]
+            chosen = np.flatnonzero(np.cumsum(edge) > 0)
+            chosen = chosen[hit[np.searchsorted(hit, chosen)] - chosen <= q * k]
             starts.append(chosen)
             sizes.append(np.full(len(chosen), n))
         return np.concatenate(starts), np.concatenate(sizes)

@@ -183,6 +183,21 @@ def test_recall_at_each_length():
     assert matched(index, [last * 2 + long, last[:600], last[600:]]) == {(0, len(items) - 1), (0, len(items) - 2)}  # not across texts
 
 
+def test_items_that_overlap_or_follow_each_other():
+    source = [f"s{i}" for i in range(400)]
+    items = [(i, source[at : at + 50]) for i, at in enumerate(range(0, 351, 25))]
+    index = decontamination.Index(items, 0.8, 0.97)
+    quotes = [source[12:82], source[61:130], source[3:353]]
+    held = {(d, i) for d, quote in enumerate(quotes) for i, item in items if item[0] in quote and item[-1] in quote}
+    assert len(held) == 14 and held <= matched(index, quotes)
+
+    short = [(i, [f"{c}{i}" for c in "abcd"[: 3 + i % 2]]) for i in range(12)]
+    index = decontamination.Index(short, 0.8, 0.97)
+    orders = [sum((w for _, w in short[::step]), []) for step in (1, -1, 2, 3)] + [["x"] + short[4][1] + short[7][1] * 2 + short[5][1]]
+    want = {(d, i) for d, text in enumerate(orders) for i, w in short if w[0] in text}
+    assert matched(index, orders) == want
+
+
 
 @pytest.fixture(scope="module")
 def model():
