@@ -21,6 +21,8 @@ STOP_WORDS = frozenset(
 GOOD_DENSITY = 0.2
 SHORT = 70
 LINKS = 0.4
+#: Pages with a smaller share of stop words are in a language the list does not know.
+KNOWN = 0.03
 
 _BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -30,7 +32,9 @@ _BREAKS = frozenset(
 _NESTED = frozenset(
     "article aside blockquote details dialog div dl fieldset figure footer form head header main menu nav ol section select table title ul".split()
 )
-_SKIPPED = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video")
+#: Elements skipped up to their end tag, or to the end of the page without one; the others then lose their tag alone.
+_RAW = ("script", "style", "noscript", "textarea", "iframe")
+_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("template", "svg", "math", "object", "canvas", "audio", "video")}
 _NEVER = frozenset("nav footer aside form menu head title select dialog fieldset".split())
 _CONTENT = frozenset(("article", "main"))
 _HINTS = frozenset(
@@ -41,10 +45,12 @@ _HINTS = frozenset(
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(?P<raw>" + "|".join(_SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|"
+    r"<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|"
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
+#: What a class name begins with if it tells of its page, not of its element.
+_STATES = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "without_")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: A tag that the end of the page cuts off.
 _CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
@@ -73,25 +79,34 @@ class _Page:
         self.parts = []
 
 
-def _hinted(tag: str, attrs: str) -> bool:
-    """Whether an element names itself as something beside the main text."""
-    if not attrs or tag in ("html", "body", "main"):
-        return False
+def _hidden(attrs: str) -> bool:
     for m in _ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and not _HINTS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+    return False
+
+
+def _hinted(attrs: str, whole: bool = False) -> bool:
+    """Whether an element names itself as something beside the main text, by a ``whole`` name or a part of one."""
+    for m in _ATTRIBUTE.finditer(attrs):
+        if m[1].lower() in ("class", "id", "role"):
+            names = [v for v in (m[2] or m[3] or m[4] or "").lower().split() if not v.startswith(_STATES)]
+            if not _HINTS.isdisjoint(names if whole else re.split(r"[\s_-]+", " ".join(names))):
+                return True
     return False
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order; unclosed and misnested tags are taken as they come."""
+    """The text blocks of a page in order; unclosed and misnested tags are taken as they come.
+
+    Names of elements around an article or main element do not exclude it, unless they lie in another article.
+    """
     out, stack, links, count = _Page(), [], 0, 0
-    excluded, content, breaks = 0, [], 0
+    excluded, wrapped, articles = 0, 0, 0  # open elements that exclude all they hold, all but articles, and articles
+    content, breaks, unclosed = [], 0, set()
     at = 0
 
     def text(chunk: str) -> None:
@@ -102,21 +117,27 @@ def blocks_of(page: str) -> list[Block]:
                 breaks = 0
             out.parts.append((decoded, links > 0))
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in _SKIPPED and not m["end"] and tag not in unclosed and not m["attrs"].endswith("/"):
+            if end := _SKIPPED[tag].search(page, at):
+                at = end.end()
+            else:
+                unclosed.add(tag)
+            continue
         if tag == "a":
             links = 0 if m["end"] else 1
         elif tag == "br":
             breaks += 1
             if breaks > 1:
-                out.close(excluded > 0, content[-1] if content else 0)
+                out.close(excluded + wrapped > 0, content[-1] if content else 0)
             out.parts.append((" ", False))
         elif tag in _BREAKS:
-            out.close(excluded > 0, content[-1] if content else 0)
+            out.close(excluded + wrapped > 0, content[-1] if content else 0)
             breaks = 0
             if tag in _NESTED or tag == "li":
                 links = 0
@@ -125,23 +146,28 @@ def blocks_of(page: str) -> list[Block]:
             if not m["end"]:
                 if m["attrs"].endswith("/") and tag == "div":
                     continue
+                stack.append((tag, excluded, wrapped, articles))
+                attrs = m["attrs"] if tag != "html" else ""
                 # a header inside an article holds its title
-                never = tag in _NEVER or (tag == "header" and not content) or _hinted(tag, m["attrs"])
-                stack.append((tag, never))
-                excluded += never
+                excluded += tag in _NEVER or (tag == "header" and not content) or _hidden(attrs if tag != "main" else "")
                 if tag in _CONTENT:
+                    wrapped = 0
+                    excluded += tag == "article" and _hinted(attrs, whole=not articles)
+                    articles += tag == "article"
                     count += 1
                     content.append(count)
-            elif any(t == tag for t, _ in stack):
+                elif _hinted(attrs):
+                    excluded += articles > 0
+                    wrapped += not articles
+            elif any(t == tag for t, *_ in stack):
                 while stack:
-                    open_tag, never = stack.pop()
-                    excluded -= never
+                    open_tag, excluded, wrapped, articles = stack.pop()
                     if open_tag in _CONTENT:
                         content.pop()
                     if open_tag == tag:
                         break
     text(_CUT.sub("", page[at:]))
-    out.close(excluded > 0, content[-1] if content else 0)
+    out.close(excluded + wrapped > 0, content[-1] if content else 0)
     return out.blocks
 
 
@@ -149,16 +175,22 @@ def classify(blocks: list[Block], good_density: float = GOOD_DENSITY, short: int
     """Label blocks ``good`` or ``bad``: first by density and length, then the undecided by their neighbours.
 
     First pass: blocks of excluded elements, with a copyright sign or mostly of links are bad; blocks of at
-    least ``short`` characters with enough stop words are good; the rest is undecided.  Second pass: an undecided
+    least ``short`` characters with enough stop words, or mostly of letters on a page that has hardly any stop words,
+    are good; the rest is undecided.  Second pass: an undecided
     block takes the label of the nearest decided block of its own article or main element (the earlier one
     wins a tie; excluded blocks do not count, lists of links only for blocks with a link); without a decided one there it is good.  Outside such elements the neighbours on both
     sides must be good, and a page without any decided block has no main text.
     """
+    counts = []
     for b in blocks:
-        words = [w.lower() for w in _WORDS.findall(b.text)]
         if b.excluded or "©" in b.text[:40] or b.linked > links * len(b.text.replace(" ", "")):
             b.label = "bad"
-        elif len(b.text) >= short and sum(w in STOP_WORDS for w in words) >= good_density * max(1, len(words)):
+            continue
+        words = [w.lower() for w in _WORDS.findall(b.text)]
+        counts.append((b, sum(w in STOP_WORDS for w in words), len(words), sum(map(len, words))))
+    foreign = sum(c[1] for c in counts) < KNOWN * sum(c[2] for c in counts)
+    for b, stops, words, letters in counts:
+        if len(b.text) >= short and (2 * letters >= len(b.text) if foreign else stops >= good_density * max(1, words)):
             b.label = "good"
     decided = [i for i, b in enumerate(blocks) if b.label]
     at, final = 0, [b.label for b in blocks]

@@ -32,6 +32,29 @@ def test_pages_without_an_article():
     assert html.main_text("<article>" + "<p>word. " * 30_000).count("\n") == 29_999
 
 
+def test_articles_in_named_wrappers():
+    article = f"<article><p>{LONG}</p><div class='share'>Share</div><section class='comments'><article>{LONG} says a reader</article></section></article>"
+    for wrapper in ('<div class="site has-sidebar">', '<div class="page-login">', '<main><div id="search_page">', '<article class="post in-social">', '<section role="search">'):
+        assert html.main_text(f"<body>{wrapper}{article}</body>" if "<article" not in wrapper else f"{wrapper}<p>{LONG}</p></article>") == LONG, wrapper
+    assert html.main_text(f'<div class="site has-sidebar"><p>{LONG}</p></div>') == LONG
+    assert html.main_text(f'<div class="sidebar"><p>{LONG}</p></div><article class="ad">{LONG}</article><div hidden>{article}</div>') == ""
+
+
+def test_text_after_skipped_elements():
+    for before in ('<svg class="icon"/>', "<svg><path>", "<video-js id=v></video-js>", "<audio-player>", "<object data=x>", "<video src='a'/>", "<svg>no</svg>"):
+        assert html.main_text(f"<article>{before}<p>{LONG}</p></article>") == LONG, before
+    assert html.main_text(f"<article><p>{LONG}</p>" + "<svg>" * 50_000) == LONG
+    assert html.main_text(f"<article><p>{LONG}</p><script>{LONG}") == LONG
+
+
+def test_pages_in_other_languages():
+    finnish = "Kalat uivat syvässä meressä ja linnut lentävät korkealla taivaalla, kunnes aurinko laskee metsän taakse."
+    chinese = "鱼在海里游泳，鸟在天空飞翔，太阳落山以后，森林里安静下来。" * 4
+    for t in (finnish, chinese):
+        assert html.main_text(f"<div><a href='x'>{t}</a></div><div><p>{t}</p><p>x</p><p>{t}</p></div>") == f"{t}\nx\n{t}"
+    assert html.main_text(f"<p>{'12 ' * 40}</p>") == ""
+
+
 def test_blocks_keep_their_order_in_spark(spark):
     rows = [(1, f"<article><p>{LONG}</p><p>é</p></article>"), (1, None), (None, ""), (2, "<script>" * 50)]
     got = spark.createDataFrame(rows, "page_id long, html string").select("page_id", html.extract(F.col("html")).alias("t")).select("page_id", "t.*").collect()
