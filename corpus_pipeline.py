@@ -22,9 +22,15 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies; documents without an id stay."""
-    first = simhash.near_duplicates(docs).filter(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep the document with the smallest id of each group of near copies; documents without an id stay.
+
+    Groups are of texts, so rows that share an id with unlike texts stay in different groups; of several rows with the
+    smallest id of a group the one with the smallest hash of all its columns stays.
+    """
+    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", F.shiftrightunsigned(F.xxhash64(*docs.columns), 1))
+    groups = simhash.near_duplicates(rows, key="_row").join(rows.select("_row", "doc_id").distinct(), "_row")
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select("_first._row")
+    kept = rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

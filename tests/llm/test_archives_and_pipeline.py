@@ -94,6 +94,15 @@ def test_pipeline_of_odd_and_no_rows(spark):
             rows = spark.createDataFrame(stage(spark, rows, SF).collect(), stage(spark, rows, SF).schema)
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(200)) for x in ("fish", "bird", "stone"))
+    rows = [(3, b), (5, a), (5, b), (5, c), (5, c), (7, a), (9, c), (None, a)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, SF).collect()]
+        assert sorted(got, key=str) == sorted([(3, b), (5, a), (5, c), (None, a)], key=str)
+
+
 def test_queries_are_named_by_number():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
     assert secrets.BASE == ("assign", "access", "hex")
