@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from cadenza.llm.byte_bpe import op12_byte_bpe
 from cadenza.llm.common import Query
 from cadenza.llm.decontamination import op9_decontamination
 from cadenza.llm.html import op2_html
 from cadenza.llm.language import op10_language
+from cadenza.llm.merkle import op11_merkle
 from cadenza.llm.neardup_vectors import OP6_SQL, op6_vectors
 from cadenza.llm.pieces import op8_pieces
 from cadenza.llm.quality import op1_quality
@@ -25,6 +27,8 @@ QUERIES: dict[str, Query] = {
     "op8_pieces": op8_pieces,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
+    "op11_merkle": op11_merkle,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 SQL: dict[str, str] = {
