@@ -15,6 +15,7 @@ from cadenza.llm.secrets import OP5_SQL, op5_secrets
 from cadenza.llm.simhash import op4_simhash
 from cadenza.llm.toxicity import op3_toxicity
 from cadenza.llm.warc import OP7_SQL, op7_warc
+from cadenza.llm.whitening import op13_whitening
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
