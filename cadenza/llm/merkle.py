@@ -195,3 +195,58 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = proven.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("path")))
     return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
                           "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: The same manifest level by level: hashes of runs, siblings joined back, and the fold repeated over the levels.
+OP11_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM (SELECT unnest(range(256)) AS b))),
+docs AS (
+  SELECT row_number() OVER () AS id, d.*, doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, list_transform(
+      string_split(coalesce(doc_id::VARCHAR, '0'), ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 2 = 0 AS even
+  FROM (SELECT doc_id, source, lang, n_chars, text FROM documents) d, crc_table),
+fields AS (
+  SELECT id, doc_id, source, text, even, concat(
+      coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM docs),
+leaves AS (
+  SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(u) || ':' || u, '-')) AS changed
+  FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS u FROM fields)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes AS (
+  SELECT 0 AS level, source, pos, leaf AS hash, count(*) OVER (PARTITION BY source) AS many FROM ranked
+  UNION ALL
+  SELECT level + 1, source, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(many) + 2) // 3
+  FROM nodes WHERE many > 1 GROUP BY level, source, pos // 3),
+subroots AS (
+  SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM nodes WHERE many = 1),
+heads AS (
+  SELECT 0 AS level, place AS pos, subroot AS hash, count(*) OVER () AS many FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(many) + 2) // 3
+  FROM heads WHERE many > 1 GROUP BY level, pos // 3),
+steps AS (
+  SELECT r.id, n.level, string_agg(n.hash, '' ORDER BY n.pos) FILTER (n.pos < r.pos // (3 ** n.level)::BIGINT) AS before,
+    string_agg(n.hash, '' ORDER BY n.pos) FILTER (n.pos > r.pos // (3 ** n.level)::BIGINT) AS after
+  FROM ranked r JOIN nodes n ON n.source IS NOT DISTINCT FROM r.source AND n.many > 1
+    AND n.pos // 3 = r.pos // (3 ** (n.level + 1))::BIGINT GROUP BY r.id, n.level
+  UNION ALL
+  SELECT r.id, 1000 + h.level, string_agg(h.hash, '' ORDER BY h.pos) FILTER (h.pos < s.place // (3 ** h.level)::BIGINT),
+    string_agg(h.hash, '' ORDER BY h.pos) FILTER (h.pos > s.place // (3 ** h.level)::BIGINT)
+  FROM ranked r JOIN subroots s ON s.source IS NOT DISTINCT FROM r.source
+    JOIN heads h ON h.many > 1 AND h.pos // 3 = s.place // (3 ** (h.level + 1))::BIGINT GROUP BY r.id, h.level),
+proofs AS (
+  SELECT id, list({'b': coalesce(before, ''), 'a': coalesce(after, '')} ORDER BY level) AS path FROM steps GROUP BY id),
+folds AS (
+  SELECT id, changed AS hash, path, 0 AS done FROM ranked LEFT JOIN proofs USING (id)
+  UNION ALL
+  SELECT id, sha256(path[1 + done].b || hash || path[1 + done].a), path, done + 1 FROM folds WHERE done < coalesce(len(path), 0))
+SELECT r.doc_id, r.leaf, s.subroot, (SELECT hash FROM heads WHERE many = 1) AS root,
+  sha256(coalesce(array_to_string(list_transform(f.path, lambda p: p.b || p.a), ''), '')) AS proof_sha256, f.hash AS folded_root,
+  f.hash = (SELECT hash FROM heads WHERE many = 1) AS verified
+FROM ranked r JOIN subroots s ON s.source IS NOT DISTINCT FROM r.source
+JOIN folds f ON f.id = r.id AND f.done = coalesce(len(f.path), 0)
+"""

@@ -7,7 +7,7 @@ from cadenza.llm.common import Query
 from cadenza.llm.decontamination import op9_decontamination
 from cadenza.llm.html import op2_html
 from cadenza.llm.language import op10_language
-from cadenza.llm.merkle import op11_merkle
+from cadenza.llm.merkle import OP11_SQL, op11_merkle
 from cadenza.llm.neardup_vectors import OP6_SQL, op6_vectors
 from cadenza.llm.pieces import op8_pieces
 from cadenza.llm.quality import op1_quality
@@ -37,4 +37,5 @@ SQL: dict[str, str] = {
     "op5_secrets": OP5_SQL,
     "op6_vectors": OP6_SQL,
     "op7_warc": OP7_SQL,
+    "op11_merkle": OP11_SQL,
 }
