@@ -126,6 +126,23 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     return run(ids)
 
 
+def encode_decoded(text: Column, vocabulary: Vocabulary) -> Column:
+    """``struct(ids, raw)``: the packed ids of each text, and the bytes they decode to, from one visit of a worker."""
+
+    @F.arrow_udf("struct<ids binary, raw binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            slices = []
+            for i in range(0, len(batch), SLICE_ROWS):
+                ids = [None if t is None else vocabulary.encode(t) for t in batch.slice(i, SLICE_ROWS).to_pylist()]
+                packed = pa.array((None if v is None else v.tobytes() for v in ids), pa.binary(), size=len(ids))
+                raw = pa.array((None if v is None else vocabulary.decode(v) for v in ids), pa.binary(), size=len(ids))
+                slices.append(pa.StructArray.from_arrays([packed, raw], ["ids", "raw"]))
+            yield pa.concat_arrays(slices) if slices else pa.array([], pa.struct([("ids", pa.binary()), ("raw", pa.binary())]))
+
+    return run(text.cast("string"))
+
+
 def unpack(ids: Column) -> Column:
     """Packed ids as an array of numbers."""
 
@@ -148,9 +165,8 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null text counts as empty: no id, digests of no byte.  Every row gives one row, repeated and null ids too.
     """
-    vocabulary = Vocabulary.load()
-    coded = table(spark, sf_dir, "documents").select("doc_id", encode(F.coalesce("text", F.lit("")), vocabulary).alias("ids"))
-    decoded = coded.select("doc_id", "ids", decode(F.col("ids"), vocabulary).alias("raw"))
+    coded = encode_decoded(F.coalesce("text", F.lit("")), Vocabulary.load())
+    decoded = table(spark, sf_dir, "documents").select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
     return decoded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
