@@ -65,22 +65,22 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Mappin
     """
     keys, order = list(keys), list(order)
     values = {name: s.value if s.how == "last" else s.value.cast(_numeric(df, s.value)) for name, s in scans.items()}
-    base = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    types = {n: _type_of(s.how, base.schema[f"_v_{n}"].dataType) for n, s in scans.items()}
+    base = df.select("*", *[v.alias(f"_scan_v_{n}") for n, v in values.items()])
+    types = {n: _type_of(s.how, base.schema[f"_scan_v_{n}"].dataType) for n, s in scans.items()}
     rows = base.repartitionByRange(*keys, *order)
     columns = [*keys, *order]
-    rows = rows.select("*", F.spark_partition_id().alias("_range"), F.lit(_ROW).alias("_state"))
+    rows = rows.select("*", F.spark_partition_id().alias("_scan_range"), F.lit(_ROW).alias("_scan_state"))
     for mark, ahead in ((_FORWARD, False), (_AHEAD, True)):
         wanted = {n: s for n, s in scans.items() if s.ahead == ahead}
         if wanted:
             way = [F.col(c).desc_nulls_last() if ahead else F.col(c).asc_nulls_first() for c in columns]
             # the states of the other direction come first and pass
-            sorted_rows = rows.sortWithinPartitions(F.col("_state").desc(), *way)
-            schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in {f"_v_{n}" for n in wanted}]
+            sorted_rows = rows.sortWithinPartitions(F.col("_scan_state").desc(), *way)
+            schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in {f"_scan_v_{n}" for n in wanted}]
                                   + [T.StructField(n, types[n]) for n in wanted])
             rows = sorted_rows.mapInArrow(_pass(keys, wanted, mark, [f.name for f in schema]), schema)
     placed = checkpointed(rows)
-    out = placed.filter(F.col("_state") == _ROW)
+    out = placed.filter(F.col("_scan_state") == _ROW)
     for mark, ahead in ((_FORWARD, False), (_AHEAD, True)):
         wanted = {n: s for n, s in scans.items() if s.ahead == ahead}
         if wanted:
@@ -101,7 +101,7 @@ def _pass(keys: list[str], scans: dict[str, Scan], mark: int, names: list[str])
         states: dict[str, Any] = {}
         like: pa.RecordBatch | None = None
         for batch in batches:
-            passing = pc.greater(batch.column("_state"), _ROW)
+            passing = pc.greater(batch.column("_scan_state"), _ROW)
             if batch.num_rows and passing[0].as_py():
                 n = pc.sum(passing).as_py()
                 yield _with_nulls(batch.slice(0, n), names, hows)
@@ -113,14 +113,14 @@ def _pass(keys: list[str], scans: dict[str, Scan], mark: int, names: list[str])
             made = {}
             for name, (how, inclusive) in hows.items():
                 before = states.get(name) if continues else None
-                made[name], states[name] = _RUNNERS[how](batch.column(f"_v_{name}"), starts, before, inclusive)
+                made[name], states[name] = _RUNNERS[how](batch.column(f"_scan_v_{name}"), starts, before, inclusive)
             group = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
             like = pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names)
             yield like
         if like is not None:
             # one row with the states at the end of the range
             last = like.slice(like.num_rows - 1)
-            given = {"_state": pa.array([mark], pa.int32()), "_range": last.column("_range"), **{k: last.column(k) for k in keys},
+            given = {"_scan_state": pa.array([mark], pa.int32()), "_scan_range": last.column("_scan_range"), **{k: last.column(k) for k in keys},
                      **{n: states[n] if hows[n][0] == "last" else pa.array([states[n]], last.column(n).type) for n in hows}}
             yield pa.RecordBatch.from_arrays([given[n] if n in given else pa.nulls(1, last.column(n).type) for n in names], names)
 
@@ -132,7 +132,7 @@ def _with_nulls(batch: pa.RecordBatch, names: list[str], hows: dict) -> pa.Recor
     def column(n: str) -> pa.Array:
         if n not in hows:
             return batch.column(n)
-        given = batch.column(f"_v_{n}").type
+        given = batch.column(f"_scan_v_{n}").type
         return pa.nulls(batch.num_rows, pa.struct([("sum", given), ("low", given)]) if hows[n][0] == "low" else given)
 
     return pa.RecordBatch.from_arrays([column(n) for n in names], names)
@@ -262,23 +262,23 @@ def _combined(how: str, earlier: Column, later: Column) -> Column:
 
 def _carried(placed: DataFrame, out: DataFrame, keys: list[str], scans: dict[str, Scan], types: dict, mark: int) -> DataFrame:
     """Add to the rows of the sequence that crosses into a range what the ranges before it (behind it, if ahead) hold of it."""
-    states = placed.filter(F.col("_state") == mark).select("_range", *keys, *scans).collect()
+    states = placed.filter(F.col("_scan_state") == mark).select("_scan_range", *keys, *scans).collect()
     carries, held = [], None
-    for s in sorted(states, key=lambda s: s["_range"], reverse=mark == _AHEAD):
+    for s in sorted(states, key=lambda s: s["_scan_range"], reverse=mark == _AHEAD):
         if held is not None:
-            carries.append((s["_range"], *held))
+            carries.append((s["_scan_range"], *held))
         group, now = tuple(s[k] for k in keys), [s[n] for n in scans]
         if held is not None and held[0] == group:
             now = [_both(c.how, a, b) for c, a, b in zip(scans.values(), held[1], now)]
         held = (group, now)
     schema = T.StructType([
-        T.StructField("_range", T.IntegerType()), T.StructField("_key", T.StructType([T.StructField(k, placed.schema[k].dataType) for k in keys])),
-        T.StructField("_carry", T.StructType([T.StructField(n, types[n]) for n in scans]))])
+        T.StructField("_scan_range", T.IntegerType()), T.StructField("_scan_key", T.StructType([T.StructField(k, placed.schema[k].dataType) for k in keys])),
+        T.StructField("_scan_carry", T.StructType([T.StructField(n, types[n]) for n in scans]))])
     # one row for each range
     given = F.broadcast(placed.sparkSession.createDataFrame(carries, schema))
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("_key")[k])
-    met = out.join(given, "_range", "left").withColumn("_same", F.coalesce(same & F.col("_key").isNotNull(), F.lit(False)))
-    final = {n: F.when(F.col("_same"), _combined(s.how, F.col("_carry")[n], F.col(n))).otherwise(F.col(n)) for n, s in scans.items()}
-    return met.withColumns(final).drop("_key", "_carry", "_same")
+        same = same & F.col(k).eqNullSafe(F.col("_scan_key")[k])
+    met = out.join(given, "_scan_range", "left").withColumn("_scan_same", F.coalesce(same & F.col("_scan_key").isNotNull(), F.lit(False)))
+    final = {n: F.when(F.col("_scan_same"), _combined(s.how, F.col("_scan_carry")[n], F.col(n))).otherwise(F.col(n)) for n, s in scans.items()}
+    return met.withColumns(final).drop("_scan_key", "_scan_carry", "_scan_same")

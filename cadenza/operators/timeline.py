@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import sequence as seq
 from cadenza.operators.intervals import bucketed_interval_join
+from cadenza.operators.scan import Scan, following, scan
 from cadenza.sources.scratch import checkpointed
 
 
@@ -271,60 +272,45 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
 
 
 # ---- beats and bars --------------------------------------------------------------------
-def nth_downbeat_segments(downbeats: DataFrame, durations: DataFrame, key: str, every: int = 4,
-                          chunk_sec: float = 60.0) -> DataFrame:
+def nth_downbeat_segments(downbeats: DataFrame, durations: DataFrame, key: str, every: int = 4) -> DataFrame:
     """Bars from every Nth downbeat; the first one is moved to 0, the last bar ends with the media."""
-    minute = F.floor(F.col("t") / chunk_sec)
-    numbered = seq.dense_position(downbeats.select(key, "t"), [key], minute, ["t"], "_n")
-    marks = numbered.filter(F.col("_n") % every == 0).select(
-        key, F.floor(F.col("_n") / every).cast("bigint").alias("bar"),
-        F.when(F.col("_n") == 0, 0.0).otherwise(F.col("t")).alias("start_sec"),
-    )
-    closed = seq.with_next(marks, [key], "bar", {"_next": "start_sec"})
+    numbered = scan(downbeats.select(key, "t"), [key], ["t"], {"_n": Scan("sum", F.lit(1), inclusive=False)})
+    n = F.coalesce("_n", F.lit(0))
+    marks = numbered.filter(n % every == 0).select(
+        key, F.floor(n / every).cast("bigint").alias("bar"), F.when(n == 0, 0.0).otherwise(F.col("t")).alias("start_sec"))
+    closed = scan(marks, [key], ["bar"], {"_next": following(F.col("start_sec"))})
     return closed.join(durations.select(key, "duration"), key).select(
-        key, "bar", "start_sec", F.coalesce("_next", "duration").alias("end_sec")
+        key, "bar", "start_sec", F.coalesce("_next.v", "duration").alias("end_sec")
     )
 
 
 def bar_bucketing(captions: DataFrame, bars: DataFrame, key: str, fps: float = 30.0) -> DataFrame:
-    """Assign captions (in timeline order) to bars.
+    """Assign captions (in timeline order) to bars, which follow one another.
 
     Walking the captions, one that starts at or after the current bar's end closes exactly that
-    bar and opens the next, and one that straddles the end is dropped.  With captions numbered
-    ``i`` and ``first(k)`` the first caption starting at or after the start of bar ``k``, bar
-    ``k`` opens at ``max(first(k), open(k - 1) + 1)``, which is ``k`` plus a running maximum of
-    ``first(j) - j``: a window over the bars instead of a walk over the captions.
+    bar and opens the next, and one that straddles the end is dropped.  With ``m`` bar ends at or
+    before the start of caption ``i``, the caption is in bar ``min(bar(i - 1) + 1, m)``.  Along one
+    timeline of bar ends (+1) and captions (-1) that is ``i + 1 + min(0, low)``, where ``low`` is the
+    least running sum so far: one scan, without a walk.
     """
-    caps = seq.dense_position(captions, [key], seq.chunk_index("start_frame"), ["start_frame", "end_frame"], "i")
-    caps = caps.withColumn("_cs", F.col("start_frame") / fps)
-    # first caption at or after each bar end, by a combined timeline of bar ends and caption starts
     ms = lambda c: F.round(c * 1000000).cast("bigint")
-    ends = bars.select(key, ms(F.col("end_sec")).alias("_at"), F.col("bar"))
-    first_at = caps.groupBy(key, ms(F.col("_cs")).alias("_at")).agg(F.min("i").alias("_i"))
-    line = ends.select(key, "_at").distinct().withColumn("_q", F.lit(True)).join(first_at, [key, "_at"], "full")
-    found = seq.fill(line, [key], "_at", "_i", "_first", ahead=True, chunk=60000000).filter("_q")
-    opened = ends.join(found.select(key, "_at", "_first"), [key, "_at"]).select(
-        key, (F.col("bar") + 1).alias("bar"), F.coalesce(F.col("_first"), F.lit(2**61)).alias("_first")
-    )
-    ahead = seq.running(opened, [key], "bar", F.col("_first") - F.col("bar"), "_lead", "max")
-    at = F.greatest(F.col("_lead"), F.lit(-1)) + F.col("bar")
-    opens = ahead.select(key, "bar", at.alias("_open"))
-    start0 = bars.filter("bar = 0").select(key, "bar", F.lit(-1).cast("bigint").alias("_open"))
-    marks = opens.unionByName(start0).filter(F.col("_open") < F.lit(2**60)).join(
-        bars.select(key, "bar", "end_sec"), [key, "bar"], "left"
-    )
-    # the bar of caption i: last bar opened at or before i
-    line = caps.select(key, F.col("i").alias("_o")).withColumn("_c", F.lit(True)).join(
-        marks.groupBy(key, F.col("_open").alias("_o")).agg(F.max(F.struct("bar", "end_sec", F.col("_open").alias("open"))).alias("_bar")),
-        [key, "_o"], "full",
-    ).withColumn("_o1", F.col("_o") + 1)
-    filled = seq.fill(line, [key], "_o1", "_bar", "_in", ahead=False).filter("_c").select(key, F.col("_o").alias("i"), "_in")
-    out = caps.join(filled, [key, "i"])
-    inside = (F.col("end_frame") / fps <= F.col("_in.end_sec")) | (
-        (F.col("i") == F.col("_in.open")) & (F.col("_in.bar") > 0)
-    )
-    reason = F.when(F.col("_in.end_sec").isNull(), "after_last_bar").when(inside, "").otherwise("straddles_bar_end")
-    return out.select(*captions.columns, F.col("_in.bar").alias("bar"), reason.alias("dropped"))
+    caption = F.struct(*captions.columns)
+    line = captions.select(key, ms(F.col("start_frame") / fps).alias("_at"), F.lit(1).alias("_kind"), F.col("end_frame").alias("_end"),
+                           caption.alias("_caption")).unionByName(
+        bars.select(key, ms(F.col("end_sec")).alias("_at"), F.lit(0).alias("_kind")), allowMissingColumns=True)
+    step = F.when(F.col("_kind") == 0, 1).otherwise(-1)
+    seen = scan(line, [key], ["_at", "_kind", "_end"], {
+        "_i": Scan("sum", F.col("_kind"), inclusive=False), "_low": Scan("low", step), "_before": Scan("low", step, inclusive=False)})
+    least = lambda c: F.least(F.coalesce(c, F.lit(0)), F.lit(0))
+    placed = seen.filter("_kind = 1").select(
+        "_caption", (F.coalesce("_i", F.lit(0)) + 1 + least(F.col("_low"))).alias("bar"), (least(F.col("_low")) == least(F.col("_before"))).alias("_opens"))
+    ends = bars.select(F.col(key).alias("_key"), F.col("bar").alias("_bar"), "end_sec")
+    out = placed.join(ends, (F.col(f"_caption.{key}") == F.col("_key")) & (F.col("bar") == F.col("_bar")), "left")
+    # the caption that opens a bar stays even if it runs over the bar's end
+    inside = (F.col("_caption.end_frame") / fps <= F.col("end_sec")) | (F.col("_opens") & (F.col("bar") > 0))
+    reason = F.when(F.col("end_sec").isNull(), "after_last_bar").when(inside, "").otherwise("straddles_bar_end")
+    bar = F.when(F.col("end_sec").isNotNull() | (F.col("bar") > 0), F.col("bar"))
+    return out.select(*[F.col("_caption")[c].alias(c) for c in captions.columns], bar.alias("bar"), reason.alias("dropped"))
 
 
 def bars_containing(captions: DataFrame, bars: DataFrame, key: str, fps: float = 30.0, width: float = 8.0) -> DataFrame:
@@ -362,18 +348,19 @@ def time_to_index(times: DataFrame, durations: DataFrame, key: str, bins: int =
     return kept.select(*times.columns, index.alias("frame_index"))
 
 
-def nearest_beats(music: DataFrame, motion: DataFrame, key: str, pos: str, chunk: int = seq.CHUNK) -> DataFrame:
+def nearest_beats(music: DataFrame, motion: DataFrame, key: str, pos: str) -> DataFrame:
     """Per music beat the squared distance to the nearest motion beat (null without any).
 
-    As-of in both directions over one combined timeline: linear, no pairs.
+    As-of in both directions over one combined timeline: linear, one exchange, no pairs.  Repeated beats count once.
     """
-    a = music.select(key, pos).distinct().withColumn("_m", F.lit(True))
-    b = motion.select(key, pos).distinct().withColumn("_b", F.col(pos))
-    line = a.join(b, [key, pos], "full")
-    back = seq.fill(line, [key], pos, "_b", "_prev", ahead=False, chunk=chunk)
-    both = seq.fill(back, [key], pos, "_b", "_next", ahead=True, chunk=chunk).filter("_m")
+    line = music.select(key, pos, F.lit(True).alias("_m")).unionByName(motion.select(key, pos, F.lit(False).alias("_m")))
+    beat, asked = F.when(~F.col("_m"), F.col(pos)), F.when(F.col("_m"), F.col(pos))
+    # motion beats sort before music beats of the same place, so the way back sees them
+    both = scan(line, [key], [pos, "_m"], {
+        "_prev": Scan("last", beat), "_next": Scan("last", beat, ahead=True), "_same": Scan("last", asked, inclusive=False)})
     sq = lambda c: (F.col(c) - F.col(pos)) * (F.col(c) - F.col(pos))
-    return both.select(key, pos, F.least(sq("_prev"), sq("_next")).alias("distance_sq"))
+    first = F.col("_m") & ~F.coalesce(F.col("_same") == F.col(pos), F.lit(False))
+    return both.filter(first).select(key, pos, F.least(sq("_prev"), sq("_next")).alias("distance_sq"))
 
 
 def chords_in_ranges(ranges: DataFrame, chords: DataFrame, key: str, order: str, width: float = 8.0) -> DataFrame:
@@ -490,10 +477,10 @@ def downsample_ticks(frames: DataFrame, pos: str, source_fps: float, target_fps:
     return frames.filter((p == 0) | (tick(p) > tick(p - 1))).withColumn("tick", tick(p).cast("bigint"))
 
 
-def integrate_velocity(frames: DataFrame, keys: list[str], pos: str, value: str, out: str, chunk: int = seq.CHUNK) -> DataFrame:
+def integrate_velocity(frames: DataFrame, keys: list[str], pos: str, value: str, out: str) -> DataFrame:
     """Running sum of the previous velocities, starting at 0."""
-    summed = seq.running(frames, keys, pos, value, "_sum", "sum", inclusive=False, chunk=chunk)
-    return summed.select(*frames.columns, F.coalesce("_sum", F.lit(0.0)).alias(out))
+    summed = scan(frames, keys, [pos], {out: Scan("sum", F.col(value), inclusive=False)})
+    return summed.withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 # ---- sampling plans --------------------------------------------------------------------
