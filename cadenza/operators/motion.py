@@ -225,9 +225,9 @@ def keyframes(segments: DataFrame, joints: DataFrame, key: str, order: int = 5,
     The envelope of a segment starts at 0, as nothing precedes its first frame.
     """
     env = speed_envelope(joints, key, chunk=chunk)
-    from cadenza.operators.intervals import bucketed_interval_join
+    from cadenza.operators.intervals import interval_join
 
-    inside = bucketed_interval_join(
+    inside = interval_join(
         env, segments, [key], F.col("frame"), F.col("start_frame"), F.col("end_frame") - 1,
         (F.col("frame") >= F.col("start_frame")) & (F.col("frame") < F.col("end_frame")), 256,
     )

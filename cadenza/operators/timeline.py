@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators import sequence as seq
-from cadenza.operators.intervals import bucketed_interval_join
+from cadenza.operators.intervals import interval_join
 from cadenza.operators.scan import Scan, following, scan
 from cadenza.sources.scratch import checkpointed
 
@@ -197,7 +197,7 @@ def cover_or_next(points: DataFrame, segments: DataFrame, key: str, at: str, col
     """
     payload = F.struct("start_frame", "end_frame", *cols)
     segs = segments.select(key, "start_frame", "end_frame", payload.alias("_seg"))
-    hit = bucketed_interval_join(
+    hit = interval_join(
         points.select(key, at), segs, [key], F.col(at), F.col("start_frame"), F.col("end_frame") - 1,
         (F.col("start_frame") <= F.col(at)) & (F.col(at) < F.col("end_frame")), width,
     )
@@ -317,7 +317,7 @@ def bars_containing(captions: DataFrame, bars: DataFrame, key: str, fps: float =
     """Stateless variant: captions wholly inside a bar."""
     caps = captions.withColumns({"_s": F.col("start_frame") / fps, "_e": F.col("end_frame") / fps})
     inside = (F.col("_s") >= F.col("start_sec")) & (F.col("_e") <= F.col("end_sec"))
-    joined = bucketed_interval_join(caps, bars, [key], F.col("_s"), F.col("start_sec"), F.col("end_sec"), inside, width)
+    joined = interval_join(caps, bars, [key], F.col("_s"), F.col("start_sec"), F.col("end_sec"), inside, width)
     return joined.select(*captions.columns, "bar")
 
 
@@ -366,7 +366,7 @@ def nearest_beats(music: DataFrame, motion: DataFrame, key: str, pos: str) -> Da
 def chords_in_ranges(ranges: DataFrame, chords: DataFrame, key: str, order: str, width: float = 8.0) -> DataFrame:
     """Chords wholly inside each range joined with ``-`` in time order (empty text without any)."""
     inside = (F.col("chord_start") >= F.col("start_sec")) & (F.col("chord_end") <= F.col("end_sec"))
-    hit = bucketed_interval_join(
+    hit = interval_join(
         chords, ranges.select(key, order, "start_sec", "end_sec"), [key], F.col("chord_start"),
         F.col("start_sec"), F.col("end_sec"), inside, width,
     )
@@ -379,7 +379,7 @@ def chords_in_ranges(ranges: DataFrame, chords: DataFrame, key: str, order: str,
 def frames_in_segments(frames: DataFrame, segments: DataFrame, key: str, pos: str, text: str, width: int = 256) -> DataFrame:
     """Segment text active at each frame: first by (start, end), half-open, empty in gaps."""
     segs = segments.select(key, "start_frame", "end_frame", text)
-    hit = bucketed_interval_join(
+    hit = interval_join(
         frames.select(key, pos), segs, [key], F.col(pos), F.col("start_frame"), F.col("end_frame") - 1,
         (F.col("start_frame") <= F.col(pos)) & (F.col(pos) < F.col("end_frame")), width,
     )
