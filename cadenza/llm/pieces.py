@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from itertools import count as counter
+from itertools import islice
 
 import numpy as np
 import sentencepiece
@@ -19,6 +20,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 1.0
 #: Characters a task segments at once; a longer text stands alone.
 TEXT_CHARS = 600_000
+#: Characters of distinct parts whose lattices a task keeps; beyond them it starts anew.
+KEPT_CHARS = 3_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -29,6 +32,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Kept:
+    """Lattices of the distinct parts met so far, one after another; arrays grow by doubling."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(counter().__next__)
+        self.points: list[int] = []
+        self.spelled: dict[int, int] = {}
+        self.held: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.chars = 0
+
+    def add(self, begins, ends, first, from_, code, within, points, plain: int) -> None:
+        """Append the lattices of further parts: their places and edges follow those there are."""
+        for p in points.tolist():
+            if p not in self.spelled:
+                self.spelled[p] = len(self.points)
+                self.points.append(p)
+        if len(points):
+            place = np.array([self.spelled[p] for p in points.tolist()], np.int32)
+            code = np.where(code >= plain, plain + place[np.maximum(code - plain, 0) % len(place)], code)
+        places, edges = (self.sizes[2], self.sizes[3]) if self.sizes else (0, 0)
+        fresh = [begins + places, ends + places, first + edges, from_ + places, code, within]
+        if not self.held:
+            self.held, self.sizes = [x.copy() for x in fresh], [len(x) for x in fresh]
+        else:
+            for i, x in enumerate(fresh):
+                need = self.sizes[i] + len(x)
+                if need > len(self.held[i]):
+                    grown = np.empty(max(need, 2 * len(self.held[i])), self.held[i].dtype)
+                    grown[: self.sizes[i]] = self.held[i][: self.sizes[i]]
+                    self.held[i] = grown
+                self.held[i][self.sizes[i] : need] = x
+                self.sizes[i] = need
+        self.chars = self.sizes[2]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [x[:n] for x, n in zip(self.held, self.sizes)]
+
+
 class Pieces:
     """The pieces of a model: their texts, weights and hashes; built anew in each worker from the model's bytes."""
 
@@ -90,6 +132,7 @@ class Pieces:
         # no piece runs over such a place, so the lattice falls apart there and its parts are sampled on their own
         crossing = [t for t in texts if re.search(r"[^ ] |\n.|.\n", t, re.S)]
         self.parts = re.compile(r" *[^ \n]+|\n| +" if not crossing else r"(?s).+")
+        self.kept = _Kept()
         self.ready = True
         return self
 
@@ -117,21 +160,24 @@ class Pieces:
         (seed, part, step) alone.  Null gives null, an empty text no piece.
         """
         self.load()
-        found: defaultdict[str, int] = defaultdict(counter().__next__)
+        if self.kept.chars > KEPT_CHARS:
+            self.kept = _Kept()
+        known, held = self.kept.number, len(self.kept.number)
         word, lengths = [], []
         for text in texts:
             parts = self.parts.findall(f" {text}" if self.prefix else text) if text else []
-            word.append(np.fromiter(map(found.__getitem__, parts), np.int64, len(parts)))
+            word.append(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
             lengths.append(len(parts))
-        if not found:
+        if not sum(lengths):
             return [None if t is None else np.zeros(0, np.int32) for t in texts]
+        if len(known) > held:
+            self.kept.add(*self._lattice(list(islice(known, held, None))), len(self.bytes_of))
         owner = np.repeat(np.arange(len(texts)), lengths)
         word = np.concatenate(word)
         ordinal = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        lattice = self._lattice(list(found))
         seed = np.array([(s or 0) % (1 << 64) for s in seeds], np.uint64)[owner]
         stream = _mix(seed * _A + ordinal.astype(np.uint64) + np.uint64(1))
-        return self._backward(texts, owner, word, stream, *lattice)
+        return self._backward(texts, owner, word, stream)
 
     def _lattice(self, parts: list[str]):
         """Edges of the lattices of all parts, sorted by where they end, with the chance that a path came through them."""
@@ -189,10 +235,23 @@ class Pieces:
             total[to_2[low:high][heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, each)), heads))
         del from_2, to_2, weight_2, local, order, start
         chance = np.exp(total[from_] + weight - total[to])
+        # running sums of the chances at each place, added up place by place so that they don't depend on other parts
+        heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        many = np.diff(np.append(heads, len(to)))
+        within, live, step = chance, heads[many > 1], 1
+        left = many[many > 1]
+        while len(live):
+            within[live + step] += within[live + step - 1]
+            step += 1
+            live = live[left > step]
+            left = left[left > step]
+        within[heads + many - 1] = 1.0
+        first = np.zeros(len(chars) + len(parts), np.int32)
+        first[to[heads]] = heads
         # spelled characters follow the pieces
         spelled, back = np.unique(code[code < 0], return_inverse=True)
         code[code < 0] = len(self.bytes_of) + back
-        return begins, ends, from_, to, code, chance, -1 - spelled
+        return begins, ends, first, from_, code.astype(np.int32), within, -1 - spelled
 
     def _known(self, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places whose hash is that of a piece, and the piece."""
@@ -210,14 +269,9 @@ class Pieces:
         order = np.argsort(hit, kind="stable")
         return hit[order], place[order]
 
-    def _backward(self, texts, owner, word, stream, begins, ends, from_, to, code, chance, points) -> list[np.ndarray | None]:
-        heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-        many = np.diff(np.append(heads, len(to)))
-        summed = np.cumsum(chance)
-        within = summed - np.repeat(summed[heads] - chance[heads], many)
-        within[heads + many - 1] = 1.0
-        first = np.zeros(ends[-1] + 1, np.int64)
-        first[to[heads]] = heads
+    def _backward(self, texts, owner, word, stream) -> list[np.ndarray | None]:
+        begins, ends, first, from_, code, within = self.kept.arrays()
+        points = self.kept.points
         cursor, live, step = ends[word], np.arange(len(word)), 0
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(len(word), np.int64)
@@ -241,7 +295,7 @@ class Pieces:
         plain = len(self.bytes_of)
         size, wide = np.ones(plain + len(points), np.int64), np.zeros((plain + len(points), 4), np.int32)
         wide[:plain, 0] = np.arange(plain)
-        for i, point in enumerate(points.tolist(), plain):
+        for i, point in enumerate(points, plain):
             spelled = self.byte_ids[list(chr(point).encode("utf-8", "surrogatepass"))]
             size[i] = len(spelled)
             wide[i, : len(spelled)] = spelled

@@ -260,3 +260,18 @@ def test_samples_follow_the_lattice(model):
     assert set(drawn) <= set(chance)
     assert all(abs(drawn[w] / n - p / total) < 4 * math.sqrt(p / total / n) + 1e-3 for w, p in chance.items())
     assert np.array_equal(model.sample(["x", "hand in hand"], [0, 9])[1], model.sample(["hand in hand"], [9])[0])
+
+
+def test_samples_do_not_depend_on_other_texts_or_on_kept_lattices(monkeypatch, model):
+    import random
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdeé 漢🙂\n", k=rng.randint(0, 80))) for _ in range(120)] + [None, ""]
+    keys = list(range(len(texts)))
+    whole = [None if i is None else i.tolist() for i in pieces.Pieces(model.model).sample(texts, keys)]
+    monkeypatch.setattr(pieces, "KEPT_CHARS", 300)
+    small, alone = pieces.Pieces(model.model), pieces.Pieces(model.model)
+    batches = [small.sample(texts[i : i + 7], keys[i : i + 7]) for i in range(0, len(texts), 7)]
+    assert [None if i is None else i.tolist() for b in batches for i in b] == whole
+    assert [None if i is None else i.tolist() for t, k in zip(texts, keys) for i in alone.sample([t], [k])] == whole
+    assert [small.decode(i) for i in whole] == texts
