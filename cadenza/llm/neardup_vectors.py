@@ -130,15 +130,17 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     # a class is known by 128 bits of its vector and its length
     rows = rows.withColumn("class", F.when(F.col("raw").isNotNull(), F.concat_ws(
         "-", F.size("raw"), F.xxhash64("raw"), F.xxhash64(F.lit(1), F.reverse("raw")))))
+    # classes link by numbers of their own, whatever keys their rows have; keys only name the finished components
     classes = checkpointed(rows.filter("class IS NOT NULL").groupBy("class").agg(
-        F.min("key").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
-    named = classes.filter("id IS NOT NULL")
-    pairs = checkpointed(near_pairs(named.select("id", "v"), named.count(), least))
+        F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).withColumn("id", F.monotonically_increasing_id()))
+    pairs = checkpointed(near_pairs(classes.select("id", "v"), classes.count(), least))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(named.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links"))
-    placed = named.join(links, F.col("id") == F.col("a"), "left").drop("a").join(
+    links = both.join(classes.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links"))
+    rooted = classes.select("class", "id", "n", "least").join(links, F.col("id") == F.col("a"), "left").drop("a").join(
         components(pairs, "a", "b").withColumnRenamed("id", "c"), F.col("id") == F.col("c"), "left"
-    ).select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    ).select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("root"), "least")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = rooted.join(smallest, "root").select("class", "n_links", "component_id")
     # rows outside every class get keys of their own, so that they do not meet in one task
     keyed = rows.select("key", F.coalesce("class", F.concat(F.lit("none "), F.xxhash64("key"))).alias("class"))
     return keyed.join(placed, "class", "left").select(

@@ -108,10 +108,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", mo
     rows alone is null.
     """
     marked = checkpointed(docs.select(F.col(key).alias("key"), fingerprints(F.col(text)).alias("fp")))
-    nodes = marked.groupBy("fp").agg(F.min("key").alias("node"))
-    linked = components(near_links(nodes.filter("node IS NOT NULL"), "fp", "node", most_bits), "a", "b")
-    placed = nodes.join(linked, F.col("node") == F.col("id"), "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return marked.join(placed, "fp").select(F.col("key").alias(key), "fp", "component")
+    # fingerprints link by themselves, whatever keys their rows have; keys only name the finished components
+    nodes = marked.groupBy("fp").agg(F.min("key").alias("least"))
+    linked = components(near_links(nodes, "fp", "fp", most_bits), "a", "b")
+    rooted = nodes.join(linked, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return marked.join(rooted.join(named, "root").select("fp", "component"), "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,3 +147,24 @@ def test_recall_at_the_threshold(spark):
 def test_plan_follows_size_and_threshold():
     small, large = neardup_vectors.plan(1000, 0.95), neardup_vectors.plan(10**8, 0.95)
     assert small[0] < large[0] and small[1] < large[1] and small[2] == large[2] < neardup_vectors.plan(1000, 0.99)[2]
+
+
+def test_fingerprints_link_through_rows_without_a_key(spark, monkeypatch):
+    """0 (id 1), 3 (no id), 15 (id 2): a chain; the same id on unlike texts does not join their groups."""
+    prints = {"a": 0, "b": 3, "c": 15, "d": 255 << 20, "e": 255 << 40, "f": 254 << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda text: F.create_map(*[F.lit(x) for p in prints.items() for x in p])[text])
+    rows = [(1, "a"), (None, "b"), (2, "c"), (7, "d"), (7, "e"), (3, "f"), (None, "f")]
+    got = [(r.k, r.t, r.component) for r in simhash.near_duplicates(
+        spark.createDataFrame(rows, "k long, t string"), text="t", key="k").join(
+        spark.createDataFrame([(v, k) for k, v in prints.items()], "fp long, t string"), "fp").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a", 1), (None, "b", 1), (2, "c", 1), (7, "d", 7), (7, "e", 3), (3, "f", 3), (None, "f", 3)], key=str)
+
+
+def test_vectors_link_through_rows_without_a_key_and_with_repeated_keys(spark):
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    chain = [(1, turn(0.0)), (None, turn(0.3)), (2, turn(0.6)), (None, turn(2.0)), (None, turn(2.0))]
+    found = lambda rows: sorted(((r.vec_id, r.n_links, r.component_id) for r in neardup_vectors.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert found(chain) == sorted([(1, 1, 1), (None, 2, 1), (2, 1, 1), (None, 1, None), (None, 1, None)], key=str)
+    crossed = [(1, turn(0.0)), (1, turn(1.5)), (2, turn(0.1)), (3, turn(1.6))]
+    assert found(crossed) == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)], key=str)
