@@ -104,5 +104,5 @@ def test_unlike_texts_of_one_id_stay(spark):
 
 
 def test_queries_are_named_by_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
     assert secrets.BASE == ("assign", "access", "hex")
