@@ -25,12 +25,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies; documents without an id stay.
 
     Groups are of texts, so rows that share an id with unlike texts stay in different groups; of several rows with the
-    smallest id of a group the one with the smallest hash of all its columns stays.
+    smallest id of a group the one with the smallest hash of all its columns stays, and of equal rows one.
     """
-    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", F.shiftrightunsigned(F.xxhash64(*docs.columns), 1))
-    groups = simhash.near_duplicates(rows, key="_row").join(rows.select("_row", "doc_id").distinct(), "_row")
-    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select("_first._row")
-    kept = rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    mark = "_row"
+    while mark in docs.columns:
+        mark += "_"
+    # 128 bits of all columns; nulls have a place of their own
+    parts = [*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]]
+    row = F.struct("doc_id", F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn(mark, row)
+    first = simhash.near_duplicates(rows, key=mark).select(F.col("component").alias(mark)).distinct()
+    kept = rows.join(first, mark, "left_semi").dropDuplicates([mark]).drop(mark)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -45,7 +50,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the sampled piece ids, and whether decoding them gives back the text."""
+    """Add ``ids``, the sampled piece ids, and ``lossless``, whether decoding them gives back the text.
+
+    Columns of these names that the documents have are replaced.
+    """
     coded = docs.select(*[F.col(c) for c in docs.columns if c not in ("ids", "lossless")],
                         pieces.encode_checked(F.col("text"), F.col("doc_id"), pieces.load()).alias("_coded"))
     return coded.select(*coded.columns[:-1], "_coded.*")
@@ -64,6 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that pass all stages, with secrets masked, piece ids and the round trip's outcome.
+
+    Null texts count as empty for the classifier and have neither passages nor secrets nor pieces; null ids are never near
+    copies; an empty table gives no row.  Each stage's result is stored before the next one starts.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
