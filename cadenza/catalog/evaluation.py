@@ -35,6 +35,18 @@ def frechet_distance(v):
     return rounded(out, "frechet", digits=4)
 
 
+# two dimensions have a closed form: the trace of the root of a 2 x 2 product is sqrt(trace + 2 sqrt(determinant))
+@query("frechet_distance_plane", f"""
+    WITH xy AS (SELECT seq, CAST(embedding[1] AS DOUBLE) + 1e6 AS x, CAST(embedding[2] AS DOUBLE) - 1e6 AS y FROM {{vectors}}),
+    g AS (SELECT CAST(seq AS VARCHAR) AS seq, count(*) AS n, avg(x - 1e6) AS mx, avg(y + 1e6) AS my, var_samp(x - 1e6) AS a, covar_samp(x - 1e6, y + 1e6) AS b, var_samp(y + 1e6) AS c FROM xy GROUP BY 1),
+    r AS (SELECT avg(x - 1e6) AS rx, avg(y + 1e6) AS ry, var_samp(x - 1e6) AS d, covar_samp(x - 1e6, y + 1e6) AS e, var_samp(y + 1e6) AS f FROM xy)
+    SELECT seq, n, {hu('(mx - rx) ** 2 + (my - ry) ** 2 + a + c + d + f - 2 * sqrt(a * d + 2 * b * e + c * f + 2 * sqrt((a * c - b * b) * (d * f - e * e)))', 4)} AS frechet
+    FROM g, r WHERE n > 1""")
+def frechet_distance_plane(v):
+    far = v.vectors.select("seq", F.array(F.col("embedding")[0].cast("double") + 1e6, F.col("embedding")[1].cast("double") - 1e6).alias("xy"))
+    return rounded(ev.frechet_distance(far, far.select("xy"), "seq", "xy", 2), "frechet", digits=4)
+
+
 @query("mean_pairwise_distance", f"""
     SELECT CAST(a.seq AS VARCHAR) AS seq, any_value(n) AS n, {hu('sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / ((any_value(n) * any_value(n) - any_value(n)) / 2)')} AS distance
     FROM {{vectors}} a JOIN {{vectors}} b ON a.seq = b.seq AND a.pos < b.pos JOIN (SELECT seq, count(*) AS n FROM {{vectors}} GROUP BY seq) c ON c.seq = a.seq GROUP BY a.seq

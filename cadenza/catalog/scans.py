@@ -119,6 +119,18 @@ def partitioned_recommendation_sink(v):
     return back.groupBy("final_recommendation").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_sec").alias("seconds"))
 
 
+@query("recommendation_sink_unlabelled", """
+    SELECT coalesce(rec, 'none') AS rec, count(*) AS n FROM (
+        SELECT CASE WHEN duration_sec % 7 = 0 THEN NULL WHEN duration_sec % 11 = 0 THEN 'later' ELSE rec END AS rec FROM {fused}) t
+    WHERE rec IS NULL OR rec <> 'drop' GROUP BY 1""")
+def recommendation_sink_unlabelled(v):
+    path = scratch_path(v.spark, "recommendations")
+    label = F.when(F.col("duration_sec") % 7 == 0, None).when(F.col("duration_sec") % 11 == 0, "later").otherwise(F.col("final_recommendation"))
+    io.write_recommendations(fused(v).select("bvid", label.alias("final_recommendation")), path, drop=False)
+    back = v.spark.read.parquet(path)
+    return back.groupBy(F.coalesce("final_recommendation", F.lit("none")).alias("rec")).agg(F.count(F.lit(1)).alias("n"))
+
+
 S["history"] = """
     SELECT CAST(doc_id AS STRING) AS bvid, CAST(quality + 10 AS DOUBLE) AS score, 'old' AS origin FROM {labels}"""
 S["current_run"] = """

@@ -33,66 +33,88 @@ def zscore_by_reference(features: DataFrame, reference: DataFrame, dim: str, val
     )
 
 
-def _block_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per group of a batch: row count, vector sum and sum of outer products, one behind the other."""
+#: Groups whose moments a task keeps before it hands them on, and tasks' shares a group is first merged in.
+_HELD_GROUPS = 64
+_SHARES = 32
+
+
+def _merged(parts: Sequence[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and centred sum of outer products of several sets from theirs; no large sums are subtracted."""
+    n = np.array([p[0] for p in parts])
+    means = np.stack([p[1] for p in parts])
+    mean = means[0] + (n[:, None] * (means - means[0])).sum(axis=0) / n.sum()
+    off = means - mean
+    return float(n.sum()), mean, np.sum([p[2] for p in parts], axis=0) + (off * n[:, None]).T @ off
+
+
+def _batch_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict = {}
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame([(g, n, mean.tolist(), m2.ravel().tolist()) for g, (n, mean, m2) in held.items()], columns=["_g", "n", "mean", "m2"])
+
     for batch in batches:
-        rows = []
-        for name, part in batch.groupby("_g", sort=False):
-            m = np.asarray(part["_vec"].tolist(), dtype=np.float64)
-            rows.append((name, np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()]).tolist()))
-        yield pd.DataFrame(rows, columns=["_g", "sums"])
+        for name, part in batch.groupby("_g", sort=False, dropna=False):
+            name = None if pd.isna(name) else name
+            x = np.asarray(part["_vec"].tolist(), dtype=np.float64)
+            mean = x[0] + (x - x[0]).mean(axis=0)
+            own = (float(len(x)), mean, (x - mean).T @ (x - mean))
+            held[name] = _merged([held[name], own]) if name in held else own
+            if len(held) > _HELD_GROUPS:
+                yield out()
+                held.clear()
+    yield out()
+
+
+def _merge_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    d = len(rows["mean"].iloc[0])
+    n, mean, m2 = _merged([(r.n, np.asarray(r.mean), np.asarray(r.m2).reshape(d, d)) for r in rows[["n", "mean", "m2"]].itertuples(index=False, name="R")])
+    return pd.DataFrame({"_g": [rows["_g"].iloc[0]], "n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
 
 
 def moments(features: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
-    """``(group, n, s, ss)``: count, sum and flattened sum of outer products, one row per group.
+    """``(group, n, mean, m2)``: count, mean and flattened centred sum of outer products of vectors of ``dims`` entries.
 
-    Every Arrow batch is reduced to ``dims^2`` numbers before the shuffle, so the traffic does not
-    depend on the number of rows of a group; the partial sums are added per cell, all in one pass.
+    Every task hands on one set of moments for each group it meets (more if it meets many), so the traffic does not depend
+    on the number of rows of a group.  Moments are merged centred, in two steps: shares of a group, then the group.
     """
-    named = features.select(F.col(group).cast("string").alias("_g"), F.col(vector).alias("_vec"))
-    partial = named.mapInPandas(_block_moments, "_g string, sums array<double>")
-    cells = partial.select("_g", F.posexplode("sums").alias("i", "v")).groupBy("_g", "i").agg(F.sum("v").alias("v"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "v")))  # 1 + dims + dims^2 cells
-    summed = cells.groupBy("_g").agg(F.transform(ordered, lambda c: c["v"]).alias("_s"))
-    return summed.select(
-        F.col("_g").alias(group), F.get("_s", F.lit(0)).cast("bigint").alias("n"),
-        F.slice("_s", 2, dims).alias("s"), F.slice("_s", 2 + dims, dims * dims).alias("ss"),
-    )
-
+    kind = "_g string, n double, mean array<double>, m2 array<double>"
+    named = features.filter(F.size(vector) == dims).select(F.col(group).cast("string").alias("_g"), F.col(vector).alias("_vec"))
+    share = F.pmod(F.monotonically_increasing_id(), F.lit(_SHARES))
+    shares = named.mapInPandas(_batch_moments, kind).withColumn("_share", share).groupBy("_g", "_share").applyInPandas(_merge_rows, kind)
+    return shares.groupBy("_g").applyInPandas(_merge_rows, kind).select(
+        F.col("_g").alias(group), F.col("n").cast("bigint").alias("n"), "mean", "m2")
 
-def _frechet(n1, s1, q1, n2, s2, q2) -> float:
-    def stats(n, s, q):
-        mean = np.asarray(s) / n
-        d = len(mean)
-        return mean, (np.asarray(q).reshape(d, d) - n * np.outer(mean, mean)) / (n - 1)
 
-    (m1, c1), (m2, c2) = stats(n1, s1, q1), stats(n2, s2, q2)
+def _frechet(n1, m1, q1, n2, m2, q2) -> float:
+    d = len(m1)
+    c1, c2 = np.asarray(q1).reshape(d, d) / (n1 - 1), np.asarray(q2).reshape(d, d) / (n2 - 1)
     values = np.linalg.eigvals(c1 @ c2)
     if not np.isfinite(values).all():
-        ridge = np.eye(len(m1)) * 1e-5
+        ridge = np.eye(d) * 1e-5
         values = np.linalg.eigvals((c1 + ridge) @ (c2 + ridge))
     root = np.sqrt(np.clip(values.real, 0.0, None)).sum()
-    diff = m1 - m2
+    diff = np.asarray(m1) - np.asarray(m2)
     return float(diff @ diff + np.trace(c1) + np.trace(c2) - 2.0 * root)
 
 
 @F.pandas_udf(T.DoubleType())
-def _frechet_rows(n1: pd.Series, s1: pd.Series, q1: pd.Series, n2: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.Series:
-    return pd.Series([_frechet(*row) for row in zip(n1, s1, q1, n2, s2, q2, strict=True)])
+def _frechet_rows(n1: pd.Series, m1: pd.Series, q1: pd.Series, n2: pd.Series, m2: pd.Series, q2: pd.Series) -> pd.Series:
+    return pd.Series([_frechet(*row) for row in zip(n1, m1, q1, n2, m2, q2, strict=True)])
 
 
 def frechet_distance(generated: DataFrame, reference: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
     """Fréchet distance of every generated group to the one reference set.
 
-    Only ``dims^2`` sums per group reach the small matrix step, which also runs in tasks.
+    Only centred moments of the groups reach the small matrix step, which also runs in tasks.
     """
     ref = moments(reference.withColumn("_all", F.lit("all")), "_all", vector, dims).select(
-        F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("ss").alias("q2")
+        F.col("n").alias("n2"), F.col("mean").alias("mean2"), F.col("m2").alias("q2")
     )
     gen = moments(generated, group, vector, dims).filter("n > 1")
     # the reference side is exactly one row
     both = gen.join(F.broadcast(ref))
-    return both.select(group, "n", _frechet_rows("n", "s", "ss", "n2", "s2", "q2").alias("frechet"))
+    return both.select(group, "n", _frechet_rows("n", "mean", "m2", "n2", "mean2", "q2").alias("frechet"))
 
 
 def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -89,12 +89,15 @@ def explode_tensor(nested: DataFrame, key: str, column: str, joint_width: int =
 
 
 def write_recommendations(records: DataFrame, path: str, keep: bool = True, review: bool = True, drop: bool = True) -> None:
-    """All records, laid out by recommendation; each part can be left out."""
-    wanted = [n for n, on in (("keep", keep), ("review", review), ("drop", drop)) if on]
+    """All records, laid out by recommendation; each of the three parts can be left out.
+
+    Records without a recommendation or with another one are always written, to partitions of their own; the whole folder
+    reads back as all records.
+    """
+    left_out = [n for n, on in (("keep", keep), ("review", review), ("drop", drop)) if not on]
+    wanted = ~F.coalesce(F.col("final_recommendation").isin(*left_out), F.lit(False)) if left_out else F.lit(True)
     # one partition value may hold most rows: write from the partitions the plan already has
-    records.filter(F.col("final_recommendation").isin(*wanted)).write.mode("overwrite").partitionBy(
-        "final_recommendation"
-    ).parquet(path)
+    records.filter(wanted).write.mode("overwrite").partitionBy("final_recommendation").parquet(path)
 
 
 def write_summary_csv(query_table: DataFrame, genre_table: DataFrame, path: str) -> None:
