@@ -72,7 +72,7 @@ SHARED: dict[str, str] = {
                       || chr(10) || chr(10) || '**upper half body**' || chr(10) || 'upper ' || text
                       || chr(10) || chr(10) || '**torso**' || chr(10) || 'torso ' || text
                END AS response
-        FROM {conversations} WHERE role = 'assistant'""",
+        FROM {conversations}""",
     "generated": """
         SELECT conv_id AS song, turn,
                '<think>' || text || '</think>'
@@ -81,7 +81,7 @@ SHARED: dict[str, str] = {
                || 'segment 2' || chr(10) || ': - ' || text || chr(10)
                || CASE WHEN conv_id % 4 = 0 THEN 'Segment 9: 4.0 - 5.0 ' || text || '!' ELSE 'Segment 3 : ' END
                || CASE WHEN conv_id % 6 = 0 THEN '' ELSE chr(10) || '</answer>' END AS output
-        FROM {conversations} WHERE role = 'assistant'""",
+        FROM {conversations}""",
     "movement_texts": """
         SELECT conv_id AS song, turn,
                CASE WHEN conv_id % 3 = 0
@@ -97,7 +97,7 @@ SHARED: dict[str, str] = {
                      '**simple tag**: ' || text || chr(10) || '**whole body**: ' || text || chr(10)
                        || '**upper body**: arms ' || text || chr(10) || '**lower body**: legs ' || text
                        || CASE WHEN conv_id % 5 = 0 THEN '' ELSE chr(10) || '**torso**: core ' || text END AS body2
-              FROM {conversations} WHERE role = 'assistant') t""",
+              FROM {conversations}) t""",
     "song_sections": """
         SELECT conv_id AS song, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
                1.25 * turn AS start_sec, 1.25 * turn + 1.25 AS end_sec, text
