@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.catalog import views as vw
 from cadenza.catalog.registry import half_up as hu
 from cadenza.catalog.registry import query, rounded
+from cadenza.operators.clusters import cluster_each
 from cadenza.operators import vectors as ve
 
 D = vw.DUCK
@@ -51,8 +52,7 @@ def cosine_context(v):
 @query("cluster_frames")
 def cluster_frames(v):
     context = ve.cosine_context(v.vectors, "seq", "pos", "embedding")
-    labelled, _ = ve.cluster_frames(context, "context")
-    return labelled.select("seq", "slice_idx", "step", "label")
+    return cluster_each(context, "seq", ["slice_idx", "step"], "context")
 
 
 @query("assign_nearest_centroid", f"""
