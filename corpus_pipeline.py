@@ -28,14 +28,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest id of a group the one with the smallest hash of all its columns stays, and of equal rows one.
     """
     mark = "_row"
-    while mark in docs.columns:
+    while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
     # 128 bits of all columns; nulls have a place of their own
     parts = [*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]]
-    row = F.struct("doc_id", F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
-    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn(mark, row)
-    first = simhash.near_duplicates(rows, key=mark).select(F.col("component").alias(mark)).distinct()
-    kept = rows.join(first, mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    halves = [f"{mark}a", f"{mark}b"]
+    rows = docs.filter(F.col("doc_id").isNotNull()).withColumns({h: F.xxhash64(F.lit(i), *parts) for i, h in enumerate(halves)})
+    groups = simhash.near_duplicates(rows.withColumn(mark, F.struct("doc_id", *halves)), key=mark)
+    first = groups.select(*[F.col("component")[h].alias(h) for h in halves]).distinct()
+    kept = rows.join(first, halves, "left_semi").dropDuplicates(halves).drop(*halves)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
