@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,18 @@ _NESTED = frozenset(
     "article aside blockquote details dialog div dl fieldset figure footer form head header main menu nav ol section select table title ul".split()
 )
 #: Elements skipped up to their end tag, or to the end of the page without one; the others then lose their tag alone.
-_RAW = ("script", "style", "noscript", "textarea", "iframe")
-_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("template", "svg", "math", "object", "canvas", "audio", "video")}
+_RAW = frozenset("script style noscript textarea iframe".split())
+_LOST = frozenset("template svg math object canvas audio video".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW | _LOST}
+#: Parts of forms beside the forms themselves.
+_PARTS = frozenset("button label option optgroup datalist output".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_CELLS = frozenset("tbody thead tfoot tr td th".split())
+#: Blocks without an end tag of their own end where one of these begins.
+_ENDED_BY = {
+    "p": _BREAKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
+    "tr": _CELLS - {"td", "th"}, "td": _CELLS, "th": _CELLS,
+}
 _NEVER = frozenset("nav footer aside form menu head title select dialog fieldset".split())
 _CONTENT = frozenset(("article", "main"))
 _HINTS = frozenset(
@@ -43,17 +54,12 @@ _HINTS = frozenset(
     "overlay share sharing social related recommended comment comments respond replies disqus login search widget toolbar pagination pager "
     "copyright disclaimer contentinfo complementary hidden".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|"
-    r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: Quotes count as the first character of a value only.
+_INSIDE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)|\Z))*+")
 #: What a class name begins with if it tells of its page, not of its element.
 _STATES = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "without_")
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: A tag that the end of the page cuts off.
-_CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -89,85 +95,155 @@ def _hidden(attrs: str) -> bool:
     return False
 
 
-def _hinted(attrs: str, whole: bool = False) -> bool:
+def _hinted(attrs: str, whole: bool = False, named: tuple[str, ...] = ("class", "id", "role")) -> bool:
     """Whether an element names itself as something beside the main text, by a ``whole`` name or a part of one."""
     for m in _ATTRIBUTE.finditer(attrs):
-        if m[1].lower() in ("class", "id", "role"):
+        if m[1].lower() in named:
             names = [v for v in (m[2] or m[3] or m[4] or "").lower().split() if not v.startswith(_STATES)]
             if not _HINTS.isdisjoint(names if whole else re.split(r"[\s_-]+", " ".join(names))):
                 return True
     return False
 
 
+def _tokens(page: str):
+    """``(text before, name, whether an end tag, attributes)`` of each tag in order, and the last text with an empty name.
+
+    The scan only moves forward: comments, declarations and raw elements are passed over, and what the end of the page cuts
+    off is dropped, so a page of any broken tags takes time in proportion to its length.
+    """
+    at, start, endless = 0, 0, set()
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), i):
+            close, skip = ("-->", 4) if page.startswith("<!--", i) else ("]]>", 9) if page.startswith("<![CDATA[", i) else (">", 2)
+            end = page.find(close, i + skip)
+            yield page[start:i], "", False, ""
+            if end < 0:
+                return
+            at = start = end + len(close)
+            continue
+        if not (m := _NAME.match(page, i)):
+            at = i + 1
+            continue
+        inside = _INSIDE.match(page, m.end())
+        # it stops before the end of the tag only at a quote that never closes; then the tag ends at once
+        end = inside.end() if page.startswith(">", inside.end()) else page.find(">", inside.end())
+        if end < 0:
+            yield page[start:i], "", False, ""
+            return
+        tag, attrs = m[2].lower(), page[m.end() : end]
+        at = start_of_next = end + 1
+        if not m[1] and tag in _ENDS and tag not in endless and (tag in _RAW or not attrs.endswith("/")):
+            if closing := _ENDS[tag].search(page, at):
+                at = start_of_next = closing.start()
+            elif tag in _RAW:
+                yield page[start:i], "", False, ""
+                return
+            else:
+                endless.add(tag)
+        yield page[start:i], tag, bool(m[1]), attrs
+        start = start_of_next
+    yield page[start:], "", False, ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; unclosed and misnested tags are taken as they come.
 
-    Names of elements around an article or main element do not exclude it, unless they lie in another article.
+    Any element can exclude what it holds, by its kind, its names or by being hidden; text in excluded elements inside a
+    block (``span``, ``button``) is left out of it.  Names of elements around an article or main element do not
+    exclude it, unless they lie in another article.  Names of headings count by class only, as their ids repeat their text.
     """
-    out, stack, links, count = _Page(), [], 0, 0
+    out, links, count = _Page(), 0, 0
     excluded, wrapped, articles = 0, 0, 0  # open elements that exclude all they hold, all but articles, and articles
-    content, breaks, unclosed = [], 0, set()
-    at = 0
-
-    def text(chunk: str) -> None:
-        nonlocal breaks
-        if chunk:
+    silent = 0  # open elements inside a block whose text is left out
+    content, breaks = [], 0
+    several = page.lower().count("<article") > 1  # the only article of a page is kept whatever it is called
+    stack, open_tags = [], Counter()
+    # blocks and marked inline elements open inside the innermost nested element
+    small: list[tuple[str, int, int, int]] = []
+    small_tags: Counter = Counter()
+
+    def close() -> None:
+        out.close(excluded + wrapped > 0, content[-1] if content else 0)
+
+    def leave(tag: str) -> None:
+        """End the innermost small element of the name, and all that began in it."""
+        nonlocal excluded, wrapped, silent
+        while small_tags[tag]:
+            name, excluded, wrapped, silent = small.pop()
+            small_tags[name] -= 1
+            if name == tag:
+                return
+
+    for chunk, tag, ends, attrs in _tokens(page):
+        if chunk and not silent:
             decoded = references.unescape(chunk) if "&" in chunk else chunk
             if decoded.strip():
                 breaks = 0
             out.parts.append((decoded, links > 0))
-
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if tag in _SKIPPED and not m["end"] and tag not in unclosed and not m["attrs"].endswith("/"):
-            if end := _SKIPPED[tag].search(page, at):
-                at = end.end()
-            else:
-                unclosed.add(tag)
+        if not tag or tag in _ENDS:
             continue
         if tag == "a":
-            links = 0 if m["end"] else 1
-        elif tag == "br":
+            links = 0 if ends else 1
+        if tag == "br":
             breaks += 1
             if breaks > 1:
-                out.close(excluded + wrapped > 0, content[-1] if content else 0)
+                close()
             out.parts.append((" ", False))
-        elif tag in _BREAKS:
-            out.close(excluded + wrapped > 0, content[-1] if content else 0)
+            continue
+        if tag in _BREAKS:
+            close()
             breaks = 0
-            if tag in _NESTED or tag == "li":
-                links = 0
-            if tag not in _NESTED:
-                continue
-            if not m["end"]:
-                if m["attrs"].endswith("/") and tag == "div":
+            if not ends:
+                for name, enders in _ENDED_BY.items():
+                    if small_tags[name] and tag in enders:
+                        leave(name)
+        if tag in _NESTED:
+            links = 0
+            if not ends:
+                if attrs.endswith("/") and tag == "div":
                     continue
-                stack.append((tag, excluded, wrapped, articles))
-                attrs = m["attrs"] if tag != "html" else ""
+                stack.append((tag, excluded, wrapped, articles, silent, small, small_tags))
+                open_tags[tag] += 1
+                small, small_tags = [], Counter()
                 # a header inside an article holds its title
                 excluded += tag in _NEVER or (tag == "header" and not content) or _hidden(attrs if tag != "main" else "")
                 if tag in _CONTENT:
                     wrapped = 0
-                    excluded += tag == "article" and _hinted(attrs, whole=not articles)
+                    excluded += tag == "article" and several and _hinted(attrs, whole=not articles)
                     articles += tag == "article"
                     count += 1
                     content.append(count)
                 elif _hinted(attrs):
                     excluded += articles > 0
                     wrapped += not articles
-            elif any(t == tag for t, *_ in stack):
+            elif open_tags[tag]:
                 while stack:
-                    open_tag, excluded, wrapped, articles = stack.pop()
-                    if open_tag in _CONTENT:
+                    name, excluded, wrapped, articles, silent, small, small_tags = stack.pop()
+                    open_tags[name] -= 1
+                    if name in _CONTENT:
                         content.pop()
-                    if open_tag == tag:
+                    if name == tag:
                         break
-    text(_CUT.sub("", page[at:]))
-    out.close(excluded + wrapped > 0, content[-1] if content else 0)
+        elif tag in _VOID or tag in ("html", "body"):
+            continue
+        elif ends:
+            leave(tag)
+        elif tag in _BREAKS and tag not in _PARTS:
+            if tag == "li":
+                links = 0
+            small.append((tag, excluded, wrapped, silent))
+            small_tags[tag] += 1
+            excluded += _hidden(attrs)
+            if _hinted(attrs, named=("class", "role") if tag[0] == "h" else ("class", "id", "role")):
+                excluded += articles > 0
+                wrapped += not articles
+        else:
+            mark = tag in _PARTS or bool(attrs) and (_hidden(attrs) or _hinted(attrs, named=("class", "role")))
+            if (mark or small_tags[tag]) and not attrs.endswith("/"):
+                small.append((tag, excluded, wrapped, silent))
+                small_tags[tag] += 1
+                silent += mark
+    close()
     return out.blocks
 
 
@@ -178,8 +254,8 @@ def classify(blocks: list[Block], good_density: float = GOOD_DENSITY, short: int
     least ``short`` characters with enough stop words, or mostly of letters on a page that has hardly any stop words,
     are good; the rest is undecided.  Second pass: an undecided
     block takes the label of the nearest decided block of its own article or main element (the earlier one
-    wins a tie; excluded blocks do not count, lists of links only for blocks with a link); without a decided one there it is good.  Outside such elements the neighbours on both
-    sides must be good, and a page without any decided block has no main text.
+    wins a tie; excluded blocks do not count, lists of links only for blocks with a link); without a decided one there it is good.  Outside such elements it is the
+    nearest decided block of all, a bad one on a tie, and a page without any decided block has no main text.
     """
     counts = []
     for b in blocks:
@@ -213,8 +289,8 @@ def classify(blocks: list[Block], good_density: float = GOOD_DENSITY, short: int
             near += [(decided[right] - i, 1, decided[right])] if right < len(decided) else []
             final[i] = blocks[min(near)[2]].label if near else "good"
         else:
-            sides = [blocks[decided[s]].label for s in (left, right) if 0 <= s < len(decided)]
-            final[i] = "good" if sides and all(s == "good" for s in sides) else "bad"
+            near = [(abs(i - decided[s]), blocks[decided[s]].label) for s in (left, right) if 0 <= s < len(decided)]
+            final[i] = min(near)[1] if near else "bad"  # of two as near, "bad" sorts first
     for b, label in zip(blocks, final):
         b.label = label
 

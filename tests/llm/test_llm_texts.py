@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -47,6 +48,30 @@ def test_text_after_skipped_elements():
     assert html.main_text(f"<article><p>{LONG}</p><script>{LONG}") == LONG
 
 
+def test_any_element_can_exclude_its_text():
+    for x in ('<p class="advert">buy', "<p hidden>x", '<p style="display: none">x', "<ul><li class=comment>so <div>x</div></ul>", "<button>Subscribe now</button>",
+              '<table><tr class="advertisement"><td>x<td>y</table>', "<p><span class=ad>a <span>b</span> c</span></p>", "<label>Your name</label>", "<p aria-hidden=true>x</p>"):
+        assert html.main_text(f"<article><p>{LONG}</p>{x}<p>{LONG}</p></article>") == f"{LONG}\n{LONG}", x
+    assert html.main_text(f"<article><li class=comment>no<li>{LONG} <i class='ad'>x</i>end</article>") == f"{LONG} end"
+    assert html.main_text(f"<body class='has-sidebar login'><article><h2 id=advertising>{LONG}</h2></article>") == LONG
+    assert html.main_text(f'<article class="post alert"><p>{LONG}</p></article>') == LONG
+
+
+def test_stray_quotes_in_tags():
+    for tag in ('<p class=foo">', '<p title=5">', '<p title="a > b">', "<p title='it is \"so\"' x=\"y'>z\">", '<p class="x>', "<p x=''>", "<p '>", "<p a=>"):
+        assert html.main_text(f"<article>{tag}{LONG}</p></article>") == LONG, tag
+    assert html.main_text(f"<p>{LONG}</p><p>1 2</p><p>{LONG}</p><p class=ad>x") == f"{LONG}\n1 2\n{LONG}"
+
+
+@pytest.mark.parametrize("broken", ["<script ", "<a x", '<a "', "<a x='", '<a x="', "<!", "<!--", "<div>", "</div><ul></ol>", "<svg>", "<p class=ad><span class=ad>", "<li><div class=ad>", "<", "</script "])
+def test_broken_pages_take_linear_time(broken):
+    many = broken * (1_000_000 // len(broken))
+    start = time.monotonic()
+    assert html.main_text(f"<article><p>{LONG}</p></article>{many}").startswith(LONG)
+    html.main_text(many + "</section>" * 20_000)
+    assert time.monotonic() - start < 60
+
+
 def test_pages_in_other_languages():
     finnish = "Kalat uivat syvässä meressä ja linnut lentävät korkealla taivaalla, kunnes aurinko laskee metsän taakse."
     chinese = "鱼在海里游泳，鸟在天空飞翔，太阳落山以后，森林里安静下来。" * 4
