@@ -29,29 +29,59 @@ _RANK = {kind: i for i, kind in enumerate(BASE + WEAK)}
 _NONE = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
+#: Spans are worked through in blocks of so many, as an array that grows by one entry is copied at each step.
+BLOCK = 256
+_MIXED = "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _by_blocks(items: Column, first, past, inside) -> Column:
+    """The lists ``inside(block, state before it)`` of consecutive blocks of ``items``, flattened.
+
+    ``past(state, item)`` moves the state ``first`` over an item.  The time is that of the items times the size of a block.
+    """
+    def lists(blocks: Column) -> Column:
+        moved = F.aggregate(blocks, F.struct(first.alias("at"), F.array(first).alias("all")), lambda acc, b: _bound(
+            F.aggregate(b, acc["at"], past), lambda at: F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))))
+        return _bound(moved["all"], lambda states: F.flatten(F.transform(blocks, lambda b, i: inside(b, F.get(states, i)))))
+
+    def cut(every: Column) -> Column:
+        starts = F.when(F.size(every) > 0, F.sequence(F.lit(1), F.size(every), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return _bound(F.transform(starts, lambda at: F.slice(every, at, F.lit(BLOCK))), lists)
+
+    return _bound(items, cut)
+
+
 def _found(text: Column, pattern: str, kind: str, value: int | None = None, least: int = 0) -> Column:
     """Spans of all matches from left to right; with ``value``, matches whose group is shorter than ``least`` drop out.
 
     Each piece is what lies before a match and the match; ``\\G`` ties a piece to the end of the one before,
-    so a text is read once.
+    so a text is read once.  A ``key`` must hold small and capital letters and digits.
     """
     whole = F.lit(f"(?s)\\G(.*?)({pattern})")
     parts = [F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))]
-    parts.append(F.regexp_extract_all(text, whole, F.lit(2 + value)) if value else parts[1])
-    pieces = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "ghv")]), lambda p: F.struct(
-        F.length(p["g"]).cast("bigint").alias("g"), F.length(p["h"]).cast("bigint").alias("h"), F.length(p["v"]).alias("v")))
-    start = lambda acc, p: acc["at"] + p["g"]
-    laid = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_NONE).alias("out")),
-        lambda acc, p: F.struct(
-            (start(acc, p) + p["h"]).alias("at"),
-            F.when(p["v"] < least, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                start(acc, p).alias("start"), F.lit(_RANK[kind]).alias("rank"), (start(acc, p) + p["h"]).alias("end"), F.lit(kind).alias("kind")
+    names = "gh"
+    if value:
+        parts.append(F.regexp_extract_all(text, whole, F.lit(2 + value)))
+        names = "ghv"
+    keep = lambda p: F.length(p["v"]) >= least if value else p["h"].rlike(_MIXED) if kind == "key" else F.lit(True)
+    pieces = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names)]), lambda p: F.struct(
+        F.length(p["g"]).cast("bigint").alias("g"), F.length(p["h"]).cast("bigint").alias("h"), keep(p).alias("keep")))
+    none = F.array().cast(_NONE)
+
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), lambda acc, p: F.struct(
+            (acc["at"] + p["g"] + p["h"]).alias("at"),
+            F.when(~p["keep"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
+                (acc["at"] + p["g"]).alias("start"), F.lit(_RANK[kind]).alias("rank"), (acc["at"] + p["g"] + p["h"]).alias("end"), F.lit(kind).alias("kind")
             )))).alias("out"),
-        ),
-    )
-    return laid["out"]
+        ))["out"]
+
+    return _by_blocks(pieces, F.lit(0).cast("bigint"), lambda at, p: at + p["g"] + p["h"], spans)
 
 
 def _has(kind: str) -> Column:
@@ -92,9 +122,7 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "spans", scope: i
     rest = [c for c in (docs.columns if keep is None else keep) if c != out]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), value.alias("_t"))
     row = row.select("_row", "_t", *kinds)
-    mixed = lambda s: F.substr(F.col("_t"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).rlike(
-        "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")
-    row = row.withColumn("_key", F.filter("_key", mixed)).withColumn("_base", F.concat("_assign", "_access", "_hex"))
+    row = row.withColumn("_base", F.concat("_assign", "_access", "_hex"))
     identifiers, secrets = F.concat("_access", "_login"), F.concat("_key", "_assign")
     # a text is looked at again only if parts that can complement each other occur in it at all
     linkable = (F.size(F.concat("_key", "_login", "_endpoint")) > 0) & (F.size(identifiers) > 0) & (F.size(secrets) > 0)
@@ -140,19 +168,24 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", scope:
     while name in docs.columns:
         name += "_"
     found = find_spans(docs, text, name, scope)
-    spans = F.col(name)
-    # walk over the sorted spans and keep what lies between them
-    kept = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-                F.concat(acc["out"], F.substr(F.col(f"`{text}`"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
-            ).alias("out"),
-        ),
-    )
-    whole = F.concat(kept["out"], F.substr(F.col(f"`{text}`"), (kept["at"] + 1).cast("int")))
+    spans, whole = F.col(name), F.col(f"`{text}`")
+    bigint = lambda n: F.lit(n).cast("bigint")
+    furthest = lambda at, s: F.greatest(at, s["end"])
+    cut = lambda of, at, to: F.substr(of, (at + 1).cast("int"), (to - at).cast("int"))
+
+    def between(block: Column, first: Column) -> Column:
+        """What lies between the spans of a block, each time with the mask; only the block's stretch of the text is cut."""
+        def pieces(stretch: Column) -> Column:
+            return F.aggregate(block, F.struct(first.alias("at"), F.array().cast("array<string>").alias("out")), lambda acc, s: F.struct(
+                furthest(acc["at"], s).alias("at"),
+                F.when(s["start"] < acc["at"], acc["out"]).otherwise(
+                    F.concat(acc["out"], F.array(F.concat(cut(stretch, acc["at"] - first, s["start"] - first), F.lit(mask))))).alias("out"),
+            ))["out"]
+
+        return _bound(cut(whole, first, F.aggregate(block, first, furthest)), pieces)
+
+    kept = F.array_join(_by_blocks(spans, bigint(0), furthest, between), "")
+    whole = F.concat(kept, F.substr(whole, (F.aggregate(spans, bigint(0), furthest) + 1).cast("int")))
     hit = F.size(spans) > 0
     changed = found.withColumn(text, F.when(hit, whole).otherwise(F.col(f"`{text}`")))
     if length in docs.columns:

@@ -130,6 +130,21 @@ def test_redaction(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_many_secrets_in_one_text_take_linear_time(spark):
+    n = 100_000
+    key = "Ab1" + "x" * 38
+    texts = ["token=abcdefgh " * n, f"{key} " * 20_000 + "user=someone", "é" + "secret=abc token: 'abcdefgh1';" * 1_000, "AKIA" + "A" * 12, "no"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.monotonic() - start < 120
+    assert got[0] == "[REDACTED] " * n and got[3] == "[REDACTED]" and got[4] == "no"
+    assert got[2] == "é" + "secret=abc [REDACTED]';" * 1_000
+    assert got[1].count("[REDACTED]") == 9 and got[1].count(key) == 20_000 - 8
+    sizes = {r.doc_id: (r.n, r.last) for r in secrets.find_spans(docs).selectExpr("doc_id", "size(spans) n", "try_element_at(spans, -1).`end` last").collect()}
+    assert sizes == {0: (n, 15 * n - 1), 1: (9, 42 * 20_000 + 12), 2: (1_000, 1 + 30 * 1_000 - 2), 3: (1, 16), 4: (0, None)}
+
+
 def test_no_python_in_the_secret_scan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert not re.search("Python|Pandas|Arrow", secrets.redact(docs)._jdf.queryExecution().optimizedPlan().toString())
