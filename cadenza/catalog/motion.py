@@ -114,6 +114,22 @@ def joint_layout_select(v):
     return kept.unionByName(bad.select("clip", "reason", F.lit(0).cast("bigint").alias("n")))
 
 
+@query("flat_layout_select", f"""
+    WITH w AS (SELECT vec_id, embedding, list_transform(range(4), lambda f: CASE WHEN vec_id % 5 = 0 THEN 66 WHEN vec_id % 7 = 0 THEN 75 WHEN vec_id % 11 = 0 AND f = 2 THEN 66 ELSE 72 END) AS w FROM {{embeddings}}),
+         n AS (SELECT *, list_min(w) AS lo, list_max(w) AS hi FROM w), ok AS (SELECT * FROM n WHERE lo = hi AND lo IN (66, 72)),
+         cells AS (SELECT vec_id, embedding, f, unnest(range(22)) AS joint FROM (SELECT vec_id, embedding, unnest(range(4)) AS f FROM ok))
+    SELECT vec_id, '' AS reason, f AS frame, joint, {hu('CAST(embedding[(f + joint * 3) % 64 + 1] AS DOUBLE)')} AS x, {hu('CAST(embedding[(f + joint * 3 + 1) % 64 + 1] AS DOUBLE)')} AS y,
+           {hu('CAST(embedding[(f + joint * 3 + 2) % 64 + 1] AS DOUBLE)')} AS z FROM cells
+    UNION ALL SELECT vec_id, 'unexpected numbers per frame: ' || lo || '..' || hi, NULL, NULL, NULL, NULL, NULL FROM n WHERE NOT (lo = hi AND lo IN (66, 72))""")
+def flat_layout_select(v):
+    width = "CASE WHEN vec_id % 5 = 0 THEN 66 WHEN vec_id % 7 = 0 THEN 75 WHEN vec_id % 11 = 0 AND f = 2 THEN 66 ELSE 72 END"
+    nested = v.embeddings.selectExpr(
+        "vec_id", f"transform(sequence(0, 3), f -> transform(sequence(0, {width} - 1), j -> CAST(embedding[(f + j) % 64] AS DOUBLE))) AS frames")
+    good, bad = mo.select_flat_layout(nested, "vec_id", "frames")
+    kept = rounded(good, "x", "y", "z").withColumn("reason", F.lit(""))
+    return kept.unionByName(bad, allowMissingColumns=True)
+
+
 @query("hand_average", f"""
     SELECT clip, frame, (joint - 4) // 10 AS hand, {hu('avg(x)')} AS x, {hu('avg(y)')} AS y, {hu('avg(z)')} AS z FROM {{joints}} WHERE joint >= 4 GROUP BY ALL""")
 def hand_average(v):

@@ -13,7 +13,7 @@ from cadenza.operators import curation as cur
 from cadenza.operators import inventory as inv
 from cadenza.plans import curation as plan
 from cadenza.sources import io
-from cadenza.sources.scratch import scratch_path
+from cadenza.sources.scratch import checkpointed, scratch_path
 
 S = vw.SHARED
 
@@ -111,6 +111,27 @@ def tensor_explode(v):
     return out.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
+@query("tensor_zip", """
+    WITH f AS (SELECT vec_id, embedding, 3 + vec_id % 3 AS m, 2 + vec_id % 5 AS d, unnest(range(7)) AS frame FROM {embeddings}),
+         sides AS (SELECT *, frame < m AS heard, frame < d AS seen FROM f WHERE frame < greatest(m, d) AND vec_id % 10 <> 0 AND vec_id % 13 <> 0)
+    SELECT vec_id, '' AS reason, frame, CASE WHEN heard THEN round(CAST(embedding[(frame + 437) % 64 + 1] AS DOUBLE), 6) + 0.0 END AS last_feature,
+           CASE WHEN heard THEN CAST(embedding[(frame + 53) % 64 + 1] > 0 AS BIGINT) END AS is_beat,
+           CASE WHEN seen THEN round(CAST(embedding[frame * 8 + 8] AS DOUBLE), 6) + 0.0 END AS last_value FROM sides
+    UNION ALL SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'no motion' ELSE 'music frame 1 of width 437' END, NULL, NULL, NULL, NULL
+    FROM {embeddings} WHERE vec_id % 10 = 0 OR vec_id % 13 = 0""")
+def tensor_zip(v):
+    feature = "CASE WHEN j = 53 THEN CAST(embedding[(f + j) % 64] > 0 AS DOUBLE) ELSE CAST(embedding[(f + j) % 64] AS DOUBLE) END"
+    width = "CASE WHEN vec_id % 10 = 0 AND f = 1 THEN 437 ELSE 438 END"
+    nested = v.embeddings.selectExpr(
+        "vec_id", f"transform(sequence(0L, 2 + vec_id % 3), f -> transform(sequence(0, {width} - 1), j -> {feature})) AS music_array",
+        "CASE WHEN vec_id % 13 <> 0 THEN transform(sequence(0L, 1 + vec_id % 5), f -> slice(embedding, CAST(f * 8 + 1 AS INT), 8)) END AS dance_array")
+    rows, bad = io.zip_tensors(nested, "vec_id")
+    last = lambda c: F.round(F.element_at(c, -1).cast("double"), 6) + F.lit(0.0)
+    kept = rows.select("vec_id", F.lit("").alias("reason"), "frame", last("music").alias("last_feature"),
+                       F.col("is_beat").cast("bigint").alias("is_beat"), last("dance").alias("last_value"))
+    return kept.unionByName(bad, allowMissingColumns=True)
+
+
 @query("partitioned_recommendation_sink", "SELECT rec AS final_recommendation, count(*) AS n, sum(duration_sec) AS seconds FROM {fused} GROUP BY 1")
 def partitioned_recommendation_sink(v):
     path = scratch_path(v.spark, "recommendations")
@@ -150,7 +171,7 @@ def history_upsert(v):
     UNION ALL SELECT 'genre', genre, count(*), count(*) FILTER (rec = 'keep') FROM (SELECT unnest(genres) AS genre, rec FROM {fused}) GROUP BY 2""")
 def summary_csv_sink(v):
     path = scratch_path(v.spark, "summary")
-    f = fused(v)
+    f = checkpointed(fused(v).select("search_query", "matched_genres", "metadata_filter_pass", "final_recommendation"))
     io.write_summary_csv(cur.query_summary(f), cur.genre_coverage(f), path)
     read = lambda name, schema: v.spark.read.option("header", True).schema(schema).csv(f"{path}/{name}")
     q = read("queries", "name string, total bigint, metadata_passed bigint, keep bigint, review bigint, drop bigint")
@@ -160,6 +181,17 @@ def summary_csv_sink(v):
     )
 
 
+@query("duration_csv_sink", f"""
+    SELECT split, count(r.rec) AS n, {he('coalesce(sum(greatest(0.0, duration_sec)), 0.0)', 2)} AS seconds, {he('coalesce(avg(greatest(0.0, duration_sec)), 0.0) / 60.0', 2)} AS minutes_each
+    FROM (VALUES ('all'), ('keep'), ('review'), ('drop')) s(split) LEFT JOIN {{fused}} r ON s.split = 'all' OR s.split = r.rec GROUP BY split""")
+def duration_csv_sink(v):
+    path = scratch_path(v.spark, "summary")
+    f = checkpointed(fused(v).select("search_query", "matched_genres", "metadata_filter_pass", "final_recommendation", "duration_sec"))
+    io.write_summary_csv(cur.query_summary(f), cur.genre_coverage(f), path, cur.duration_summary(f))
+    schema = "split string, n bigint, seconds double, hours double, seconds_each double, minutes_each double"
+    return v.spark.read.option("header", True).schema(schema).csv(f"{path}/durations").select("split", "n", "seconds", "minutes_each")
+
+
 @query("skip_completed", "SELECT doc_id, source FROM {documents} WHERE doc_id NOT IN (SELECT doc_id FROM {labels})")
 def skip_completed(v):
     return inv.skip_completed(v.documents.select("doc_id", "source"), v.labels, "doc_id")

@@ -9,6 +9,7 @@ from cadenza.catalog.registry import query
 from cadenza.operators import curation as cur
 from cadenza.sources.scratch import scratch_path
 from cadenza.streaming import incremental as inc
+from cadenza.streaming import merge_table
 
 
 def staged(v, df, files=4):
@@ -49,3 +50,12 @@ def stream_upsert(v):
     stream = inc.file_stream(v.spark, path, rows.schema, 1)
     inc.keyed_upsert(stream, "user_id", "event_id", base, state, 8).awaitTermination()
     return inc.current_table(v.spark, base).select("user_id", "event_id", "event_type", "value")
+
+
+@query("stream_merge_table", """
+    SELECT user_id, event_id, event_type, value FROM {events} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def stream_merge_table(v):
+    base, state = scratch_path(v.spark, "table"), scratch_path(v.spark, "state")
+    stream = staged(v, v.events.select("user_id", "event_id", "event_type", "value"), 6)
+    merge_table.merge_stream(stream, base, "user_id", "event_id", state, fanout=3).awaitTermination()
+    return merge_table.read_table(v.spark, base)

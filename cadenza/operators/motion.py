@@ -114,6 +114,24 @@ def select_layout(joints: DataFrame, key: str, frame: str = "frame", keep: int =
     return good, layout.filter(~fine).select(key, reason.alias("reason"))
 
 
+def select_flat_layout(nested: DataFrame, key: str, column: str, keep: int = 22) -> tuple[DataFrame, DataFrame]:
+    """First ``keep`` joints of sequences stored as flat frames of 72 or 66 numbers, and the others with a reason.
+
+    ``column`` holds an array of frames.  All frames of a sequence must be of one layout; one without frames is rejected.
+    """
+    widths = F.transform(column, lambda f: F.coalesce(F.size(f), F.lit(0)))
+    low, high = F.array_min(widths), F.array_max(widths)
+    fine = F.coalesce((low == high) & low.isin(3 * 22, 3 * 24), F.lit(False))
+    judged = nested.select(key, column, low.alias("_lo"), high.alias("_hi"), fine.alias("_fine"))
+    point = lambda j: F.struct(j.cast("bigint").alias("joint"), *[
+        F.get(F.col("_f"), j * 3 + i).cast("double").alias(c) for i, c in enumerate(AXES)])
+    frames = judged.filter("_fine").select(key, F.posexplode(column).alias("frame", "_f"))
+    rows = frames.select(key, F.col("frame").cast("bigint").alias("frame"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), point)).alias("_p"))
+    reason = F.when(F.col("_lo").isNull(), "no frames").otherwise(
+        F.concat(F.lit("unexpected numbers per frame: "), F.col("_lo").cast("string"), F.lit(".."), F.col("_hi").cast("string")))
+    return rows.select(key, "frame", "_p.*"), judged.filter("NOT _fine").select(key, reason.alias("reason"))
+
+
 def to_19_points(joints: DataFrame, key: str, frame: str = "frame") -> DataFrame:
     """19-point layout: index table, y and z negated, one synthetic head point.
 

@@ -88,6 +88,30 @@ def explode_tensor(nested: DataFrame, key: str, column: str, joint_width: int =
     )
 
 
+def zip_tensors(nested: DataFrame, key: str, music: str = "music_array", dance: str = "dance_array", width: int = 438,
+                beat: int = 53) -> tuple[DataFrame, DataFrame]:
+    """Music and motion of a sequence side by side, and the sequences that can't be laid so.
+
+    One row per frame: ``(key, frame, music, dance, is_beat)``.  The sides may differ in length; the shorter one is null in
+    the frames it lacks (``is_beat`` then is, too).  A beat is a music frame whose feature ``beat`` (from 0) is not zero.
+    A sequence without one of the sides, or with a music frame that is not ``width`` wide, is rejected as ``(key, reason)``;
+    the reason names the first such frame.
+    """
+    odd = F.filter(F.transform(music, lambda m, i: F.when(~F.size(m).eqNullSafe(width), i)), lambda i: i.isNotNull())
+    frame = F.element_at(odd, 1)
+    reason = (
+        F.when(F.col(music).isNull(), "no music").when(F.col(dance).isNull(), "no motion")
+        .when(F.size(odd) > 0, F.concat(F.lit("music frame "), frame.cast("string"), F.lit(" of width "),
+                                        F.coalesce(F.size(F.get(F.col(music), frame)), F.lit(0)).cast("string")))
+    )
+    judged = nested.select(key, music, dance, reason.alias("reason"))
+    sides = F.arrays_zip(F.col(music).alias("music"), F.col(dance).alias("dance"))
+    frames = judged.filter("reason IS NULL").select(key, F.posexplode(sides).alias("frame", "_s"))
+    rows = frames.select(
+        key, F.col("frame").cast("bigint").alias("frame"), "_s.music", "_s.dance", (F.get("_s.music", F.lit(beat)) != 0).alias("is_beat"))
+    return rows, judged.filter("reason IS NOT NULL").select(key, "reason")
+
+
 def write_recommendations(records: DataFrame, path: str, keep: bool = True, review: bool = True, drop: bool = True) -> None:
     """All records, laid out by recommendation; each of the three parts can be left out.
 
@@ -100,10 +124,15 @@ def write_recommendations(records: DataFrame, path: str, keep: bool = True, revi
     records.filter(wanted).write.mode("overwrite").partitionBy("final_recommendation").parquet(path)
 
 
-def write_summary_csv(query_table: DataFrame, genre_table: DataFrame, path: str) -> None:
-    """Two CSV outputs with headers: per search query and per genre."""
-    for name, table in (("queries", query_table), ("genres", genre_table)):
-        table.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(f"{path}/{name}")
+def write_summary_csv(query_table: DataFrame, genre_table: DataFrame, path: str, duration_table: DataFrame | None = None) -> None:
+    """CSV outputs with headers, per search query, per genre and, if given, of durations.
+
+    Every file begins with a byte order mark, by which spreadsheets know UTF-8.
+    """
+    for name, table in (("queries", query_table), ("genres", genre_table), ("durations", duration_table)):
+        if table is not None:
+            marked = table.withColumnRenamed(table.columns[0], "\ufeff" + table.columns[0])
+            marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(f"{path}/{name}")
 
 
 def export_columns(records: DataFrame) -> DataFrame:
