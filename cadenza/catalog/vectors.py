@@ -8,6 +8,7 @@ from cadenza.catalog import views as vw
 from cadenza.catalog.registry import half_up as hu
 from cadenza.catalog.registry import query, rounded
 from cadenza.operators.clusters import cluster_each
+from cadenza.operators import cells as ce
 from cadenza.operators import vectors as ve
 
 D = vw.DUCK
@@ -86,3 +87,12 @@ def exclude_self_match(v):
     lib = v.embeddings.select("vec_id", "embedding")
     query_vector = lib.filter("vec_id = 0").first()["embedding"]
     return rounded(ve.top_k(query_vector, lib, "vec_id", "embedding", 5, exclude=0), "similarity")
+
+
+@query("vector_topk_cells", f"""
+    WITH s AS (SELECT p.seq AS query_id, vec_id, sum(p.value * c.value) AS s FROM {{vec_cells}} c JOIN {{pooled}} p ON p.dim = c.dim GROUP BY ALL)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, vec_id, {hu('s')} AS similarity FROM s
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10""")
+def vector_topk_cells(v):
+    rows, cells = ce.build_cells(v.embeddings, "vec_id", "embedding", 64)
+    return rounded(ce.top_k_in_cells(queries_of(v), rows, cells, "vec_id", 10, skip_self=False)[0], "similarity")
