@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = (
-    "curation audio scans sequences joins motion captions documents vectors evaluation streams"
+    "curation audio scans sequences joins motion captions documents vectors evaluation streams jobs"
 ).split()
 
 
