@@ -11,6 +11,7 @@ from cadenza.catalog.registry import query, rounded
 from cadenza.config import CurationConfig
 from cadenza.functions import texts as tx
 from cadenza.operators import curation as cur
+from cadenza.operators import keywords as kw
 from cadenza.plans import curation as plan
 
 # word lists that occur in the given documents
@@ -349,3 +350,12 @@ def fetch_selection(v):
     cfg = dataclasses.replace(CFG, download_review=True, download_min_fusion_score=0.35)
     local = v.labels.select(F.col("doc_id").alias("pos"), F.lit("present").alias("local_path"))
     return cur.fetch_selection(fused(v).join(local, "pos", "left"), cfg).select("bvid")
+
+
+@query("keyword_automaton", f"""
+    SELECT pos, array_to_string({hits(WHITE)}, '|') AS white, array_to_string({hits(sorted(CFG.blacklist))}, '|') AS black,
+           array_to_string({hits(CFG.audio_boost)}, '|') AS boost, array_to_string({hits(CFG.audio_penalty)}, '|') AS penalty FROM {{items}}""")
+def keyword_automaton(v):
+    lists = {"white": WHITE, "black": sorted(CFG.blacklist), "boost": CFG.audio_boost, "penalty": CFG.audio_penalty}
+    found = v.candidates.select("pos", kw.listed_hits(F.lower(F.concat_ws(" ", "title", "lang", "source")), lists).alias("h"))
+    return found.select("pos", *[JOINED(f"h.{n}").alias(n) for n in lists])
