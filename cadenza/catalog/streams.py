@@ -12,11 +12,15 @@ from cadenza.streaming import incremental as inc
 from cadenza.streaming import merge_table
 
 
-def staged(v, df, files=4):
-    """The given rows as several files, to be read as a stream."""
+def staged(v, df, batches=4):
+    """The given rows as several files, to be read as a stream of a few batches.
+
+    Files grow in number with the input, not in size: at least one for every part Spark reads it in.
+    """
     path = scratch_path(v.spark, "incoming")
-    df.repartition(files).write.parquet(path)
-    return inc.file_stream(v.spark, path, df.schema, 1)
+    each = -(-df.rdd.getNumPartitions() // batches)
+    df.repartition(each * batches).write.parquet(path)
+    return inc.file_stream(v.spark, path, df.schema, each)
 
 
 @query("stream_ingest_filter", "SELECT pos, CAST(pass AS BIGINT) AS pass, score AS metadata_score FROM {judged} WHERE pass")
