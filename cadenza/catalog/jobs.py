@@ -10,7 +10,7 @@ from cadenza.catalog.documents import ADVICE
 from cadenza.catalog.registry import query, rounded
 from cadenza.catalog.sequences import bars
 from cadenza.plans import annotation, training
-from cadenza.sources.scratch import scratch_path
+from cadenza.sources.scratch import by_merge, checkpointed, scratch_path
 
 D = vw.DUCK
 S = vw.SHARED
@@ -104,12 +104,14 @@ D["job_sections"] = """
     UNION ALL SELECT 'bars', CAST(clip AS VARCHAR), start_frame, 'dropped' FROM {{job_parts}} WHERE NOT kept""")
 def annotation_job(v):
     song_bars = bars(v).withColumnRenamed("clip", "base")
-    nothing = v.slices.select(F.col("clip").alias("file"), "motion", F.array().cast("array<string>").alias("cues"))
-    captions = v.slices.select("clip", "motion").join(
-        v.captions.withColumnsRenamed({"motion": "turn", "file": "clip"}), "clip").filter("turn = motion % 2").select(
+    # read several times below
+    slices = checkpointed(v.slices)
+    nothing = slices.select(F.col("clip").alias("file"), "motion", F.array().cast("array<string>").alias("cues"))
+    captions = slices.select("clip", "motion").join(
+        by_merge(v.captions.withColumnsRenamed({"motion": "turn", "file": "clip"})), "clip").filter("turn = motion % 2").select(
         F.col("clip").alias("file"), "motion", "response")
     given = annotation.Inputs(
-        v.slices.withColumnRenamed("clip", "file"), nothing, nothing, captions, song_bars, v.base_chords,
+        slices.withColumnRenamed("clip", "file"), nothing, nothing, captions, song_bars, v.base_chords,
         song_bars.select("base", "bar", F.concat(F.lit("bar "), F.col("bar").cast("string")).alias("synthesis")), v.song_facts)
     made = annotation.annotate(v.spark, given, scratch_path(v.spark, "annotation"))
     part = lambda s: F.concat(

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.sources.scratch import checkpointed
+from cadenza.sources.scratch import by_merge, checkpointed
 
 
 def _shifted(value: Column, level: Column) -> Column:
@@ -47,7 +47,7 @@ def interval_join(
     """
     at = lambda c: F.floor(c / width).cast("bigint")
     cells = F.when(low <= high, dyadic_cells(at(low), at(high)))
-    held = checkpointed(intervals.withColumn("_in", F.explode(cells)))
+    held = by_merge(checkpointed(intervals.withColumn("_in", F.explode(cells))))
     # at most one number a level
     levels = sorted(r[0] for r in held.select("_in.level").distinct().collect())
     asked = F.array(*[F.struct(F.lit(k).alias("level"), _shifted(at(point), F.lit(k)).alias("cell")) for k in levels])

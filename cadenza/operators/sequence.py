@@ -21,7 +21,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cadenza.sources.scratch import checkpointed
+from cadenza.sources.scratch import by_merge, checkpointed
 
 CHUNK = 4096
 
@@ -92,7 +92,7 @@ def _neighbour(
         .select(*keys, _CHUNK, "_border")
     )
     w = Window.partitionBy(*keys, _CHUNK).orderBy(pos)
-    joined = base.withColumn("_near", shift("_packed").over(w)).join(borders, [*keys, _CHUNK])
+    joined = base.withColumn("_near", shift("_packed").over(w)).join(by_merge(borders), [*keys, _CHUNK])
     pick = F.coalesce("_near", "_border")
     return joined.withColumn("_pick", pick).select(
         *df.columns, *[F.col("_pick").getField(n).alias(n) for n in cols]
@@ -137,7 +137,7 @@ def running(
     )
     end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*keys, _CHUNK).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
-    local = base.withColumn("_local", agg("_v").over(w)).join(carried, [*keys, _CHUNK])
+    local = base.withColumn("_local", agg("_v").over(w)).join(by_merge(carried), [*keys, _CHUNK])
     if how == "sum":
         both = F.coalesce(F.col("_carry") + F.col("_local"), F.col("_carry"), F.col("_local"))
     else:
@@ -170,7 +170,7 @@ def fill(
         .withColumn("_reach", reach)
         .select(*keys, _CHUNK, "_reach")
     )
-    joined = base.withColumn("_near", near).join(carried, [*keys, _CHUNK])
+    joined = base.withColumn("_near", near).join(by_merge(carried), [*keys, _CHUNK])
     return joined.select(*df.columns, F.coalesce("_near", "_reach").alias(out))
 
 
@@ -192,7 +192,7 @@ def dense_position(
         .select(*keys, "_coarse", "_offset")
     )
     w = Window.partitionBy(*keys, "_coarse").orderBy(*order)
-    joined = base.withColumn("_rn", F.row_number().over(w)).join(offsets, [*keys, "_coarse"])
+    joined = base.withColumn("_rn", F.row_number().over(w)).join(by_merge(offsets), [*keys, "_coarse"])
     number = (F.col("_offset") + F.col("_rn") - 1 + start).cast("bigint")
     return joined.select(*df.columns, number.alias(out))
 

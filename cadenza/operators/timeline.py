@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import sequence as seq
 from cadenza.operators.intervals import interval_join
 from cadenza.operators.scan import Scan, following, scan
-from cadenza.sources.scratch import checkpointed
+from cadenza.sources.scratch import by_merge, checkpointed
 
 
 def _span(first: Column, last: Column, step: int = 1) -> Column:
@@ -207,7 +207,7 @@ def cover_or_next(points: DataFrame, segments: DataFrame, key: str, at: str, col
     line = points.select(key, at).withColumn("_q", F.lit(True)).join(starts, [key, at], "full")
     later = line.withColumn("_after", F.lit(None).cast("boolean"))
     filled = seq.fill(later.drop("_after"), [key], at, "_first", "_next", ahead=True, chunk=chunk).filter("_q")
-    return points.join(cover, [key, at], "left").join(filled.select(key, at, "_next"), [key, at], "left").select(
+    return points.join(by_merge(cover), [key, at], "left").join(by_merge(filled.select(key, at, "_next")), [key, at], "left").select(
         *points.columns, F.coalesce("_cover", "_next").alias("chosen"), F.col("_cover").isNotNull().alias("covered")
     )
 
@@ -222,9 +222,9 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
     Results shorter than ``min_step`` frames are added to their predecessor.  Segments without a frame are passed over.
     """
     # read six times below
-    segments = checkpointed(
+    segments = by_merge(checkpointed(
         segments.select(key, "slice_idx", "motion", "start_frame", "end_frame").filter(F.col("end_frame") > F.col("start_frame"))
-    )
+    ))
     order = F.struct("slice_idx", "motion")
     tag = F.struct("end_frame", "slice_idx", "motion")
     ends = segments.select(key, F.col("end_frame").alias("at")).distinct()
@@ -235,12 +235,12 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
         F.col("_exact"), F.struct(*[F.col(f"chosen.{c}").alias(c) for c in ("end_frame", "slice_idx", "motion")])
     )
     step = chosen.join(exact, [key, "at"], "left").withColumn("_b", best)
-    jump = checkpointed(
+    jump = by_merge(checkpointed(
         step.filter(F.col("_b.end_frame").isNotNull()).select(
             key, "at", F.col("_b.end_frame").alias("to"), F.col("_b.slice_idx").alias("slice_idx"),
             F.col("_b.motion").alias("motion"),
         )
-    )
+    ))
     # longest possible walk: the number of nodes of one video (a single number)
     most = jump.groupBy(key).count().agg(F.max("count")).first()[0] or 1
     rounds = max(1, math.ceil(math.log2(most + 1)))
@@ -248,7 +248,7 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
     for _ in range(rounds - 1):
         last = hops[-1]
         nxt = last.select(key, F.col("at").alias("to"), F.col("to").alias("_far"))
-        hops.append(checkpointed(last.join(nxt, [key, "to"]).select(key, "at", F.col("_far").alias("to"))))
+        hops.append(by_merge(checkpointed(last.join(nxt, [key, "to"]).select(key, "at", F.col("_far").alias("to")))))
     visited = jump.select(key).distinct().withColumn("at", F.lit(0).cast("bigint"))
     for hop in reversed(hops):
         # each node stays and adds the node one hop ahead; distances differ, so no node repeats
@@ -265,7 +265,7 @@ def greedy_timeline(segments: DataFrame, key: str, min_step: int = 10, chunk: in
     stop = path.groupBy(key).agg(F.max("end_frame").alias("_stop"))
     closed = seq.with_next(opens, [key], "start_frame", {"_next": "start_frame"}, chunk)
     return checkpointed(
-        closed.join(stop, key).select(
+        closed.join(by_merge(stop), key).select(
             key, "start_frame", F.coalesce("_next", "_stop").alias("end_frame"), "slice_idx", "motion"
         )
     )
@@ -305,7 +305,7 @@ def bar_bucketing(captions: DataFrame, bars: DataFrame, key: str, fps: float = 3
     placed = seen.filter("_kind = 1").select(
         "_caption", (F.coalesce("_i", F.lit(0)) + 1 + least(F.col("_low"))).alias("bar"), (least(F.col("_low")) == least(F.col("_before"))).alias("_opens"))
     ends = bars.select(F.col(key).alias("_key"), F.col("bar").alias("_bar"), "end_sec")
-    out = placed.join(ends, (F.col(f"_caption.{key}") == F.col("_key")) & (F.col("bar") == F.col("_bar")), "left")
+    out = placed.join(by_merge(ends), (F.col(f"_caption.{key}") == F.col("_key")) & (F.col("bar") == F.col("_bar")), "left")
     # the caption that opens a bar stays even if it runs over the bar's end
     inside = (F.col("_caption.end_frame") / fps <= F.col("end_sec")) | (F.col("_opens") & (F.col("bar") > 0))
     reason = F.when(F.col("end_sec").isNull(), "after_last_bar").when(inside, "").otherwise("straddles_bar_end")
@@ -372,7 +372,7 @@ def chords_in_ranges(ranges: DataFrame, chords: DataFrame, key: str, order: str,
     )
     listed = F.array_sort(F.collect_list(F.struct("chord_start", "chord")))
     text = hit.groupBy(key, order).agg(F.array_join(F.transform(listed, lambda c: c["chord"]), "-").alias("chords"))
-    return ranges.join(text, [key, order], "left").select(*ranges.columns, F.coalesce("chords", F.lit("")).alias("chords"))
+    return ranges.join(by_merge(text), [key, order], "left").select(*ranges.columns, F.coalesce("chords", F.lit("")).alias("chords"))
 
 
 # ---- segments against frames and windows -----------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import captions as cp
 from cadenza.operators import inventory
 from cadenza.operators import timeline as tl
+from cadenza.sources.scratch import by_merge, checkpointed
 
 MODIFIER = {d: d.replace(" ", "_") for d in cp.DOMAINS}
 
@@ -49,15 +50,18 @@ def captioned(given: Inputs) -> DataFrame:
     """
     keys = ["file", "motion"]
     cues = cp.interleave(given.poses, given.transitions, keys, "cues")
-    good, rejected = cp.caption_ingest(cp.annotation_lookup(given.slices, cues, given.responses, keys, "cues", "response"), "file", "motion", "response")
-    return good.drop("response").unionByName(rejected, allowMissingColumns=True)
+    found = cp.annotation_lookup(given.slices, cues, given.responses, keys, "cues", "response")
+    # responses are parsed once; the rows are read three times
+    judged = by_merge(checkpointed(cp.judged_captions(found, "motion", "response").drop("response")))
+    good, rejected = cp.good_and_rejected(judged, "file", "motion")
+    return good.unionByName(rejected, allowMissingColumns=True)
 
 
 def timeline(segments: DataFrame, step: int, min_step: int) -> DataFrame:
     """One gapless timeline a video, each part with cues and modifier of the segment it was taken from."""
     placed = tl.globalize(segments.filter("reason IS NULL").drop("reason"), step)
     walked = tl.greedy_timeline(placed, "base", min_step)
-    return walked.join(placed.select("base", "slice_idx", "motion", "file", "cues", "modifier"), ["base", "slice_idx", "motion"])
+    return walked.join(by_merge(placed.select("base", "slice_idx", "motion", "file", "cues", "modifier")), ["base", "slice_idx", "motion"])
 
 
 def sentences(placed: DataFrame, given: Inputs, fps: float) -> DataFrame:
@@ -68,7 +72,7 @@ def sentences(placed: DataFrame, given: Inputs, fps: float) -> DataFrame:
         i + 1, r["start_frame"] / fps, r["end_frame"] / fps, {name: r[k] for name, k in MODIFIER.items()})
     moves = placed.filter("dropped = ''").groupBy("base", "bar").agg(F.array_join(F.transform(rows, block), "").alias("_moves"))
     heard = tl.chords_in_ranges(given.bars, given.chords, "base", "bar")
-    told = moves.join(heard, ["base", "bar"]).join(given.syntheses, ["base", "bar"], "left").join(given.songs, "base")
+    told = moves.join(by_merge(heard), ["base", "bar"]).join(by_merge(given.syntheses), ["base", "bar"], "left").join(by_merge(given.songs), "base")
     summary = cp.sentence_summary(F.col("genre"), F.col("start_sec"), F.col("end_sec"), F.col("key"), F.col("chords"), F.col("bpm"),
                                   F.coalesce("synthesis", F.lit("")), F.col("_moves"))
     return told.select("base", "bar", (F.col("bar") + 1).alias("n"), "start_sec", "end_sec", summary.alias("sentence_summary"))
@@ -76,11 +80,11 @@ def sentences(placed: DataFrame, given: Inputs, fps: float) -> DataFrame:
 
 def songs(told: DataFrame, placed: DataFrame, given: Inputs) -> DataFrame:
     """``(base, summary, segments)``: the document text of a song and its segments nested by bar."""
-    texts = cp.section_texts(told, "base", "n").join(given.songs, "base")
+    texts = cp.section_texts(told, "base", "n").join(by_merge(given.songs), "base")
     summary = cp.song_summary(F.col("overall"), F.col("structure"), F.col("intent"), F.col("sections"))
     fields = ["start_frame", "end_frame", "slice_idx", "motion", "cues", "modifier"]
     return texts.select("base", summary.alias("summary")).join(
-        cp.nest_segments(placed.filter("dropped = ''"), "base", "bar", "start_frame", fields), "base")
+        by_merge(cp.nest_segments(placed.filter("dropped = ''"), "base", "bar", "start_frame", fields)), "base")
 
 
 def rejects(captions: DataFrame, placed: DataFrame) -> DataFrame:

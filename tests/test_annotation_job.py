@@ -5,8 +5,11 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from cadenza.operators import captions as cp
+from cadenza.operators import intervals, scan
+from cadenza.operators import sequence as seq
 from cadenza.operators import timeline as tl
 from cadenza.plans import annotation
+from cadenza.sources.scratch import checkpointed
 
 TABLES = {
     "slices": "base long, file string, slice_idx long, motion long, start_frame long, end_frame long",
@@ -68,6 +71,32 @@ def test_job_equals_its_steps_and_resumes(spark, tmp_path):
     assert "loud" in again["songs"].first().summary and {(r.step, r.file) for r in again["rejects"].collect()} == set(left_out)
 
 
+def test_no_table_of_the_job_goes_through_the_driver(spark, monkeypatch):
+    """Stored tables are small files here; joins must not be chosen by that, and responses are parsed in one pass."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    for module in (annotation, intervals, scan, seq, tl):
+        monkeypatch.setattr(module, "checkpointed", seen, raising=False)
+    rows = inputs(
+        spark, slices=[(1, "1_0", 0, 0, 0, 60), (1, "1_0", 0, 1, 60, 150), (2, "2_0", 0, 0, 0, 60)],
+        poses=[("1_0", 0, ["p0"])], transitions=[("1_0", 0, ["t0"])], responses=[("1_0", m, response(f"m{m}")) for m in (0, 1)],
+        bars=[(1, i, 2.0 * i, 2.0 * i + 2.0) for i in range(3)], chords=[(1, 0.5, 0.9, "C")],
+        syntheses=[(1, 0, "rise")], songs=[(1, "Jazz", "A", 90, "calm", "two", "flow")])
+    given = annotation.Inputs(**{name: checkpointed(getattr(rows, name)) for name in TABLES})
+    done = {}
+    for name, stage in annotation.stages(given):
+        done[name] = seen(stage(done))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    # the states of a scan, one row a range, are the only ones that are sent
+    assert sum("SortMergeJoin" in j for j in joins) > 20 and [j for j in joins if "SortMergeJoin" not in j and "_scan_range" not in j] == []
+    assert ["Union" in plan for plan in plans if r"(?is)whole body\s" in plan] == [False]
+    assert done["songs"].count() == 1 and done["rejects"].filter("step = 'captions'").count() == 1
+
+
 def test_empty_inputs(spark, tmp_path):
     done = annotation.annotate(spark, inputs(spark), str(tmp_path / "job"))
     assert [done[name].count() for name in ("captions", "placed", "songs", "rejects")] == [0, 0, 0, 0]
